@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.joins import skew_join
 from ..session import work_dir
 from .shared import filesystem, ship
 
@@ -159,7 +160,7 @@ def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), html.alias("html"))
     hashed = rows.withColumn("digest", F.when(F.octet_length("html") >= least_bytes, F.sha1("html")))
     groups = hashed.where("digest is not null").groupBy("digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    joined = hashed.join(groups, "digest", "left")
+    joined = skew_join(hashed, groups, ["digest"], "left")
     revisits = (F.col("kept") != F.col("page_id")) | (F.col("page_id").isNull() & F.col("kept").isNotNull())
     return joined.select("page_id", "url", "html", F.when(revisits, F.col("kept")).alias("refers_to"))
 
