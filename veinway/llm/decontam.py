@@ -234,3 +234,10 @@ def proximity_matches(index: DataFrame, items: DataFrame, slop: int, item_key: s
 def contaminated(matches: DataFrame) -> DataFrame:
     """Adds the rule: a document is contaminated if at least a twentieth of its words, and one, is hit."""
     return matches.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+
+
+def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, without contaminated documents; rows of a null key stay."""
+    found = contaminated(phrase_matches(build_index(docs, key, column), items, column="text"))
+    drop = found.where("contaminated and key is not null").select(F.col("key").alias("_drop")).distinct()
+    return docs.join(drop, docs[key].cast("long") == F.col("_drop"), "left_anti")

@@ -52,9 +52,12 @@ def groups(docs: DataFrame, key: str = "doc_id", column: str = "text", digests:
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, without the copies: keys that go are anti-joined.
+    """The rows of ``docs``, all columns, without the copies.
 
-    A repeated row whose id is the kept one stays as often as it is there.
+    A row goes if its id and text together were judged a copy, so rows that share an id do
+    not fall for one another; a repeated row whose id is the kept one stays as often as it is
+    there.
     """
-    drop = groups(docs, key, column).where(~F.col("kept")).select(F.col(key).alias("_drop"), F.col("keep_id").alias("_of"))
-    return docs.join(drop.select("_drop").distinct(), docs[key].eqNullSafe(F.col("_drop")), "left_anti")
+    drop = groups(docs, key, column, digests=True).where(~F.col("kept")).select(F.col(key).alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    marked = docs.withColumn("_own_sha", F.sha2(normalised(docs[column]), 256))
+    return marked.join(drop, marked[key].eqNullSafe(drop["_id"]) & (marked["_own_sha"] == drop["_sha"]), "left_anti").drop("_own_sha")
