@@ -3,33 +3,12 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import zipfile
 
 from pyarrow import fs
-from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each application."""
-    context: SparkContext = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="veinway-code-"), f"veinway_{context.applicationId}.zip")
-    with zipfile.ZipFile(path, "w") as out:
-        for folder, _, names in os.walk(top):
-            for name in sorted(names):
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    out.write(full, os.path.join("veinway", os.path.relpath(full, top)))
-    context.addPyFile(path)
-    _shipped.add(context.applicationId)
-
+from ..session import ship  # noqa: F401
 
 def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
     """The file system of a URI and the path in it; works for any store that Arrow opens."""
