@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..operators.joins import skew_join
+from ..operators.joins import skew_join, small_side
 from ..session import materialise
 from .shared import ship, text_of
 from .textvec import mix, pieces, shingles, span_hash, utf8, words
@@ -47,7 +47,6 @@ FLOOR = 0.64
 #: Members of a bucket that are compared with one another at once.
 CHUNK = 256
 
-
 def unit_cells(shingle: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """A hash of each occurrence of each shingle: equal for the n-th occurrence in any document."""
     if not len(shingle):
@@ -183,8 +182,8 @@ def _verify(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, threshold: floa
     near = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a")
     near = near.join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
     near = materialise(_agreement(near).distinct(), "near")
-    needed = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
-    own = materialise(texts.join(needed, "node", "left_semi"), "texts")
+    needed = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    own = materialise(texts.join(small_side(needed, "needed"), "node", "left_semi"), "texts")
     both = near.join(own.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     both = both.join(own.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     return materialise(_exact(both, threshold).distinct(), "links")
@@ -294,4 +293,4 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", column: str = "text",
 def deduplicate(docs: DataFrame, key: str = "doc_id", column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns, that stay: one id of each class."""
     drop = near_duplicates(docs, key, column, threshold).where(~F.col("kept")).select(F.col(key).alias("_drop")).distinct()
-    return docs.join(drop, docs[key].cast("long") == F.col("_drop"), "left_anti")
+    return docs.join(small_side(drop, "drop"), docs[key].cast("long") == F.col("_drop"), "left_anti")
