@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import skew_join
+
 #: Characters of the text that the first hash covers.
 PREFIX = 256
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -41,11 +43,12 @@ def groups(docs: DataFrame, key: str = "doc_id", column: str = "text", digests:
     # refinement 3: the whole text of survivors
     whole = F.sha2(F.col("_norm"), 256)
     hashed = sized.select("_id", "_length", "_prefix", whole.alias("_sha")) if digests else sized
-    joined = hashed.join(open_, ["_length", "_prefix"], "left")
+    joined = skew_join(hashed, open_, ["_length", "_prefix"], "left")
     if not digests:
-        joined = joined.select("_id", "_open", F.when(F.col("_open"), whole).alias("_sha"))
+        # a text that is alone with its length and prefix needs no hash; these two tell it apart
+        joined = joined.select("_id", "_open", F.when(F.col("_open"), whole).otherwise(F.concat_ws("-", F.lit(""), "_length", "_prefix")).alias("_sha"))
     full = joined.where("_open").groupBy("_sha").agg(F.min("_id").alias("_keep"), F.count("*").alias("_size")).where("_size > 1")
-    out = joined.select("_id", "_sha", "_open").join(full, "_sha", "left")
+    out = skew_join(joined.select("_id", "_sha"), full, ["_sha"], "left")
     keep = F.when(F.col("_size").isNotNull(), F.col("_keep")).otherwise(F.col("_id"))
     columns = [F.col("_id").alias(key), keep.alias("keep_id"), F.coalesce("_size", F.lit(1)).cast("long").alias("group_size"), F.col("_id").eqNullSafe(keep).alias("kept")]
     return out.select(*columns, *([F.col("_sha").alias("text_sha256")] if digests else []))
