@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import small_side
 from ..session import materialise
 from .shared import ship, text_of
 from .textvec import pieces, span_hash, utf8, words
@@ -240,4 +241,4 @@ def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", column: str =
     """The rows of ``docs``, all columns, without contaminated documents; rows of a null key stay."""
     found = contaminated(phrase_matches(build_index(docs, key, column), items, column="text"))
     drop = found.where("contaminated and key is not null").select(F.col("key").alias("_drop")).distinct()
-    return docs.join(drop, docs[key].cast("long") == F.col("_drop"), "left_anti")
+    return docs.join(small_side(drop, "drop"), docs[key].cast("long") == F.col("_drop"), "left_anti")

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.joins import skew_join
+from ..operators.joins import skew_join, small_side
 
 #: Characters of the text that the first hash covers.
 PREFIX = 256
@@ -62,5 +62,6 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", column: str = "text") -> D
     there.
     """
     drop = groups(docs, key, column, digests=True).where(~F.col("kept")).select(F.col(key).alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    drop = small_side(drop, "drop")
     marked = docs.withColumn("_own_sha", F.sha2(normalised(docs[column]), 256))
     return marked.join(drop, marked[key].eqNullSafe(drop["_id"]) & (marked["_own_sha"] == drop["_sha"]), "left_anti").drop("_own_sha")
