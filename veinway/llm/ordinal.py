@@ -77,7 +77,7 @@ class Model:
         """(documents, grades - 1): the probability of a grade above each but the last."""
         score = np.zeros(len(offsets) - 1)
         for place, edge in features(data, offsets):
-            run = np.concatenate(([0.0], np.cumsum(self.weights[place])))
+            run = np.concatenate(([0.0], np.cumsum(self.weights[place], dtype=np.float64)))
             score += (run[edge[1:]] - run[edge[:-1]]) / np.maximum(np.diff(edge), 1)
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -500, 500)))
 
