@@ -60,11 +60,22 @@ def discard(spark: SparkSession, path: str) -> None:
 
 
 _shipped: set[str] = set()
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+#: Bytes of an Arrow batch sent to a Python worker at once, where the session has Spark's default.
+BATCH_BYTES = 16 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each application."""
+    """Send this package to the executors, once for each application, and bound their batches.
+
+    Batches of long texts are copied on both sides, so a quarter of Spark's default size
+    keeps a worker's memory small; a size that was set for the session is left alone.
+    """
     context = spark.sparkContext
+    if spark.conf.get(BATCH) == "67108864b":
+        spark.conf.set(BATCH, str(BATCH_BYTES))
     if context.applicationId in _shipped:
         return
     top = os.path.dirname(os.path.abspath(__file__))
