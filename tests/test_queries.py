@@ -15,7 +15,7 @@ def test_query_equals_its_sql(spark, duck, name):
     assert values(ours) == values(theirs)
 
 
-@pytest.mark.parametrize("name", [n for n in ROWS_ONLY if n != "f7_repair"])
+@pytest.mark.parametrize("name", [n for n in ROWS_ONLY if n not in ("f7_repair", "t5_bridges")])
 def test_query_without_sql_has_rows(spark, name):
     assert QUERIES[name](spark, SF).limit(1).count() == 1
 

@@ -260,7 +260,7 @@ def compare_metrics(before: DataFrame, after: DataFrame, key: list[str]) -> Data
 
 def percent_delta(old: Column, new: Column) -> Column:
     """Change in percent, null where the old value is 0 [K9]."""
-    return F.when(old == 0, F.lit(None).cast("double")).otherwise(F.round(F.try_divide((new - old) * 100.0, old), 2))
+    return F.when(old == 0, F.lit(None).cast("double")).otherwise(F.round(F.try_divide((new - old) * 100.0, old), 2) + 0.0)
 
 
 def geometry_row(segments: DataFrame, points: DataFrame, mask: DataFrame, skeleton: DataFrame) -> DataFrame:

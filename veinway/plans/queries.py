@@ -562,12 +562,12 @@ def a31_issue_levels(spark, sf):
     return scoring.issues(_flags(spark, sf), s, places).groupBy("kind", "for_review", "level").agg(F.count("*").alias("issues"))
 
 
-RUNS = "ru AS (SELECT o_orderkey AS run_id, o_totalprice AS length_px, o_orderkey % 30 AS segments, o_orderkey % 4 AS disconnected, (o_orderkey % 100) / 100.0::DOUBLE AS network_score FROM orders)"
+RUNS = "ru AS (SELECT o_orderkey AS run_id, o_totalprice * 1.0001237::DOUBLE AS length_px, o_orderkey % 30 AS segments, o_orderkey % 4 AS disconnected, (o_orderkey % 100) / 100.0::DOUBLE AS network_score FROM orders)"
 
 
 def _runs(spark, sf) -> DataFrame:
     k = F.col("o_orderkey")
-    return b.table(spark, sf, "orders").select(k.alias("run_id"), F.col("o_totalprice").alias("length_px"), (k % 30).alias("segments"), (k % 4).alias("disconnected"), ((k % 100) / 100.0).alias("network_score"))
+    return b.table(spark, sf, "orders").select(k.alias("run_id"), (F.col("o_totalprice") * 1.0001237).alias("length_px"), (k % 30).alias("segments"), (k % 4).alias("disconnected"), ((k % 100) / 100.0).alias("network_score"))
 
 
 @query(with_(b.SQL_SCORES, RUNS, "bd AS (SELECT segment_id % 15000 + 1 AS run_id, count(*) AS n, count(*) FILTER (WHERE overall >= 0.7) AS hi, count(*) FILTER (WHERE overall >= 0.4 AND overall < 0.7) AS mi FROM so GROUP BY 1)",
@@ -599,7 +599,7 @@ def a23_compare_metrics(spark, sf):
     return analytics.compare_metrics(side(0), side(1), ["k"])
 
 
-@query("SELECT l_orderkey % 1000 AS k, round(sum(l_tax), 4) AS old, round(sum(l_discount), 4) AS new, CASE WHEN sum(l_tax) = 0 THEN NULL ELSE round((sum(l_discount) - sum(l_tax)) * 100.0 / sum(l_tax), 2) END AS delta_pct FROM lineitem GROUP BY 1")
+@query("SELECT l_orderkey % 1000 AS k, round(sum(l_tax), 4) AS old, round(sum(l_discount), 4) AS new, CASE WHEN sum(l_tax) = 0 THEN NULL ELSE round((sum(l_discount) - sum(l_tax)) * 100.0 / sum(l_tax), 2) + 0.0 END AS delta_pct FROM lineitem GROUP BY 1")
 def k9_percent_deltas(spark, sf):
     s = b.table(spark, sf, "lineitem").groupBy((F.col("l_orderkey") % 1000).alias("k")).agg(F.sum("l_tax").alias("old"), F.sum("l_discount").alias("new"))
     return s.select("k", F.round("old", 4).alias("old"), F.round("new", 4).alias("new"), analytics.percent_delta(F.col("old"), F.col("new")).alias("delta_pct"))
