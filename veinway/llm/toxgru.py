@@ -189,15 +189,14 @@ def _places(first: np.ndarray, length: np.ndarray, inverse: np.ndarray) -> tuple
     return inverse[np.minimum(first + t, len(inverse) - 1)], mask
 
 
-def _log_odds(bucket: np.ndarray, toxic: np.ndarray, size: int) -> np.ndarray:
-    """Smoothed log odds of each bucket; an entry for each distinct word of a document that has it."""
-    t, n = np.bincount(bucket[toxic], minlength=size), np.bincount(bucket[~toxic], minlength=size)
+def _log_odds(t: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Smoothed log odds of each bucket from its counts in toxic and other documents."""
     both = t + n
     odds = np.log((t + 0.5) / (t.sum() + 1)) - np.log((n + 0.5) / (n.sum() + 1))
-    return odds * both / (both + 5)
+    return odds * np.maximum(both - 2, 0) / (both + 5)  # what few documents show is not trusted
 
 
-def train(texts: list[str], toxic: np.ndarray, prior: float, epochs: int = 6, batch: int = 256, rate: float = 0.01, seed: int = 7) -> Network:
+def train(texts: list[str], toxic: np.ndarray, prior: float, steps: int = 240, batch: int = 256, rate: float = 0.01, seed: int = 7) -> Network:
     """Train on whole documents with 0/1 labels; ``prior`` is the share of toxic documents to calibrate to."""
     net, r = Network.new(seed), np.random.default_rng(seed)
     toxic = toxic.astype(bool)
@@ -215,11 +214,16 @@ def train(texts: list[str], toxic: np.ndarray, prior: float, epochs: int = 6, ba
     doc_of = np.repeat(np.arange(len(texts)), np.diff(edge))
     pair = np.unique(doc_of * len(unique) + inverse)
     d, w = pair // len(unique), pair % len(unique)
-    net.p["E"][:, 0] = _log_odds(word[w], toxic[d], WORDS)
+    net.p["E"][:, 0] = _log_odds(*(np.bincount(word[w[toxic[d] == bad]], minlength=WORDS) for bad in (True, False)))
     gram_edge = np.searchsorted(own, np.arange(len(unique) + 1))
-    size = np.diff(gram_edge)[w]
-    flat = np.arange(int(size.sum())) + np.repeat(gram_edge[w] - (np.cumsum(size) - size), size)
-    net.p["C"][:, 0] = _log_odds(gram[flat], np.repeat(toxic[d], size), GRAMS)
+    seen = np.zeros((2, GRAMS))
+    for i in range(0, len(w), 1 << 16):  # the n-grams of all words of all documents, a part at a time
+        part, bad = w[i : i + (1 << 16)], toxic[d[i : i + (1 << 16)]]
+        for k, some in enumerate((part[~bad], part[bad])):
+            size = np.diff(gram_edge)[some]
+            flat = np.arange(int(size.sum())) + np.repeat(gram_edge[some] - (np.cumsum(size) - size), size)
+            seen[k] += np.bincount(gram[flat], minlength=GRAMS)
+    net.p["C"][:, 0] = _log_odds(seen[1], seen[0])
     first, length, doc = windows(edge)
     window_edge = np.searchsorted(doc, np.arange(len(texts) + 1))
     vectors = net.inputs(word, gram, own)
@@ -228,8 +232,10 @@ def train(texts: list[str], toxic: np.ndarray, prior: float, epochs: int = 6, ba
     strength = run[np.minimum(first + length, len(inverse))] - run[np.minimum(first, len(inverse))]
     moments = {k: [np.zeros_like(x), np.zeros_like(x)] for k, x in net.p.items()}
     step = 0
+    each = -(-(len(texts) + int((~toxic).sum())) // batch)  # steps to see every window chosen once
+    epochs = max(6, -(-steps // each))
     for epoch in range(epochs):
-        if epoch in (2, 4):
+        if epoch in (epochs // 3, 2 * epochs // 3):
             strength = _all_logits(net, word, gram, own, first, length, inverse)
         best = np.array([window_edge[k] + int(np.argmax(strength[window_edge[k] : window_edge[k + 1]])) for k in range(len(texts))])
         other = np.flatnonzero(~toxic)
