@@ -184,3 +184,14 @@ def test_changes_of_an_empty_epoch(spark):
     a, none = spark.createDataFrame([("s", 5, x) for x in range(10)], MASK), spark.createDataFrame([], MASK)
     n = lambda df: {r.change: r["count"] for r in df.groupBy("change").count().collect()}
     assert n(analytics.changes(a, none, scenes)) == {"removed": 10} and n(analytics.changes(none, a, scenes)) == {"added": 10} and n(analytics.changes(a, a, scenes)) == {"unchanged": 10}
+
+
+def test_row_numbers_over_many_ranges(spark):
+    from veinway.operators.inference import batches
+    from veinway.operators.ranking import numbered
+
+    rows = spark.range(0, 1000, 1, 7).select(F.pmod(F.xxhash64("id"), F.lit(50)).alias("k"), "id")
+    got = numbered(rows, [F.desc("k"), F.col("id")], "n").collect()
+    assert [r.n for r in sorted(got, key=lambda r: (-r.k, r.id))] == list(range(1000))
+    assert numbered(rows.where("id < 0"), ["id"], "n").count() == 0
+    assert sorted(r["count"] for r in batches(rows, ["id"], 300).groupBy("batch").count().collect()) == [100, 300, 300, 300]

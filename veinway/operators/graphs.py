@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import discard, materialise, work_dir
 from .components import connected_components
+from .ranking import numbered
 
 # Labels of the degree classes.
 DEGREE_LABELS = ["Dead End (Degree 1)", "Continuation (Degree 2)", "T-Junction (Degree 3)", "Complex Intersection (Degree 4+)"]
@@ -36,14 +37,11 @@ def degree_distribution(degree: DataFrame) -> DataFrame:
 
 
 def component_table(components: DataFrame) -> DataFrame:
-    """Components by size: rank from 0, least node, count and share of nodes [N3, T10, O2].
-
-    Ranks need one order over all components, so the sort holds a row for each component.
-    """
+    """Components by size: rank from 0, least node, count and share of nodes [N3, T10, O2]."""
     sizes = components.groupBy("component").agg(F.count("*").alias("count"))
-    total = sizes.agg(F.sum("count").alias("total"))
-    w = Window.orderBy(F.desc("count"), "component")
-    return sizes.crossJoin(F.broadcast(total)).select((F.row_number().over(w) - 1).alias("id"), "component", "count", F.round(F.col("count") * 100.0 / F.col("total"), 1).alias("percentage"))
+    total = components.agg(F.count("*").alias("total"))
+    ranked = numbered(sizes, [F.desc("count"), F.col("component")], "id")
+    return ranked.crossJoin(F.broadcast(total)).select("id", "component", "count", F.round(F.col("count") * 100.0 / F.col("total"), 1).alias("percentage"))
 
 
 def intelligence(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from . import raster
+from .ranking import numbered
 
 Model = Callable[[np.ndarray], np.ndarray]  # (n, h, w, 3) in 0..1 to (n, h, w)
 TURNS = ("identity", "hflip", "vflip", "rot90")
@@ -78,10 +79,8 @@ def occluded_pixels(obstacles: DataFrame, scenes: DataFrame) -> DataFrame:
 
 def batches(samples: DataFrame, order: list[str], size: int, seed: int = 0) -> DataFrame:
     """Adds epoch batch numbers: rows shuffled by a seeded hash and cut into batches [A28]."""
-    from pyspark.sql import Window
-
-    w = Window.orderBy(F.xxhash64(*order, F.lit(seed)), *order)
-    return samples.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("int"))
+    rows = numbered(samples.withColumn("_mix", F.xxhash64(*order, F.lit(seed))), ["_mix", *order], "_n")
+    return rows.withColumn("batch", F.floor(F.col("_n") / size).cast("long")).drop("_mix", "_n")
 
 
 def soft_metrics(prob: DataFrame, truth: DataFrame, smooth: float = 1.0) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import signals as s
 from ..functions.geometry import METRES_PER_PIXEL
+from .ranking import numbered
 
 
 def mask_coverage(segments: DataFrame, mask: DataFrame) -> DataFrame:
@@ -80,14 +81,14 @@ def issues(flag_rows: DataFrame, scores: DataFrame, places: DataFrame) -> DataFr
     """Numbered issues with reference, percent coordinates, confidence and review level [A31, J3].
 
     ``places``: segment_id with y, x, height, width. Flags without a place are at 0. Only
-    warnings and errors are for review. Numbering needs one order over all flags.
+    warnings and errors are for review.
     """
-    w = Window.orderBy("kind", "segment_id", "detail")
+    flag_rows = numbered(flag_rows, ["kind", "segment_id", "detail"], "_n")
     rows = flag_rows.join(scores.select("segment_id", "overall"), "segment_id", "left").join(places, "segment_id", "left")
     confidence = F.when(F.col("overall").isNotNull(), F.round(F.col("overall") * 100)).otherwise(90.0)
     pct = lambda v, n: F.coalesce(F.round(F.try_divide(F.col(v) * 100.0, F.col(n)), 2), F.lit(0.0))
     level = F.when(confidence < 40, "low").when(confidence < 70, "mid").otherwise("high")
-    return rows.select(F.row_number().over(w).alias("number"), "severity", "kind", "segment_id", F.coalesce(F.concat(F.lit("SEGMENT #"), F.col("segment_id").cast("string")), F.lit("")).alias("reference"),
+    return rows.select((F.col("_n") + 1).alias("number"), "severity", "kind", "segment_id", F.coalesce(F.concat(F.lit("SEGMENT #"), F.col("segment_id").cast("string")), F.lit("")).alias("reference"),
         pct("x", "width").alias("x_pct"), pct("y", "height").alias("y_pct"), confidence.alias("confidence"), level.alias("level"), F.col("severity").isin("warning", "error").alias("for_review"))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..operators import analytics, graphs, kernels, raster, routing, scoring, spatial, topology
 from ..operators.components import connected_components
+from ..operators.ranking import numbered
 from ..sources import vectors
 from . import bindings as b
 
@@ -282,7 +283,7 @@ GEO_EDGES = "ge AS (SELECT src, dst, row_number() OVER (ORDER BY src, dst) AS se
 
 
 def _segments_graph(spark, sf) -> DataFrame:
-    e = b.graph(spark, sf).withColumn("segment_id", F.row_number().over(Window.orderBy("src", "dst")))
+    e = numbered(b.graph(spark, sf), ["src", "dst"], "segment_id").withColumn("segment_id", F.col("segment_id") + 1)
     return e.withColumn("scene_id", F.lit("s0")).withColumn("edge_kind", F.lit("geometry_segment"))
 
 

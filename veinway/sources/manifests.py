@@ -38,14 +38,13 @@ def split_train_val(pairs: DataFrame, order: list[str], share: float = 0.2, seed
     The permutation is of the rows in the given order and is made on the driver from their
     number alone; only the numbers chosen are sent out, as a table.
     """
-    from pyspark.sql import Window
+    from ..operators.ranking import numbered
 
     spark = pairs.sparkSession
     n = pairs.count()
     chosen = np.random.default_rng(seed).permutation(n)[: max(1, int(n * share))] if n else []
     val = spark.createDataFrame([(int(i),) for i in chosen], "row long").withColumn("part", F.lit("val"))
-    numbered = pairs.withColumn("row", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
-    return numbered.join(val, "row", "left").withColumn("part", F.coalesce("part", F.lit("train"))).drop("row")
+    return numbered(pairs, order, "row").join(val, "row", "left").withColumn("part", F.coalesce("part", F.lit("train"))).drop("row")
 
 
 def pair_by_name(images: DataFrame, masks: DataFrame) -> DataFrame:
