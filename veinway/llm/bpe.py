@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .pretokens import split
 from .shared import ship, text_of
 from .textvec import pieces, span_hash
@@ -424,12 +425,17 @@ def decode(v: Vocabulary, ids: np.ndarray) -> bytes:
 
 
 def frequent_words(docs: DataFrame, n: int = LEXICON_WORDS, column: str = "text") -> DataFrame:
-    """The ``n`` most frequent pre-tokens of all documents: word (binary), n. Ties go by the word."""
+    """The most frequent pre-tokens of all documents: word (binary), n; at most ``n`` of them.
+
+    The numbers of words by frequency give the least frequency that still fits; words of
+    lower or equal frequency to the first that doesn't fit stay out together, so no sort
+    brings candidates of all partitions to one task.
+    """
     ship(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, offsets in pieces(batch, "text", 4 << 20):
+            for _, _, data, offsets in pieces(batch, "text"):
                 start, _ = split(data, offsets)
                 if not len(start):
                     continue
@@ -445,7 +451,15 @@ def frequent_words(docs: DataFrame, n: int = LEXICON_WORDS, column: str = "text"
 
     text = docs.select(text_of(docs, column).alias("text"))
     counted = text.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return counted.orderBy(F.desc("n"), "word").limit(n)
+    counted = materialise(counted, "words")
+    left, least = n, 0
+    # a row for each frequency that occurs, at most the square root of twice the corpus's words
+    for row in counted.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).toLocalIterator():
+        left -= row["words"]
+        if left < 0:
+            least = row["n"]
+            break
+    return counted.where(F.col("n") > least)
 
 
 def build_lexicon(docs: DataFrame, vocabulary: Vocabulary, n: int = LEXICON_WORDS, column: str = "text") -> bytes:

@@ -6,6 +6,7 @@ shingles and pre-tokens are NumPy arrays over that buffer.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,12 +56,23 @@ def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int,
         i = j
 
 
+def give_back() -> None:
+    """Return memory that allocators hold free; workers live on through many stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU C library
+        pass
+
+
 def pieces(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of each chunk of a batch."""
     data, offsets = utf8(batch.column(batch.schema.get_field_index(column)))
     for i, j in chunks(offsets, most):
         own = offsets[i : j + 1]
         yield i, j, data[own[0] : own[-1]], own - own[0]
+    del data, offsets
+    give_back()
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
