@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import small_side
 from .shared import ship, text_of
 from .textvec import _BYTE, _POS, mix, pieces, span_hash, words
 
@@ -102,7 +103,8 @@ class Model:
 def training_sample(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE, key: str = "doc_id", language: str = "lang", column: str = "text") -> DataFrame:
     """text and lang of about ``rows`` rows of each language, the same for the same ids."""
     known = docs.select(docs[key].cast("string").alias("id"), docs[language].cast("string").alias("lang"), text_of(docs, column).alias("text")).where("lang is not null")
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
+    # a row for each language: narrow, and broadcast so that no text is dealt out by language
+    sizes = small_side(known.groupBy("lang").agg(F.count("*").alias("n")), "languages")
     part = F.pmod(F.xxhash64("id", "lang"), F.lit(1 << 30)) / F.lit(1 << 30)
     return known.join(sizes, "lang").where(part < F.lit(rows) / F.col("n")).select("lang", F.lower("text").alias("text"))
 
