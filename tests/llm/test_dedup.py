@@ -148,3 +148,35 @@ def test_exact_dedup_keeps_rows_by_id_and_text(spark):
 def test_native_plan_has_no_python(spark):
     plan = exactdedup.groups(frame(spark, EXACT), digests=True)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def planted(monkeypatch, agreements, similar):
+    """Signatures in one bucket that agree in given shares, and exact checks of the pairs in ``similar`` only."""
+    import pyarrow as pa
+
+    names = list(agreements)
+
+    def signatures(docs, key="doc_id", column="text"):
+        rows = [(n, n, n, np.asarray(agreements[n], "<u2").tobytes(), [1]) for n in names]
+        return docs.sparkSession.createDataFrame(rows, "node long, h1 long, h2 long, sig binary, bands array<long>")
+
+    def exact(pairs, threshold):
+        def run(batches):
+            for t in batches:
+                keep = [p in similar for p in zip(t["a"].to_pylist(), t["b"].to_pylist(), strict=True)]
+                yield t.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+        return pairs.select("a", "b").mapInArrow(run, "a long, b long")
+
+    monkeypatch.setattr(dartdedup, "signatures", signatures)
+    monkeypatch.setattr(dartdedup, "_exact", exact)
+
+
+def test_pair_behind_failed_forest_edges_is_checked(spark, monkeypatch):
+    base = np.arange(dartdedup.K)
+    a, b = base.copy(), base.copy()
+    a[:19] += 1000  # agrees with the leader in 0.84
+    b[1:20] += 2000  # so does this, and in 0.83 with the other
+    planted(monkeypatch, {1: base, 2: a, 3: b, 4: np.r_[a[:60], base[60:] + 5000]}, {(2, 3)})
+    got = {r.doc_id: r.class_id for r in dartdedup.near_duplicates(frame(spark, [(i, "t") for i in (1, 2, 3, 4)])).collect()}
+    assert got == {1: 1, 2: 2, 3: 2, 4: 4}

@@ -11,9 +11,10 @@ weighted Jaccard similarity.
 Equal texts (by words) first become one representative. Representatives that share a band
 of the signature are compared with the bucket's leader: candidates whose signatures are
 near enough are checked exactly on their shingles. Buckets that still hold members of
-several classes go into further rounds (a best spanning forest of the signatures' similarity
-within chunks of the bucket, with the bucket's best-linked member in every chunk) until a
-round finds no new link. Classes are connected components; no step gathers a bucket.
+several classes go into further rounds, chunk against chunk: the best pairs of different
+classes by the signatures' similarity that have not been checked yet, until every pair whose
+signatures are near enough is in one class or has been checked. Classes are connected
+components; no step gathers a bucket.
 
 Cases: null text counts as empty; documents without words are alone; documents of fewer
 words than a shingle have one shingle of all their words; a null id is alone; rows that
@@ -44,7 +45,7 @@ K = BANDS * ROWS
 #: Candidates whose signatures agree less are taken for less similar than the threshold
 #: without an exact check: over four standard deviations at K = 120.
 FLOOR = 0.64
-#: Members of a bucket that are compared with one another at once.
+#: Members of a bucket in a chunk; chunks are compared two at a time.
 CHUNK = 256
 
 def unit_cells(shingle: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -177,11 +178,15 @@ def _exact(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _verify(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Those of some distinct pairs (a, b) whose texts are at least ``threshold`` similar; a table."""
+def _near(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Those of some pairs (a, b) whose signatures agree in at least FLOOR of the coordinates; a table."""
     near = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a")
     near = near.join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
-    near = materialise(_agreement(near).distinct(), "near")
+    return materialise(_agreement(near).distinct(), "near")
+
+
+def _verify(near: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Those of some distinct pairs (a, b) whose texts are at least ``threshold`` similar; a table."""
     needed = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     own = materialise(texts.join(small_side(needed, "needed"), "node", "left_semi"), "texts")
     both = near.join(own.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
@@ -189,38 +194,94 @@ def _verify(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, threshold: floa
     return materialise(_exact(both, threshold).distinct(), "links")
 
 
-def _forests(rows: DataFrame) -> DataFrame:
-    """Of rows (key, salt, node, comp, sig): in each chunk, a best spanning forest between the classes."""
-
-    def forest(node: np.ndarray, comp: np.ndarray, sig: np.ndarray) -> list[tuple[int, int]]:
-        top = {int(c): int(c) for c in comp}
+#: A block of a bucket: two of its chunks (the same twice: the pairs within it), each given by three numbers.
+BLOCK = ["key", *(f"{end}_{c}" for end in ("low", "high") for c in ("big", "of", "i"))]
+
+
+def _blocks(members: DataFrame, failed: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Of members (key, node, comp): rows (*BLOCK, kind, node, comp, other, sig) that meet each pair of different classes of a bucket in one block.
+
+    A class of more than CHUNK members of a bucket has chunks of its own, whose pairs are left
+    out; all other members share chunks. Kind is 0 for the members of the lower chunk, 1 for
+    those of the higher one and 2 for pairs (node, other) of ``failed``.
+    """
+    sizes = materialise(members.groupBy("key", "comp").agg(F.count("*").alias("n")), "sizes")
+    pooled = sizes.where(F.col("n") <= CHUNK).groupBy("key").agg(F.ceil(F.sum("n") / CHUNK).alias("pools"))
+    part = lambda big, of, i: F.struct(big.alias("big"), of.alias("of"), i.alias("i"))
+    large, zero = F.lit(1), F.lit(0).cast("long")
+    many = lambda n: F.explode(F.sequence(zero, n - 1)).alias("i")
+    chunks = sizes.where(F.col("n") > CHUNK).select("key", "comp", many(F.ceil(F.col("n") / CHUNK))).select("key", part(large, F.col("comp"), F.col("i")).alias("part"))
+    chunks = materialise(chunks.unionByName(pooled.select("key", many(F.col("pools"))).select("key", part(F.lit(0), zero, F.col("i")).alias("part"))), "chunks")
+    blocks = chunks.withColumnRenamed("part", "low").join(chunks.withColumnRenamed("part", "high"), "key")
+    same_class = (F.col("low.big") == 1) & (F.col("high.big") == 1) & (F.col("low.of") == F.col("high.of"))
+    blocks = blocks.where((F.col("low") <= F.col("high")) & ~same_class)
+    at = skew_join(skew_join(members, sizes, ["key", "comp"]), pooled, ["key"], "left")
+    salt = lambda n: F.pmod(F.xxhash64("node"), n)
+    at = at.select("key", "node", "comp", F.when(F.col("n") > CHUNK, part(large, F.col("comp"), salt(F.ceil(F.col("n") / CHUNK)))).otherwise(part(F.lit(0), zero, salt(F.col("pools")))).alias("part"))
+    at = materialise(at, "members")
+    sides = blocks.select("key", F.col("low").alias("part"), "low", "high", F.lit(0).alias("kind"))
+    sides = sides.unionByName(blocks.where("low <> high").select("key", F.col("high").alias("part"), "low", "high", F.lit(1).alias("kind")))
+    flat = [F.col("key"), *(F.col(c.replace("_", ".", 1)).alias(c) for c in BLOCK[1:])]
+    rows = skew_join(at, sides, ["key", "part"]).join(sigs, "node").select(*flat, "kind", "node", "comp", zero.alias("other"), "sig")
+    end = lambda c: at.select("key", F.col("node").alias(c), F.col("comp").alias(f"comp_{c}"), F.col("part").alias(f"part_{c}"))
+    known = skew_join(skew_join(failed, end("a"), ["a"]), end("b"), ["key", "b"]).where("comp_a <> comp_b")
+    known = known.select("key", "a", "b", F.least("part_a", "part_b").alias("low"), F.greatest("part_a", "part_b").alias("high"))
+    known = known.select(*flat, F.lit(2).alias("kind"), F.col("a").alias("node"), zero.alias("comp"), F.col("b").alias("other"), F.lit(b"").alias("sig"))
+    return rows.unionByName(known)
+
+
+def _forests(rows: DataFrame, width: int) -> DataFrame:
+    """Of the rows of ``_blocks``: pairs (a, b) to check, and whether the block has further ones (key, a, b, rest).
+
+    Of the pairs of different classes that agree in FLOOR and have not failed, each block gives
+    a best spanning forest and the best ``width - 1`` pairs for each member.
+    """
+
+    def forest(same: bool, kind: np.ndarray, node: np.ndarray, comp: np.ndarray, other: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+        low, high = np.flatnonzero(kind == 0), np.flatnonzero(kind == (0 if same else 1))
+        if not len(low) or not len(high):
+            return node[:0], node[:0], False
+        agree = np.stack([(sig[high] == s).mean(1) for s in sig[low]])
+        near = (agree >= FLOOR) & (comp[low][:, None] != comp[high][None, :])
+        i, j = np.nonzero(np.triu(near, 1) if same else near)
+        agree, i, j = agree[i, j], low[i], high[j]
+        a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+        ids = np.unique(node)
+        code = lambda x, y: np.searchsorted(ids, x) * len(ids) + np.searchsorted(ids, y)
+        gone = kind == 2
+        open_ = ~np.isin(code(a, b), code(node[gone], other[gone]))
+        order = np.flatnonzero(open_)[np.argsort(-agree[open_], kind="stable")]
+        taken = np.arange(len(order)) < (width - 1) * (len(low) + (0 if same else len(high)))
+        top = {int(c): int(c) for c in comp[kind < 2]}
 
         def find(x: int) -> int:
             while top[x] != x:
                 top[x] = x = top[top[x]]
             return x
 
-        agree = np.stack([(sig == s).mean(1) for s in sig])
-        i, j = np.nonzero(np.triu((agree >= FLOOR) & (comp[:, None] != comp[None, :]), 1))
-        out = []
-        for t in np.argsort(-agree[i, j], kind="stable"):
-            x, y = find(int(comp[i[t]])), find(int(comp[j[t]]))
+        for t, (x, y) in enumerate(zip(comp[i[order]].tolist(), comp[j[order]].tolist(), strict=True)):
+            x, y = find(x), find(y)
             if x != y:
-                top[x] = y
-                a, b = sorted((int(node[i[t]]), int(node[j[t]])))
-                out.append((a, b))
-        return out
+                top[x], taken[t] = y, True
+        return a[order[taken]], b[order[taken]], not taken.all()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
 
-        def solve(t: pa.Table, last: bool) -> tuple[pa.Table | None, list[tuple[int, int]]]:
-            key, salt = np.asarray(t["key"]), np.asarray(t["salt"])
-            cut = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1]), [True])))
-            node, comp = np.asarray(t["node"]), np.asarray(t["comp"])
+        def solve(t: pa.Table, last: bool) -> tuple[pa.Table | None, list[pa.RecordBatch]]:
+            block = [np.asarray(t[c]) for c in BLOCK]
+            cut = np.flatnonzero(np.concatenate(([True], np.any([x[1:] != x[:-1] for x in block], axis=0), [True])))
+            kind, node, comp, other = (np.asarray(t[c]) for c in ("kind", "node", "comp", "other"))
             sig = np.frombuffer(utf8_binary(t["sig"].combine_chunks() if isinstance(t["sig"], pa.ChunkedArray) else t["sig"]), "<u2").reshape(-1, K)
+            place = np.concatenate(([0], np.cumsum(kind < 2)))
+            same = np.all([block[c] == block[c + 3] for c in (1, 2, 3)], axis=0)
             stop = len(cut) - 1 if last else len(cut) - 2
-            found = [e for g in range(stop) if cut[g + 1] - cut[g] > 1 for e in forest(*(x[cut[g] : cut[g + 1]] for x in (node, comp, sig)))]
+            found = []
+            for g in range(stop):
+                u, v = cut[g], cut[g + 1]
+                a, b, rest = forest(bool(same[u]), *(x[u:v] for x in (kind, node, comp, other)), sig[place[u] : place[v]])
+                if len(a):
+                    found.append(pa.RecordBatch.from_arrays([pa.array(np.full(len(a), block[0][u])), pa.array(a), pa.array(b), pa.array(np.full(len(a), rest))], ["key", "a", "b", "rest"]))
             return (None if last else t.slice(cut[stop])), found
 
         for batch in batches:
@@ -228,14 +289,14 @@ def _forests(rows: DataFrame) -> DataFrame:
             held = pa.concat_tables([held, t]).combine_chunks() if held is not None else t
             held, found = solve(held, False)
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in found]), pa.array([e[1] for e in found])], ["a", "b"])
+                yield pa.Table.from_batches(found).combine_chunks().to_batches()[0]
         if held is not None and held.num_rows:
             _, found = solve(held, True)
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in found]), pa.array([e[1] for e in found])], ["a", "b"])
+                yield pa.Table.from_batches(found).combine_chunks().to_batches()[0]
 
-    dealt = rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "node")
-    return dealt.select("key", "salt", "node", "comp", "sig").mapInArrow(run, "a long, b long")
+    dealt = rows.repartition(*BLOCK).sortWithinPartitions(*BLOCK, "kind", "node")
+    return dealt.select(*BLOCK, "kind", "node", "comp", "other", "sig").mapInArrow(run, "key long, a long, b long, rest boolean")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -253,28 +314,29 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", column: str = "text",
     shared = materialise(skew_join(banded, leaders, ["key"]), "buckets")
     pairs = shared.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     pairs = materialise(pairs, "pairs")
-    links = _verify(pairs, sigs, texts, threshold)
-    tried = pairs
+    near = _near(pairs, sigs)
+    links = _verify(near, texts, threshold)
+    failed = materialise(near.join(links, ["a", "b"], "left_anti"), "failed")
     classes = materialise(connected_components(links, src="a", dst="b"), "classes")
+    # a bucket without further pairs in one round has none in later ones
+    width = 1
     while True:
-        known = shared.join(classes, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("comp"))
-        degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-        ranked = skew_join(known, degree, ["node"], "left").select("key", "node", "n", "comp", F.coalesce("degree", F.lit(0)).alias("degree"))
-        mixed = ranked.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max_by("node", "degree").alias("pivot")).where("low <> high").select("key", "pivot")
-        open_ = skew_join(ranked, mixed, ["key"])
-        parts = F.ceil(F.col("n") / CHUNK)
-        salt = F.pmod(F.xxhash64("node"), parts)
-        spread = F.when((F.col("node") == F.col("pivot")) & (parts > 1), F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array(salt))
-        rows = open_.select("key", "node", "comp", F.explode(spread).alias("salt")).join(sigs, "node")
-        more = materialise(_forests(rows).distinct().join(tried, ["a", "b"], "left_anti"), "more")
+        known = shared.join(classes, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
+        mixed = known.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+        members = materialise(skew_join(known, mixed, ["key"]), "open")
+        found = materialise(_forests(_blocks(members, failed, sigs), width), "found")
+        more = materialise(found.select("a", "b").distinct(), "more")
         if more.isEmpty():
             break
-        fresh = _verify(more, sigs, texts, threshold)
-        if fresh.isEmpty():
-            break
-        tried = materialise(tried.unionByName(more), "tried")
+        fresh = _verify(more, texts, threshold)
         links = materialise(links.unionByName(fresh), "links")
         classes = materialise(connected_components(links, src="a", dst="b"), "classes")
+        keys = materialise(found.where("rest").select("key").distinct(), "keys")
+        if keys.isEmpty():
+            break
+        failed = materialise(failed.unionByName(more.join(fresh, ["a", "b"], "left_anti")), "failed")
+        shared = materialise(skew_join(shared, keys, ["key"]), "buckets")
+        width *= 4
     placed = copies.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "rep", "copies", F.coalesce("component", "rep").alias("class_id"))
     sizes = placed.groupBy("class_id").agg(F.sum("copies").alias("group_size"))
     placed = skew_join(placed, sizes, ["class_id"]).select("h1", "h2", "rep", "class_id", "group_size")
