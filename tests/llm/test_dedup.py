@@ -180,3 +180,15 @@ def test_pair_behind_failed_forest_edges_is_checked(spark, monkeypatch):
     planted(monkeypatch, {1: base, 2: a, 3: b, 4: np.r_[a[:60], base[60:] + 5000]}, {(2, 3)})
     got = {r.doc_id: r.class_id for r in dartdedup.near_duplicates(frame(spark, [(i, "t") for i in (1, 2, 3, 4)])).collect()}
     assert got == {1: 1, 2: 2, 3: 2, 4: 4}
+
+
+def test_pairs_in_different_chunks_are_checked(spark, monkeypatch):
+    monkeypatch.setattr(dartdedup, "CHUNK", 2)
+    rows, pairs = {1: np.arange(dartdedup.K)}, set()
+    for p in range(2, 14, 2):
+        rows[p] = np.arange(dartdedup.K) + 1000 * p
+        rows[p + 1] = np.r_[rows[p][:100], rows[p][100:] + 500]  # agrees in 0.83
+        pairs.add((p, p + 1))
+    planted(monkeypatch, rows, pairs)
+    got = {r.doc_id: r.class_id for r in dartdedup.near_duplicates(frame(spark, [(i, "t") for i in rows])).collect()}
+    assert got == {i: i - (i > 1 and i % 2) for i in rows}
