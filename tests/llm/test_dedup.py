@@ -192,3 +192,11 @@ def test_pairs_in_different_chunks_are_checked(spark, monkeypatch):
     planted(monkeypatch, rows, pairs)
     got = {r.doc_id: r.class_id for r in dartdedup.near_duplicates(frame(spark, [(i, "t") for i in rows])).collect()}
     assert got == {i: i - (i > 1 and i % 2) for i in rows}
+
+
+def test_texts_that_share_an_id_are_in_one_class(spark):
+    r = random.Random(8)
+    one, two, three = random_texts(r, 3, 120)
+    rows = [(5, one), (5, two), (7, edited(r, one, 1)), (8, edited(r, two, 1)), (1, three), (9, three), (9, edited(r, two, 1)), (2, "")]
+    got = dartdedup.near_duplicates(frame(spark, rows)).collect()
+    assert Counter((g.doc_id, g.class_id) for g in got) == Counter(zip([k for k, _ in rows], brute_classes(rows), strict=True))

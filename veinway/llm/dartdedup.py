@@ -306,18 +306,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", column: str = "text",
     copies = usable.groupBy("h1", "h2").agg(F.min("node").alias("rep"), F.count("*").alias("copies"))
     copies = materialise(copies, "copies")
     reps = usable.join(copies.select("h1", "h2", F.col("rep").alias("node")), ["h1", "h2", "node"], "left_semi")
-    reps = materialise(reps.select("node", "sig", "bands").dropDuplicates(["node"]), "reps")
+    reps = materialise(reps.select("node", "h1", "h2", "sig", "bands").dropDuplicates(["node", "h1", "h2"]), "reps")
+    # an id with several texts joins their classes
+    repeated = materialise(usable.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node"), "repeated")
+    texts_of = usable.join(small_side(repeated, "repeated"), "node", "left_semi").select("node", "h1", "h2").distinct()
+    shared_ids = skew_join(texts_of, copies.select("h1", "h2", "rep"), ["h1", "h2"]).select(F.col("node").alias("a"), F.col("rep").alias("b")).where("a <> b")
+    shared_ids = materialise(shared_ids, "shared_ids")
     sigs = reps.select("node", "sig")
     texts = docs.select(docs[key].cast("long").alias("node"), text_of(docs, column).alias("text"))
     banded = reps.select("node", F.explode("bands").alias("key"))
     leaders = banded.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    shared = materialise(skew_join(banded, leaders, ["key"]), "buckets")
+    shared = materialise(skew_join(banded, leaders, ["key"]).dropDuplicates(["key", "node"]), "buckets")
     pairs = shared.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     pairs = materialise(pairs, "pairs")
     near = _near(pairs, sigs)
     links = _verify(near, texts, threshold)
     failed = materialise(near.join(links, ["a", "b"], "left_anti"), "failed")
-    classes = materialise(connected_components(links, src="a", dst="b"), "classes")
+    classes = materialise(connected_components(links.unionByName(shared_ids), src="a", dst="b"), "classes")
     # a bucket without further pairs in one round has none in later ones
     width = 1
     while True:
@@ -330,7 +335,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", column: str = "text",
             break
         fresh = _verify(more, texts, threshold)
         links = materialise(links.unionByName(fresh), "links")
-        classes = materialise(connected_components(links, src="a", dst="b"), "classes")
+        classes = materialise(connected_components(links.unionByName(shared_ids), src="a", dst="b"), "classes")
         keys = materialise(found.where("rest").select("key").distinct(), "keys")
         if keys.isEmpty():
             break
