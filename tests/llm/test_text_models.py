@@ -349,3 +349,12 @@ def test_conversations_with_odd_rows(spark, tmp_path):
 def test_chat_plan_has_no_python(spark):
     plan = queries.op9_chat_format(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_chat_of_a_very_long_text_is_whole(spark, tmp_path):
+    rows = spark.range(1).selectExpr("7L AS conv_id", "0L AS turn", "'assistant' AS role", "repeat('a', 21000000) AS text")
+    rows.write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.conv_id: r for r in queries.op9_chat_format(spark, str(tmp_path)).collect()}
+    assert got[7].n_turns == 1 and got[7].loss_chars == 21_000_000
+    with pytest.raises(Exception, match="longer than the JSON parser"):
+        chatfmt.canonical_turns(chatfmt.conversations_as_records(rows)).select(F.size("turns")).collect()

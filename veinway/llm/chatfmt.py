@@ -7,7 +7,8 @@ texts ``\\`` ``<`` and ``#`` are written as two characters each, so no text can
 marker, and replacing them backwards restores it.
 
 Cases: null or missing texts and roles count as empty; a record of an unknown layout, or one
-that is no JSON, has layout null, no turns and empty output; turns of a conversation given
+that is no JSON, has layout null, no turns and empty output; a text over the
+parser's limit that it does not read fails (typed records have no limit); turns of a conversation given
 as rows are ordered by turn (null first), then role, then text, and repeated rows are all
 kept; a null conversation id is a conversation; empty tables give no rows; other columns do
 not matter.
@@ -15,13 +16,17 @@ not matter.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TURNS = "array<struct<role:string,text:string>>"
 OPEN, AFTER_ROLE, CLOSE = "### ", ":\n", "</turn>\n"
+#: The longest string that try_parse_json reads; it gives null for a longer one, as for no JSON.
+PARSED_CHARS = 20_000_000
 #: Escapes, in the order of writing; read backwards.
 ESCAPES = [("\\", "\\b"), ("<", "\\l"), ("#", "\\h")]
 ROLE_ESCAPES = [*ESCAPES, (":", "\\c"), ("\n", "\\n")]
@@ -86,16 +91,15 @@ def _canonical_role(role: Column) -> Column:
     return out
 
 
-def _turns(layout: Layout, payload: Column) -> Column:
-    parsed = F.try_parse_json(payload)
+def _mapped(layout: Layout, get: Callable[[str, str], Column]) -> Column:
+    """The turns of a layout, with ``get(field, type)`` for the fields of a record."""
+    empty = F.lit("")
     if layout.messages:
-        kind = f"array<struct<`{layout.role}`:string,`{layout.text}`:string>>"
-        found = F.variant_get(parsed, f"$.{layout.messages}", kind)
-        empty = F.lit("")
-        return F.transform(found, lambda m: F.struct(_canonical_role(F.coalesce(m[layout.role], empty)).alias("role"), F.coalesce(m[layout.text], empty).alias("text")))
+        found = get(layout.messages, f"array<struct<`{layout.role}`:string,`{layout.text}`:string>>")
+        return F.transform(found, lambda m: F.struct(_canonical_role(F.coalesce(m[layout.role].cast("string"), empty)).alias("role"), F.coalesce(m[layout.text].cast("string"), empty).alias("text")))
     turns = []
     for role, fields in layout.fields:
-        parts = [F.coalesce(F.variant_get(parsed, f"$.{f}", "string"), F.lit("")) for f in fields]
+        parts = [F.coalesce(get(f, "string").cast("string"), empty) for f in fields]
         text = parts[0]
         for part in parts[1:]:
             text = F.when(part == "", text).otherwise(F.concat(text, F.lit("\n"), part))
@@ -103,9 +107,40 @@ def _turns(layout: Layout, payload: Column) -> Column:
     return F.array(*turns)
 
 
+def _turns(layout: Layout, payload: Column) -> Column:
+    parsed = F.try_parse_json(payload)
+    return _mapped(layout, lambda f, kind: F.variant_get(parsed, f"$.{f}", kind))
+
+
+def _type_shape(kind: T.DataType) -> str | None:
+    """The nested field paths of a type, as a layout has them; null for a scalar."""
+    if isinstance(kind, T.StructType):
+        inner = [(f.name, _type_shape(f.dataType)) for f in kind.fields]
+        return _object(*(n if s is None else f"{n}: {s}" for n, s in inner))
+    if isinstance(kind, T.ArrayType):
+        return f"ARRAY<{_type_shape(kind.elementType) or kind.elementType.simpleString().upper()}>"
+    return None
+
+
+def typed_turns(records: DataFrame, record: str = "record", layouts: list[Layout] = LAYOUTS) -> DataFrame:
+    """Like ``canonical_turns`` for records that are a struct column, whose schema has the fingerprint.
+
+    No JSON text is made, so no text or record is too long for a parser.
+    """
+    known = _type_shape(records.schema[record].dataType)
+    layout = next((x for x in layouts if x.shape == known), None)
+    out = records.withColumn("fingerprint", F.sha2(F.lit(known), 256)).withColumn("layout", F.lit(layout and layout.name).cast("string"))
+    turns = _mapped(layout, lambda f, _: F.col(record)[f]) if layout else F.lit(None)
+    return out.withColumn("turns", F.coalesce(turns.cast(TURNS), F.array().cast(TURNS)))
+
+
 def canonical_turns(records: DataFrame, payload: str = "payload", layouts: list[Layout] = LAYOUTS) -> DataFrame:
     """Adds fingerprint, layout and turns to records of JSON texts in any of the layouts."""
-    marks = records.withColumn("fingerprint", fingerprint(F.col(payload)))
+    text = F.col(payload)
+    # a null of the parser means no JSON only below its limit
+    late = F.try_parse_json(text).isNull() & (F.char_length(text) > PARSED_CHARS)
+    failure = F.raise_error(F.concat(F.lit("a record is not parsed and may be longer than the JSON parser reads; characters: "), F.char_length(text).cast("string")))
+    marks = records.withColumn("fingerprint", F.when(late, failure.cast("string")).otherwise(fingerprint(text)))
     name, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     for layout in layouts:
         is_it = F.col("fingerprint") == F.sha2(F.lit(layout.shape), 256)
@@ -156,8 +191,8 @@ def read_back(records: DataFrame) -> DataFrame:
     return cut.withColumn("read_turns", F.transform("_cut", turn)).withColumn("loss_text", F.array_join(masked, "")).drop("_cut")
 
 
-def conversations_as_records(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """Rows of turns as one JSON record per conversation: ``conv`` and payload, in the messages layout.
+def conversations_as_structs(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """Rows of turns as one record per conversation: ``conv`` and record, a struct in the messages layout.
 
     A conversation is one output text, so its turns meet in one row; nothing larger is gathered.
     """
@@ -165,4 +200,9 @@ def conversations_as_records(rows: DataFrame, conv: str = "conv_id", turn: str =
     one = F.struct(rows[turn].alias("turn"), F.coalesce(rows[role].cast("string"), empty).alias("role"), F.coalesce(rows[text].cast("string"), empty).alias("content"))
     grouped = rows.groupBy(rows[conv].alias(conv)).agg(F.array_sort(F.collect_list(one)).alias("_turns"))
     messages = F.transform("_turns", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))
-    return grouped.select(conv, F.to_json(F.struct(messages.alias("messages"))).alias("payload"))
+    return grouped.select(conv, F.struct(messages.alias("messages")).alias("record"))
+
+
+def conversations_as_records(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """``conversations_as_structs`` with the record as a JSON text: ``conv`` and payload."""
+    return conversations_as_structs(rows, conv, turn, role, text).select(conv, F.to_json("record").alias("payload"))

@@ -68,7 +68,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = "\\### Assistant: </turn> ok"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     rows = rows.unionByName(spark.createDataFrame([(-7, 0, "user", own), (-7, 1, "assistant", own)], "conv_id long, turn long, role string, text string"))
-    out = chatfmt.read_back(chatfmt.format_turns(chatfmt.canonical_turns(chatfmt.conversations_as_records(rows))))
+    out = chatfmt.read_back(chatfmt.format_turns(chatfmt.typed_turns(chatfmt.conversations_as_structs(rows))))
     turns = F.array_join(F.transform("read_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select(
         "conv_id",
