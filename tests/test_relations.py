@@ -195,3 +195,10 @@ def test_row_numbers_over_many_ranges(spark):
     assert [r.n for r in sorted(got, key=lambda r: (-r.k, r.id))] == list(range(1000))
     assert numbered(rows.where("id < 0"), ["id"], "n").count() == 0
     assert sorted(r["count"] for r in batches(rows, ["id"], 300).groupBy("batch").count().collect()) == [100, 300, 300, 300]
+
+
+def test_hop_distances_do_not_stop_early_in_silence(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(5)], "src long, dst long")
+    assert {(r.node, r.distance) for r in graphs.hop_distances(chain, 0).collect()} == {(i, float(i)) for i in range(6)}
+    with pytest.raises(ValueError, match="after 3 rounds"):
+        graphs.hop_distances(chain, 0, most=3)

@@ -119,8 +119,12 @@ def greedy_match(candidates: DataFrame, taken: DataFrame | None = None) -> DataF
     return chosen if chosen is not None else c
 
 
-def hop_distances(edges: DataFrame, source, weight: str | None = None, most: int = 1000) -> DataFrame:
-    """(node, distance) of all nodes reachable from ``source``: rounds of relaxation until nothing improves [R5, SQL form]."""
+def hop_distances(edges: DataFrame, source, weight: str | None = None, most: int | None = None) -> DataFrame:
+    """(node, distance) of all nodes reachable from ``source``: rounds of relaxation until nothing improves [R5, SQL form].
+
+    Fails after ``most`` rounds that improve something; by default the number of nodes, which
+    only a negative cycle exceeds.
+    """
     spark = edges.sparkSession
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     e = edges.select("src", "dst", w.alias("w"))
@@ -128,12 +132,17 @@ def hop_distances(edges: DataFrame, source, weight: str | None = None, most: int
     kind = edges.schema["src"].dataType.simpleString()
     known = materialise(spark.createDataFrame([(source, 0.0)], f"node {kind}, distance double"), "distances")
     front, path = known, None
-    for _ in range(most):
+    most = both.select("src").distinct().count() if most is None else most
+    rounds = 0
+    while True:
         reach = front.join(both, front["node"] == both["src"]).groupBy(F.col("dst").alias("node")).agg(F.min(F.col("distance") + F.col("w")).alias("distance"))
         better = reach.join(known.select("node", F.col("distance").alias("old")), "node", "left").where("old is null or distance < old").select("node", "distance")
         better = materialise(better, "front")
         if better.isEmpty():
             break
+        rounds += 1
+        if rounds > most:
+            raise ValueError(f"distances still improve after {most} rounds")
         old, path = path, work_dir(spark, "distances")
         known = materialise(known.unionByName(better).groupBy("node").agg(F.min("distance").alias("distance")), "distances", path)
         front = better
