@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -27,13 +28,23 @@ def session(cores: int | str = "*", partitions: int = 8, memory: str = "8g") ->
     )
 
 
+_own_root: dict[str, str] = {}
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset, a temporary one in local mode only.
+
+    On a cluster a machine's own folder would not be seen by the others, so an unset folder fails there.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="veinway-")
-        atexit.register(shutil.rmtree, root[7:], ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", root)
+        context = spark.sparkContext
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        if context.applicationId not in _own_root:
+            _own_root[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="veinway-")
+            atexit.register(shutil.rmtree, _own_root[context.applicationId][7:], ignore_errors=True)
+        root = _own_root[context.applicationId]
     return root.rstrip("/")
 
 
@@ -59,6 +70,20 @@ def discard(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+class Scratch:
+    """Tables of one job, in a folder of their own that goes once nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.root, self.made = spark, work_dir(spark, "scratch"), 0
+
+    def table(self, df: DataFrame, what: str) -> DataFrame:
+        self.made += 1
+        return materialise(df, what, f"{self.root}/{self.made:03d}-{what}")
+
+    def drop(self) -> None:
+        discard(self.spark, self.root)
+
+
 _shipped: set[str] = set()
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
