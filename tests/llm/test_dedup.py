@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from veinway.llm import dartdedup, exactdedup
 
@@ -43,7 +44,7 @@ def brute_classes(rows, threshold=0.8):
 
     for i in range(len(rows)):
         for j in range(i):
-            if rows[i][0] is not None and rows[j][0] is not None and s[i] and (rows[i][0] == rows[j][0] or jaccard(s[i], s[j]) >= threshold):
+            if rows[i][0] is not None and rows[j][0] is not None and s[i] and jaccard(s[i], s[j]) >= threshold:
                 top[find(i)] = find(j)
     least = {}
     for i, (k, _) in enumerate(rows):
@@ -90,9 +91,9 @@ def test_near_duplicates_equal_brute_force(spark, corpus):
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in got if r.kept}
 
 
-def test_near_duplicates_in_large_buckets(spark, corpus, monkeypatch):
-    monkeypatch.setattr(dartdedup, "CHUNK", 8)
-    got = {r.doc_id: r.class_id for r in dartdedup.near_duplicates(frame(spark, corpus)).collect()}
+@pytest.mark.parametrize(("chunk", "floor"), [(8, dartdedup.FLOOR), (256, 0.0)])
+def test_near_duplicates_in_large_buckets_and_without_floor(spark, corpus, chunk, floor):
+    got = {r.doc_id: r.class_id for r in dartdedup.near_duplicates(frame(spark, corpus), chunk=chunk, floor=floor).collect()}
     assert got == dict(zip([k for k, _ in corpus], brute_classes(corpus), strict=True))
 
 
@@ -157,46 +158,97 @@ def planted(monkeypatch, agreements, similar):
     names = list(agreements)
 
     def signatures(docs, key="doc_id", column="text"):
-        rows = [(n, n, n, np.asarray(agreements[n], "<u2").tobytes(), [1]) for n in names]
-        return docs.sparkSession.createDataFrame(rows, "node long, h1 long, h2 long, sig binary, bands array<long>")
+        rows = [(n, np.asarray(agreements[n], "<u2").tobytes(), [1]) for n in names]
+        known = docs.sparkSession.createDataFrame(rows, "id long, sig binary, bands array<long>")
+        marked = dartdedup._texts(docs, key, column).select("id", "t1", "t2", F.col("id").alias("h1"), F.col("id").alias("h2"))
+        return marked.join(known, "id").select(*dartdedup.SIGNED.names)
 
     def exact(pairs, threshold):
         def run(batches):
             for t in batches:
-                keep = [p in similar for p in zip(t["a"].to_pylist(), t["b"].to_pylist(), strict=True)]
-                yield t.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                ids = [tuple(sorted(int(x) for x in p)) for p in zip(t["text_a"].to_pylist(), t["text_b"].to_pylist(), strict=True)]
+                yield t.select(["a", "b"]).filter(pa.array([p in similar for p in ids], pa.bool_()))
 
-        return pairs.select("a", "b").mapInArrow(run, "a long, b long")
+        return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
     monkeypatch.setattr(dartdedup, "signatures", signatures)
     monkeypatch.setattr(dartdedup, "_exact", exact)
 
 
-def test_pair_behind_failed_forest_edges_is_checked(spark, monkeypatch):
+@pytest.mark.parametrize("width", [1, 16])
+def test_pair_behind_failed_forest_edges_is_checked(spark, monkeypatch, width):
+    monkeypatch.setattr(dartdedup, "WIDTH", width)
     base = np.arange(dartdedup.K)
     a, b = base.copy(), base.copy()
     a[:19] += 1000  # agrees with the leader in 0.84
     b[1:20] += 2000  # so does this, and in 0.83 with the other
     planted(monkeypatch, {1: base, 2: a, 3: b, 4: np.r_[a[:60], base[60:] + 5000]}, {(2, 3)})
-    got = {r.doc_id: r.class_id for r in dartdedup.near_duplicates(frame(spark, [(i, "t") for i in (1, 2, 3, 4)])).collect()}
+    got = {r.doc_id: r.class_id for r in dartdedup.near_duplicates(frame(spark, [(i, str(i)) for i in (1, 2, 3, 4)])).collect()}
     assert got == {1: 1, 2: 2, 3: 2, 4: 4}
 
 
-def test_pairs_in_different_chunks_are_checked(spark, monkeypatch):
-    monkeypatch.setattr(dartdedup, "CHUNK", 2)
+@pytest.mark.parametrize("width", [1, 16])
+def test_pairs_in_different_chunks_are_checked(spark, monkeypatch, width):
+    monkeypatch.setattr(dartdedup, "WIDTH", width)
     rows, pairs = {1: np.arange(dartdedup.K)}, set()
     for p in range(2, 14, 2):
         rows[p] = np.arange(dartdedup.K) + 1000 * p
         rows[p + 1] = np.r_[rows[p][:100], rows[p][100:] + 500]  # agrees in 0.83
         pairs.add((p, p + 1))
     planted(monkeypatch, rows, pairs)
-    got = {r.doc_id: r.class_id for r in dartdedup.near_duplicates(frame(spark, [(i, "t") for i in rows])).collect()}
+    got = {r.doc_id: r.class_id for r in dartdedup.near_duplicates(frame(spark, [(i, str(i)) for i in rows]), chunk=2).collect()}
     assert got == {i: i - (i > 1 and i % 2) for i in rows}
 
 
-def test_texts_that_share_an_id_are_in_one_class(spark):
+def test_texts_that_share_an_id_are_judged_each_by_itself(spark):
     r = random.Random(8)
     one, two, three = random_texts(r, 3, 120)
-    rows = [(5, one), (5, two), (7, edited(r, one, 1)), (8, edited(r, two, 1)), (1, three), (9, three), (9, edited(r, two, 1)), (2, "")]
+    rows = [(5, one), (5, two), (7, edited(r, one, 1)), (8, edited(r, two, 1)), (1, three), (9, three), (9, edited(r, two, 1)), (2, ""), (4, two)]
     got = dartdedup.near_duplicates(frame(spark, rows)).collect()
     assert Counter((g.doc_id, g.class_id) for g in got) == Counter(zip([k for k, _ in rows], brute_classes(rows), strict=True))
+    kept = Counter((x.doc_id, x.text) for x in dartdedup.deduplicate(frame(spark, rows)).collect())
+    assert kept == Counter([(5, one), (1, three), (4, two), (2, "")])
+
+
+def test_unique_text_of_a_repeated_id_stays(spark):
+    a, c = random_texts(random.Random(9), 2, 120)
+    kept = dartdedup.deduplicate(frame(spark, [(1, a), (5, a), (5, c), (5, c), (None, a)]))
+    assert Counter((x.doc_id, x.text) for x in kept.collect()) == Counter([(1, a), (5, c), (5, c), (None, a)])
+
+
+def families(seed, n, size, length, edits):
+    r, rows = random.Random(seed), []
+    for base in random_texts(r, n, length):
+        rows += [edited(r, base, r.randint(0, edits)) for _ in range(size)]
+    return list(enumerate(rows))
+
+
+def test_no_pair_of_near_threshold_families_is_lost(spark):
+    """Pairs at 0.8 or more by brute force are in one class but for those without a shared band."""
+    rows = families(4, 300, 10, 150, 4)
+    got = {g.doc_id: g.class_id for g in dartdedup.near_duplicates(frame(spark, rows)).collect()}
+    s, lost, links = [shingles(t) for _, t in rows], 0, 0
+    for f in range(0, len(rows), 10):
+        for i in range(f, f + 10):
+            for j in range(f, i):
+                if jaccard(s[i], s[j]) >= 0.8:
+                    links += 1
+                    lost += got[i] != got[j]
+                    # classes join nothing but links
+        classes = brute_classes(rows[f : f + 10])
+        assert all(got[f + i] == got[f + j] or classes[i] != classes[j] or lost for i in range(10) for j in range(i))
+        assert all(got[f + i] != got[f + j] or classes[i] == classes[j] for i in range(10) for j in range(i))
+    assert links > 1000 and lost == 0
+
+
+def test_recall_in_a_bucket_of_thousands(spark):
+    """One family of 2,400 variants far below the threshold by pairs, with planted near pairs, at the real chunk size."""
+    r = random.Random(12)
+    base, rows = random_texts(r, 1, 60)[0], []
+    for p in range(1200):
+        own = base + " " + random_texts(r, 1, 40)[0]
+        rows += [(2 * p, own), (2 * p + 1, edited(r, own, 1))]
+    got = {g.doc_id: g.class_id for g in dartdedup.near_duplicates(frame(spark, rows)).collect()}
+    found = sum(got[2 * p] == got[2 * p + 1] for p in range(1200))
+    true = sum(jaccard(shingles(rows[2 * p][1]), shingles(rows[2 * p + 1][1])) >= 0.8 for p in range(1200))
+    assert true > 1100 and found >= true * 0.999

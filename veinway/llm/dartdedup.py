@@ -8,17 +8,19 @@ falls with the document's weight are thrown, so the work is its weight plus abou
 ``K * ln K`` darts, however long it is. Two coordinates agree with the probability of the
 weighted Jaccard similarity.
 
-Equal texts (by words) first become one representative. Representatives that share a band
-of the signature are compared with the bucket's leader: candidates whose signatures are
-near enough are checked exactly on their shingles. Buckets that still hold members of
-several classes go into further rounds, chunk against chunk: the best pairs of different
-classes by the signatures' similarity that have not been checked yet, until every pair whose
-signatures are near enough is in one class or has been checked. Classes are connected
-components; no step gathers a bucket.
+Equal texts (by words) first become one node. Nodes that share a band of the signature are
+compared with the bucket's leader: candidates whose signatures are near enough are checked
+exactly on their shingles. Buckets that still hold members of several classes go into
+further rounds, chunk against chunk: the best pairs of different classes by the signatures'
+similarity that have not been checked yet, until every pair whose signatures are near enough
+is in one class or has been checked. Classes are connected components of texts; no step
+gathers a bucket.
 
 Cases: null text counts as empty; documents without words are alone; documents of fewer
 words than a shingle have one shingle of all their words; a null id is alone; rows that
-share an id are one node, in one class; an empty table gives no rows; other columns do
+share an id are judged each by its own text, so an id can be in several classes, and a class
+goes by its least id; of the rows with a class's least id those with the same words as its
+first text stay, repeated rows among them; an empty table gives no rows; other columns do
 not matter.
 """
 
@@ -28,12 +30,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.components import connected_components
 from ..operators.joins import skew_join, small_side
-from ..session import materialise
+from ..session import Scratch, materialise
 from .shared import ship, text_of
 from .textvec import mix, pieces, shingles, span_hash, utf8, words
 
@@ -47,6 +50,14 @@ K = BANDS * ROWS
 FLOOR = 0.64
 #: Members of a bucket in a chunk; chunks are compared two at a time.
 CHUNK = 256
+#: Pairs to check for each member of a chunk in the first round, besides the chunk's forest.
+WIDTH = 16
+#: Nodes whose texts are fetched by broadcasting, at most.
+NEEDED = 1 << 18
+
+_LONGS = [T.StructField(c, T.LongType()) for c in ("id", "t1", "t2", "h1", "h2")]
+SIGNED = T.StructType([*_LONGS, T.StructField("sig", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+
 
 def unit_cells(shingle: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """A hash of each occurrence of each shingle: equal for the n-th occurrence in any document."""
@@ -105,8 +116,18 @@ def _text_hash(word: np.ndarray, offsets: np.ndarray, salt: int) -> np.ndarray:
     return mix(total[offsets[1:]] - total[offsets[:-1]] + np.uint64(salt) + np.diff(offsets).astype(np.uint64)).view(np.int64)
 
 
+def _texts(docs: DataFrame, key: str, column: str) -> DataFrame:
+    """id, t1 and t2 (hash of the text as it is written) and text."""
+    rows = docs.select(docs[key].cast("long").alias("id"), text_of(docs, column).alias("text"))
+    return rows.select("id", *_text_marks("text"), "text")
+
+
+def _text_marks(text: str | Column) -> list[Column]:
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
+
+
 def signatures(docs: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
-    """node, h1 and h2 (hash of the words; null without words), sig (16 bits a coordinate), bands."""
+    """id, t1 and t2 (hash of the text), h1 and h2 (hash of its words; null without words), sig (16 bits a coordinate), bands."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,19 +146,19 @@ def signatures(docs: DataFrame, key: str = "doc_id", column: str = "text") -> Da
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(rows))), pa.int32()), pa.array(band[~empty].ravel()))
                 short = sig.astype("<u2").tobytes()
                 binary = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(np.arange(0, (j - i + 1) * 2 * K, 2 * K, dtype=np.int32)), pa.py_buffer(short)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(_text_hash(word, edge, 1), mask=empty), pa.array(_text_hash(word, edge, 2), mask=empty), binary, lists], ["node", "h1", "h2", "sig", "bands"])
+                own = [batch.column(c).slice(i, j - i) for c in range(3)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(_text_hash(word, edge, 1), mask=empty), pa.array(_text_hash(word, edge, 2), mask=empty), binary, lists], SIGNED.names)
 
-    rows = docs.select(docs[key].cast("long").alias("node"), text_of(docs, column).alias("text"))
-    return rows.mapInArrow(run, "node long, h1 long, h2 long, sig binary, bands array<long>")
+    return _texts(docs, key, column).mapInArrow(run, SIGNED)
 
 
-def _agreement(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b) with sig_a and sig_b whose signatures agree in at least FLOOR of the coordinates."""
+def _agreement(pairs: DataFrame, floor: float) -> DataFrame:
+    """Pairs (a, b) with sig_a and sig_b whose signatures agree in at least ``floor`` of the coordinates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (np.frombuffer(utf8_binary(batch.column(c)), "<u2").reshape(-1, K) for c in (2, 3))
-            keep = (a == b).mean(1) >= FLOOR
+            keep = (a == b).mean(1) >= floor
             yield batch.select([0, 1]).filter(pa.array(keep))
 
     return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
@@ -178,49 +199,54 @@ def _exact(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _near(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Those of some pairs (a, b) whose signatures agree in at least FLOOR of the coordinates; a table."""
+def _near(pairs: DataFrame, sigs: DataFrame, floor: float, scratch: Scratch) -> DataFrame:
+    """Those of some distinct pairs (a, b) whose signatures agree in at least ``floor`` of the coordinates; a table."""
     near = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a")
     near = near.join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
-    return materialise(_agreement(near).distinct(), "near")
+    return scratch.table(_agreement(near, floor), "near")
+
 
+def _verify(near: DataFrame, texts: DataFrame, names: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """Those of some distinct pairs (a, b) whose texts are at least ``threshold`` similar; a table.
 
-def _verify(near: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Those of some distinct pairs (a, b) whose texts are at least ``threshold`` similar; a table."""
-    needed = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    own = materialise(texts.join(small_side(needed, "needed"), "node", "left_semi"), "texts")
+    ``names`` has the id and the hash of the text (t1, t2) of each node.
+    """
+    needed = near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(names, "node")
+    # rows that repeat an id and its text are one
+    own = texts.join(small_side(needed, "needed", NEEDED), ["id", "t1", "t2"]).select("node", "text").dropDuplicates(["node"])
+    own = scratch.table(own, "texts")
     both = near.join(own.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     both = both.join(own.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return materialise(_exact(both, threshold).distinct(), "links")
+    return scratch.table(_exact(both, threshold), "links")
 
 
 #: A block of a bucket: two of its chunks (the same twice: the pairs within it), each given by three numbers.
 BLOCK = ["key", *(f"{end}_{c}" for end in ("low", "high") for c in ("big", "of", "i"))]
 
 
-def _blocks(members: DataFrame, failed: DataFrame, sigs: DataFrame) -> DataFrame:
+def _blocks(members: DataFrame, failed: DataFrame, sigs: DataFrame, chunk: int, scratch: Scratch) -> DataFrame:
     """Of members (key, node, comp): rows (*BLOCK, kind, node, comp, other, sig) that meet each pair of different classes of a bucket in one block.
 
-    A class of more than CHUNK members of a bucket has chunks of its own, whose pairs are left
-    out; all other members share chunks. Kind is 0 for the members of the lower chunk, 1 for
-    those of the higher one and 2 for pairs (node, other) of ``failed``.
+    A class of more than ``chunk`` members of a bucket has chunks of its own, whose pairs are
+    left out; all other members share chunks. Kind is 0 for the members of the lower chunk, 1
+    for those of the higher one and 2 for pairs (node, other) of ``failed``.
     """
-    sizes = materialise(members.groupBy("key", "comp").agg(F.count("*").alias("n")), "sizes")
-    pooled = sizes.where(F.col("n") <= CHUNK).groupBy("key").agg(F.ceil(F.sum("n") / CHUNK).alias("pools"))
+    sizes = scratch.table(members.groupBy("key", "comp").agg(F.count("*").alias("n")), "sizes")
+    pooled = sizes.where(F.col("n") <= chunk).groupBy("key").agg(F.ceil(F.sum("n") / chunk).alias("pools"))
     part = lambda big, of, i: F.struct(big.alias("big"), of.alias("of"), i.alias("i"))
     large, zero = F.lit(1), F.lit(0).cast("long")
     many = lambda n: F.explode(F.sequence(zero, n - 1)).alias("i")
-    chunks = sizes.where(F.col("n") > CHUNK).select("key", "comp", many(F.ceil(F.col("n") / CHUNK))).select("key", part(large, F.col("comp"), F.col("i")).alias("part"))
-    chunks = materialise(chunks.unionByName(pooled.select("key", many(F.col("pools"))).select("key", part(F.lit(0), zero, F.col("i")).alias("part"))), "chunks")
+    chunks = sizes.where(F.col("n") > chunk).select("key", "comp", many(F.ceil(F.col("n") / chunk))).select("key", part(large, F.col("comp"), F.col("i")).alias("part"))
+    chunks = chunks.unionByName(pooled.select("key", many(F.col("pools"))).select("key", part(F.lit(0), zero, F.col("i")).alias("part")))
     blocks = chunks.withColumnRenamed("part", "low").join(chunks.withColumnRenamed("part", "high"), "key")
     same_class = (F.col("low.big") == 1) & (F.col("high.big") == 1) & (F.col("low.of") == F.col("high.of"))
     blocks = blocks.where((F.col("low") <= F.col("high")) & ~same_class)
     at = skew_join(skew_join(members, sizes, ["key", "comp"]), pooled, ["key"], "left")
     salt = lambda n: F.pmod(F.xxhash64("node"), n)
-    at = at.select("key", "node", "comp", F.when(F.col("n") > CHUNK, part(large, F.col("comp"), salt(F.ceil(F.col("n") / CHUNK)))).otherwise(part(F.lit(0), zero, salt(F.col("pools")))).alias("part"))
-    at = materialise(at, "members")
-    sides = blocks.select("key", F.col("low").alias("part"), "low", "high", F.lit(0).alias("kind"))
-    sides = sides.unionByName(blocks.where("low <> high").select("key", F.col("high").alias("part"), "low", "high", F.lit(1).alias("kind")))
+    at = at.select("key", "node", "comp", F.when(F.col("n") > chunk, part(large, F.col("comp"), salt(F.ceil(F.col("n") / chunk)))).otherwise(part(F.lit(0), zero, salt(F.col("pools")))).alias("part"))
+    at = scratch.table(at, "members")
+    sides = blocks.select("key", F.explode(F.when(F.col("low") < F.col("high"), F.array("low", "high")).otherwise(F.array("low"))).alias("part"), "low", "high")
+    sides = sides.withColumn("kind", (F.col("part") > F.col("low")).cast("int"))
     flat = [F.col("key"), *(F.col(c.replace("_", ".", 1)).alias(c) for c in BLOCK[1:])]
     rows = skew_join(at, sides, ["key", "part"]).join(sigs, "node").select(*flat, "kind", "node", "comp", zero.alias("other"), "sig")
     end = lambda c: at.select("key", F.col("node").alias(c), F.col("comp").alias(f"comp_{c}"), F.col("part").alias(f"part_{c}"))
@@ -230,11 +256,12 @@ def _blocks(members: DataFrame, failed: DataFrame, sigs: DataFrame) -> DataFrame
     return rows.unionByName(known)
 
 
-def _forests(rows: DataFrame, width: int) -> DataFrame:
+def _forests(rows: DataFrame, width: int, floor: float) -> DataFrame:
     """Of the rows of ``_blocks``: pairs (a, b) to check, and whether the block has further ones (key, a, b, rest).
 
-    Of the pairs of different classes that agree in FLOOR and have not failed, each block gives
-    a best spanning forest and the best ``width - 1`` pairs for each member.
+    Of the pairs of different classes that agree in ``floor`` and have not failed, each block
+    gives a best spanning forest and the best pairs, ``width`` for each member; blocks of two
+    chunks start with the forest alone.
     """
 
     def forest(same: bool, kind: np.ndarray, node: np.ndarray, comp: np.ndarray, other: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
@@ -242,7 +269,7 @@ def _forests(rows: DataFrame, width: int) -> DataFrame:
         if not len(low) or not len(high):
             return node[:0], node[:0], False
         agree = np.stack([(sig[high] == s).mean(1) for s in sig[low]])
-        near = (agree >= FLOOR) & (comp[low][:, None] != comp[high][None, :])
+        near = (agree >= floor) & (comp[low][:, None] != comp[high][None, :])
         i, j = np.nonzero(np.triu(near, 1) if same else near)
         agree, i, j = agree[i, j], low[i], high[j]
         a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
@@ -251,7 +278,8 @@ def _forests(rows: DataFrame, width: int) -> DataFrame:
         gone = kind == 2
         open_ = ~np.isin(code(a, b), code(node[gone], other[gone]))
         order = np.flatnonzero(open_)[np.argsort(-agree[open_], kind="stable")]
-        taken = np.arange(len(order)) < (width - 1) * (len(low) + (0 if same else len(high)))
+        most = width if same else width // WIDTH - 1
+        taken = np.arange(len(order)) < most * (len(low) + (0 if same else len(high)))
         top = {int(c): int(c) for c in comp[kind < 2]}
 
         def find(x: int) -> int:
@@ -299,65 +327,81 @@ def _forests(rows: DataFrame, width: int) -> DataFrame:
     return dealt.select(*BLOCK, "kind", "node", "comp", "other", "sig").mapInArrow(run, "key long, a long, b long, rest boolean")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: ``key``, class_id (least id of its class), copy_of (least id with the same words), group_size, kept."""
-    table = materialise(signatures(docs, key, column), "signatures")
-    usable = table.where("node is not null and h1 is not null")
-    copies = usable.groupBy("h1", "h2").agg(F.min("node").alias("rep"), F.count("*").alias("copies"))
-    copies = materialise(copies, "copies")
-    reps = usable.join(copies.select("h1", "h2", F.col("rep").alias("node")), ["h1", "h2", "node"], "left_semi")
-    reps = materialise(reps.select("node", "h1", "h2", "sig", "bands").dropDuplicates(["node", "h1", "h2"]), "reps")
-    # an id with several texts joins their classes
-    repeated = materialise(usable.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node"), "repeated")
-    texts_of = usable.join(small_side(repeated, "repeated"), "node", "left_semi").select("node", "h1", "h2").distinct()
-    shared_ids = skew_join(texts_of, copies.select("h1", "h2", "rep"), ["h1", "h2"]).select(F.col("node").alias("a"), F.col("rep").alias("b")).where("a <> b")
-    shared_ids = materialise(shared_ids, "shared_ids")
-    sigs = reps.select("node", "sig")
-    texts = docs.select(docs[key].cast("long").alias("node"), text_of(docs, column).alias("text"))
+def _classified(docs: DataFrame, key: str, column: str, threshold: float, floor: float, chunk: int) -> DataFrame:
+    """One row per document: id, t1, t2, class_id, copy_of, group_size, kept."""
+    scratch = Scratch(docs.sparkSession)
+    table = materialise(signatures(docs, key, column).withColumn("row", F.monotonically_increasing_id()), "signatures")
+    usable = table.where("id is not null and h1 is not null")
+    # a text is a node, which goes by the number of one of its rows
+    nodes = usable.groupBy("h1", "h2").agg(F.min("row").alias("node"), F.min("id").alias("least"), F.count("*").alias("copies"))
+    nodes = materialise(nodes, "nodes")
+    reps = usable.withColumnRenamed("row", "node").join(nodes.select("node"), "node", "left_semi")
+    reps = scratch.table(reps.select("node", "id", "t1", "t2", "sig", "bands"), "reps")
+    sigs, names = reps.select("node", "sig"), reps.select("node", "id", "t1", "t2")
+    texts = _texts(docs, key, column)
     banded = reps.select("node", F.explode("bands").alias("key"))
-    leaders = banded.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    shared = materialise(skew_join(banded, leaders, ["key"]).dropDuplicates(["key", "node"]), "buckets")
+    leaders = banded.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
+    shared = scratch.table(skew_join(banded, leaders, ["key"]), "buckets")
     pairs = shared.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = materialise(pairs, "pairs")
-    near = _near(pairs, sigs)
-    links = _verify(near, texts, threshold)
-    failed = materialise(near.join(links, ["a", "b"], "left_anti"), "failed")
-    classes = materialise(connected_components(links.unionByName(shared_ids), src="a", dst="b"), "classes")
-    # a bucket without further pairs in one round has none in later ones
-    width = 1
+    near = _near(pairs, sigs, floor, scratch)
+    links = _verify(near, texts, names, threshold, scratch)
+    failed = scratch.table(near.join(links, ["a", "b"], "left_anti"), "failed")
+    classes = materialise(connected_components(links, src="a", dst="b"), "classes")
+    width = WIDTH
     while True:
         known = shared.join(classes, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
         mixed = known.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-        members = materialise(skew_join(known, mixed, ["key"]), "open")
-        found = materialise(_forests(_blocks(members, failed, sigs), width), "found")
-        more = materialise(found.select("a", "b").distinct(), "more")
+        members = scratch.table(skew_join(known, mixed, ["key"]), "open")
+        found = scratch.table(_forests(_blocks(members, failed, sigs, chunk, scratch), width, floor), "found")
+        more = scratch.table(found.select("a", "b").distinct(), "more")
         if more.isEmpty():
             break
-        fresh = _verify(more, texts, threshold)
-        links = materialise(links.unionByName(fresh), "links")
-        classes = materialise(connected_components(links.unionByName(shared_ids), src="a", dst="b"), "classes")
-        keys = materialise(found.where("rest").select("key").distinct(), "keys")
+        fresh = _verify(more, texts, names, threshold, scratch)
+        if not fresh.isEmpty():
+            links = scratch.table(links.unionByName(fresh), "links")
+            classes = materialise(connected_components(links, src="a", dst="b"), "classes")
+        # a bucket without further pairs in one round has none in later ones
+        keys = scratch.table(found.where("rest").select("key").distinct(), "keys")
         if keys.isEmpty():
             break
-        failed = materialise(failed.unionByName(more.join(fresh, ["a", "b"], "left_anti")), "failed")
-        shared = materialise(skew_join(shared, keys, ["key"]), "buckets")
+        failed = scratch.table(failed.unionByName(more.join(fresh, ["a", "b"], "left_anti")), "failed")
+        shared = scratch.table(skew_join(shared, keys, ["key"]), "buckets")
         width *= 4
-    placed = copies.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "rep", "copies", F.coalesce("component", "rep").alias("class_id"))
-    sizes = placed.groupBy("class_id").agg(F.sum("copies").alias("group_size"))
-    placed = skew_join(placed, sizes, ["class_id"]).select("h1", "h2", "rep", "class_id", "group_size")
-    out = skew_join(table.select("node", "h1", "h2"), placed, ["h1", "h2"], "left")
+    scratch.drop()
+    placed = nodes.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    chosen = F.min(F.struct("least", "h1", "h2", "node"))
+    sizes = placed.groupBy("component").agg(chosen.alias("first"), F.sum("copies").alias("group_size"))
+    placed = skew_join(placed, sizes, ["component"])
+    placed = placed.select("h1", "h2", F.col("least").alias("copy_of"), F.col("first.least").alias("class_id"), "group_size", (F.col("node") == F.col("first.node")).alias("is_first"))
+    out = skew_join(table.select("id", "t1", "t2", "h1", "h2"), placed, ["h1", "h2"], "left")
     # rows without id or words are alone
-    alone = F.col("class_id").isNull() | F.col("node").isNull()
+    alone = F.col("class_id").isNull() | F.col("id").isNull()
     return out.select(
-        F.col("node").alias(key),
-        F.when(alone, F.col("node")).otherwise(F.col("class_id")).alias("class_id"),
-        F.when(alone, F.col("node")).otherwise(F.col("rep")).alias("copy_of"),
+        "id",
+        "t1",
+        "t2",
+        F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(alone, F.col("id")).otherwise(F.col("copy_of")).alias("copy_of"),
         F.when(alone, F.lit(1)).otherwise(F.col("group_size")).cast("long").alias("group_size"),
-        (alone | (F.col("node") == F.col("class_id"))).alias("kept"),
+        (alone | (F.col("is_first") & (F.col("id") == F.col("class_id")))).alias("kept"),
     )
 
 
-def deduplicate(docs: DataFrame, key: str = "doc_id", column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all columns, that stay: one id of each class."""
-    drop = near_duplicates(docs, key, column, threshold).where(~F.col("kept")).select(F.col(key).alias("_drop")).distinct()
-    return docs.join(small_side(drop, "drop"), docs[key].cast("long") == F.col("_drop"), "left_anti")
+def near_duplicates(docs: DataFrame, key: str = "doc_id", column: str = "text", threshold: float = THRESHOLD, floor: float = FLOOR, chunk: int = CHUNK) -> DataFrame:
+    """One row per document: ``key``, class_id (least id of its class), copy_of (least id with the same words), group_size, kept.
+
+    With ``floor`` 0 every pair of different classes that shares a band is checked exactly.
+    ``chunk`` bounds what a task holds of a bucket; it does not change the result.
+    """
+    return _classified(docs, key, column, threshold, floor, chunk).select(F.col("id").alias(key), "class_id", "copy_of", "group_size", "kept")
+
+
+def deduplicate(docs: DataFrame, key: str = "doc_id", column: str = "text", threshold: float = THRESHOLD, floor: float = FLOOR, chunk: int = CHUNK) -> DataFrame:
+    """The rows of ``docs``, all columns, that stay: one document of each class.
+
+    A row goes by its id and text together, so rows that share an id do not fall for one another.
+    """
+    drop = _classified(docs, key, column, threshold, floor, chunk).where(~F.col("kept"))
+    drop = small_side(drop.select(F.col("id").alias("_drop_id"), F.col("t1").alias("_drop_t1"), F.col("t2").alias("_drop_t2")).distinct(), "drop")
+    t1, t2 = _text_marks(text_of(docs, column))
+    return docs.join(drop, (docs[key].cast("long") == drop["_drop_id"]) & (t1 == drop["_drop_t1"]) & (t2 == drop["_drop_t2"]), "left_anti")
