@@ -125,6 +125,54 @@ def test_token_shards(spark, library, tmp_path):
     assert empty.shards == [] and tokenbin.read_tokens(spark, empty).count() == 0 and empty.get(1) is None
 
 
+def shard_of(tmp_path, keys):
+    writer = tokenbin.Writer(f"file://{tmp_path}/one.vwt", np.dtype("<u2"))
+    sizes = np.arange(len(keys)) % 3 + 1
+    writer.add(keys, np.ones(len(keys), bool), np.repeat(np.arange(len(keys)) % 60_000, sizes), sizes)
+    writer.close()
+    return f"{tmp_path}/one.vwt", sizes
+
+
+@pytest.mark.parametrize("n", [100, 200_000])
+def test_lookup_reads_its_own_part_only(tmp_path, n):
+    keys = np.arange(n) * 7
+    path, sizes = shard_of(tmp_path, keys)
+    for k in (0, n // 2, n - 1):
+        shard = tokenbin.Shard(path)
+        opened = shard.read
+        assert shard.get(int(keys[k])).tolist() == [k % 60_000] * int(sizes[k])
+        assert opened < 2500 and shard.read - opened <= 64 * (len(shard.sizes)) + 8 + 16 + 6
+    shard = tokenbin.Shard(path)
+    found = [shard.get(int(k)) for k in range(1, 700, 7)]
+    assert found == [None] * 100 and shard.read < 2500 + 100 * (64 * len(shard.sizes) + 24)
+
+
+def test_results_come_through_the_index(spark, tmp_path):
+    store = tokenbin.write_tokens(docs(spark, [(i, f"text number {i}") for i in range(50)]), vocabulary_path(), path=f"file://{tmp_path}/s", shards=1)
+    path = store.shards[0]["path"].removeprefix("file://")
+    at, _, _ = tokenbin.Shard(path).blocks["slots"]
+    raw = bytearray(open(path, "rb").read())
+    good = tokenbin.read_tokens(spark, store, digests=True).toPandas().set_index("doc_id")
+    raw[at + 8 : at + 16], raw[at + 24 : at + 32] = raw[at + 24 : at + 32], raw[at + 8 : at + 16]  # two slots change their places
+    open(path, "wb").write(raw)
+    bad = tokenbin.read_tokens(spark, store, digests=True).toPandas().set_index("doc_id")
+    assert (good.ids_crc32 != bad.ids_crc32).sum() == 2
+    raw[at] ^= 1  # a fingerprint
+    open(path, "wb").write(raw)
+    with pytest.raises(Exception, match="does not hold a key"):
+        tokenbin.read_tokens(spark, store).collect()
+
+
+def test_many_shards_are_found_by_bisection(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tokenbin, "SHARD_BYTES", 100)
+    store = tokenbin.write_tokens(docs(spark, [(i, f"text number {i}") for i in range(0, 400, 2)]), vocabulary_path(), path=f"file://{tmp_path}/s")
+    assert len(store.shards) > 20
+    opened = []
+    monkeypatch.setattr(tokenbin.Shard, "__init__", lambda self, uri, f=tokenbin.Shard.__init__: (opened.append(uri), f(self, uri))[1])
+    assert store.get(124) is not None and store.get(125) is None and store.get(-1) is None and store.get(999) is None
+    assert len(opened) <= 2
+
+
 PAGES = [(1, "http://a", "same"), (7, "http://b", "same"), (3, None, "same"), (4, "http://c\r\nX: y", None), (8, "http://d", ""), (5, "http://e", "é" * 300_000), (None, "http://f", "same"), (None, "u", "only"), (7, "http://b", "same"), (6, "u", "x\r\n\r\ny")]
 
 

@@ -1,9 +1,11 @@
 """Token-id shards with a minimal perfect hash index.
 
 A shard holds the raw ids of documents in ascending key order, then the index: a minimal
-perfect hash (cascaded bit arrays with ranks) that sends a key to a slot, a stored 32-bit
-fingerprint for each slot that turns away keys the shard doesn't hold, and the record that
-the slot stands for. A lookup takes constant time and reads only its own ids.
+perfect hash (cascaded bit arrays with ranks) that sends a key to a slot, and for each slot
+a 32-bit fingerprint, which turns away keys that the shard doesn't hold, with the place and
+number of the key's ids. The shard of a key is found by bisection. A lookup then reads the
+shard's footer, at most one block of bits and one rank for each level of the hash, one slot
+and its own ids, however large the shard is.
 
 Cases: null text counts as empty (only the end id); a null key comes first and can be
 scanned but not looked up; rows that repeat a key are all kept, ordered by text, and a
@@ -13,6 +15,7 @@ matter.
 
 from __future__ import annotations
 
+import bisect
 import json
 import os
 import struct
@@ -32,9 +35,15 @@ from .bpe import Encoder, Vocabulary, byte_alphabet, load_vocabulary
 from .shared import filesystem, ship, spread, text_of
 from .textvec import mix, pieces
 
-MAGIC = b"VWTOK001"
+MAGIC = b"VWTOK002"
 GAMMA = 2.0
 LEVELS = 64
+#: Words of 64 bits between two stored ranks.
+BLOCK = 8
+#: What the slot of a key holds; start and count are in ids.
+SLOT = np.dtype([("mark", "<u4"), ("count", "<u4"), ("start", "<i8")])
+#: Bytes of text in a shard, about.
+SHARD_BYTES = 256 << 20
 
 
 class PerfectHash:
@@ -46,6 +55,10 @@ class PerfectHash:
         ones = np.bitwise_count(self.bits).astype(np.int64)
         self.rank = np.concatenate(([0], np.cumsum(ones)))
 
+    def block_ranks(self) -> np.ndarray:
+        """The number of ones before each block of bits."""
+        return self.rank[:-1:BLOCK]
+
     @classmethod
     def build(cls, keys: np.ndarray) -> PerfectHash:
         left, sizes, taken, base = keys.view(np.uint64), [], [], 0
@@ -61,7 +74,7 @@ class PerfectHash:
             left = left[~alone]
         if len(left):
             raise ValueError("keys are not distinct")
-        bits = np.zeros(base // 64 + 1, np.uint64)
+        bits = np.zeros(-(-(base // 64 + 1) // BLOCK) * BLOCK, np.uint64)
         for at in taken:
             np.bitwise_or.at(bits, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
         return cls(np.array(sizes, np.int64), bits)
@@ -107,21 +120,22 @@ class Writer:
 
     def close(self) -> tuple[int, int]:
         keys, valid, sizes = (np.concatenate(x) for x in (self.keys, self.valid, self.sizes))
+        edge = np.concatenate(([0], np.cumsum(sizes)))
         known, record = np.unique(keys[valid], return_index=True)
         record = np.flatnonzero(valid)[record]
         index = PerfectHash.build(known)
-        slot = index.slots(known)
-        marks, place = np.zeros(len(known), "<u4"), np.zeros(len(known), "<i8")
-        marks[slot], place[slot] = fingerprint(known), record
-        blocks = [np.concatenate(([0], np.cumsum(sizes))).astype("<i8"), keys.astype("<i8"), valid.astype("<u1"), index.sizes.astype("<i8"), index.bits.astype("<u8"), marks, place]
-        at, table = int(sizes.sum()) * self.width.itemsize, []
-        for b in blocks:
+        slots = np.zeros(len(known), SLOT)
+        at = index.slots(known)
+        slots["mark"][at], slots["count"][at], slots["start"][at] = fingerprint(known), sizes[record], edge[record]
+        blocks = {"edge": edge.astype("<i8"), "keys": keys.astype("<i8"), "valid": valid.astype("<u1"), "bits": index.bits.astype("<u8"), "ranks": index.block_ranks().astype("<i8"), "slots": slots.view("<u8")}
+        at, table = int(sizes.sum()) * self.width.itemsize, {}
+        for name, b in blocks.items():
             pad = b"\0" * (-at % 8)
             self.out.write(pad + b.tobytes())
             at += len(pad)
-            table.append([at, len(b), b.dtype.str])
+            table[name] = [at, len(b), b.dtype.str]
             at += b.nbytes
-        tail = json.dumps({"width": self.width.str, "tokens": int(sizes.sum()), "blocks": table}).encode()
+        tail = json.dumps({"width": self.width.str, "tokens": int(sizes.sum()), "levels": index.sizes.tolist(), "blocks": table}).encode()
         self.out.write(tail + struct.pack("<q", len(tail)) + MAGIC)
         self.out.close()
         self.system.move(self.path + ".open", self.path)
@@ -129,40 +143,68 @@ class Writer:
 
 
 class Shard:
-    """Random access to one shard file; only the index is read at once."""
+    """Random access to one shard file: opening it reads the footer only."""
 
     def __init__(self, uri: str) -> None:
         system, path = filesystem(uri)
-        self.file = system.open_input_file(path)
+        self.uri, self.file, self.read = uri, system.open_input_file(path), 0
         size = self.file.size()
-        end = self.file.read_at(16, size - 16)
+        end = self._bytes(size - 16, 16)
         if end[8:] != MAGIC:
             raise ValueError(f"{uri} is no token shard")
         n = struct.unpack("<q", end[:8])[0]
-        spec = json.loads(self.file.read_at(n, size - 16 - n))
-        self.width, self.tokens = np.dtype(spec["width"]), spec["tokens"]
-        edge, self.keys, valid, sizes, bits, self.marks, self.record = (np.frombuffer(self.file.read_at(c * np.dtype(k).itemsize, at), k) for at, c, k in spec["blocks"])
-        self.edge, self.valid = edge, valid.astype(bool)
-        self.index = PerfectHash(sizes, bits)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The record of each key, or -1 where the shard doesn't hold it."""
+        spec = json.loads(self._bytes(size - 16 - n, n))
+        self.width, self.tokens, self.blocks = np.dtype(spec["width"]), spec["tokens"], spec["blocks"]
+        self.sizes = np.array(spec["levels"], np.int64)
+        self.base = np.concatenate(([0], np.cumsum(self.sizes)))
+
+    def _bytes(self, at: int, n: int) -> bytes:
+        self.read += n
+        return self.file.read_at(n, at)
+
+    def array(self, name: str, first: int = 0, n: int | None = None) -> np.ndarray:
+        """A stored array, or ``n`` entries of it."""
+        at, size, kind = self.blocks[name]
+        width = np.dtype(kind).itemsize
+        return np.frombuffer(self._bytes(at + first * width, (size - first if n is None else n) * width), kind)
+
+    def slots(self) -> np.ndarray:
+        return self.array("slots").view(SLOT)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place and number of the ids of many keys (place -1 where the shard doesn't hold the key), by the whole index."""
         keys = np.asarray(keys, np.int64)
-        slot = self.index.slots(keys)
+        slot = PerfectHash(self.sizes, self.array("bits")).slots(keys)
+        slots = self.slots()
         ok = slot >= 0
-        ok[ok] = self.marks[slot[ok]] == fingerprint(keys[ok])
-        out = np.full(len(keys), -1, np.int64)
-        out[ok] = self.record[slot[ok]]
-        return out
-
-    def ids(self, record: int, until: int | None = None) -> np.ndarray:
-        """The ids of one record, or of a run of records."""
-        a, b = int(self.edge[record]), int(self.edge[record + 1 if until is None else until])
-        return np.frombuffer(self.file.read_at((b - a) * self.width.itemsize, a * self.width.itemsize), self.width)
+        ok[ok] = slots["mark"][slot[ok]] == fingerprint(keys[ok])
+        start, count = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
+        start[ok], count[ok] = slots["start"][slot[ok]], slots["count"][slot[ok]]
+        return start, count
+
+    def slot(self, key: int) -> int:
+        """The slot of one key, or -1: a block of bits for each level until it is found, and one rank."""
+        own = np.array([key], np.int64).view(np.uint64)
+        for level, m in enumerate(self.sizes.tolist()):
+            at = int(self.base[level] + PerfectHash._place(own, level, m)[0])
+            block, word, bit = at // (64 * BLOCK), at // 64 % BLOCK, at % 64
+            bits = self.array("bits", block * BLOCK, BLOCK)
+            if int(bits[word]) >> bit & 1:
+                before = int(np.bitwise_count(bits[:word]).sum()) + (int(bits[word]) & (1 << bit) - 1).bit_count()
+                return int(self.array("ranks", block, 1)[0]) + before
+        return -1
+
+    def ids(self, start: int, count: int) -> np.ndarray:
+        return np.frombuffer(self._bytes(start * self.width.itemsize, count * self.width.itemsize), self.width)
 
     def get(self, key: int) -> np.ndarray | None:
-        record = int(self.find(np.array([key]))[0])
-        return None if record < 0 else self.ids(record)
+        slot = self.slot(key)
+        if slot < 0:
+            return None
+        found = self.array("slots", 2 * slot, 2).view(SLOT)[0]
+        if found["mark"] != fingerprint(np.array([key], np.int64))[0]:
+            return None
+        return self.ids(int(found["start"]), int(found["count"]))
 
 
 @dataclass
@@ -171,11 +213,14 @@ class TokenStore:
 
     shards: list[dict]
 
+    def __post_init__(self) -> None:
+        self.keyed = [s for s in self.shards if s["first"] is not None]
+        self.firsts = [s["first"] for s in self.keyed]
+
     def get(self, key: int) -> np.ndarray | None:
-        for s in self.shards:
-            if s["first"] is not None and s["first"] <= key <= s["last"] and (found := Shard(s["path"]).get(key)) is not None:
-                return found
-        return None
+        """The ids of a key: its shard by bisection, then one lookup in it."""
+        at = bisect.bisect_right(self.firsts, key) - 1
+        return Shard(self.keyed[at]["path"]).get(key) if at >= 0 and key <= self.keyed[at]["last"] else None
 
 
 def library_words(spec: str):
@@ -210,8 +255,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int | None = 2, key: s
 
     The library encodes each distinct pre-token once for a worker; whole documents are
     put together from these, which gives the library's ids for the whole text. Texts are
-    dealt by ranges of keys, so a shard is as large as its range; a task streams its
-    shard and holds only the index. A retried task writes a file of another name, and
+    dealt by ranges of keys, so many that a shard has about ``SHARD_BYTES`` of text at most
+    (rows of one key stay together); a task streams its shard and holds only the index. A retried task writes a file of another name, and
     only the files of tasks that succeeded are named in the store.
     """
     spark = docs.sparkSession
@@ -246,7 +291,10 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int | None = 2, key: s
             yield pa.RecordBatch.from_pylist([{"shard": TaskContext.get().partitionId(), "path": uri, "first": first, "last": last, "records": n, "tokens": tokens}], schema=pa.schema([("shard", pa.int64()), ("path", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("records", pa.int64()), ("tokens", pa.int64())]))
 
     rows = docs.select(docs[key].cast("long").alias("key"), text_of(docs, column).alias("text"))
-    dealt = rows.repartitionByRange(shards or spread(spark), "key").sortWithinPartitions("key", "text")
+    if shards is None:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        shards = max(spread(spark), -(-size // SHARD_BYTES))
+    dealt = rows.repartitionByRange(shards, "key").sortWithinPartitions("key", "text")
     # one row for each shard
     made = dealt.mapInArrow(run, "shard long, path string, first long, last long, records long, tokens long").collect()
     total, out = 0, []
@@ -257,10 +305,11 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int | None = 2, key: s
 
 
 def read_tokens(spark: SparkSession, store: TokenStore, digests: bool = False) -> DataFrame:
-    """Every record of the shards, found by its key in the index where it has one.
+    """Every record of the shards, read at the place that the index has for its key.
 
-    Returns doc_id, start (ids before it in the store), n_tokens and ids (little-endian
-    unsigned 32-bit), or with ``digests`` ids_crc32 instead of ids.
+    Only rows without a key and repeated rows of a key, which the index does not hold, are
+    read by the order of records. Returns doc_id, start (ids before it in the store), n_tokens
+    and ids (little-endian unsigned 32-bit), or with ``digests`` ids_crc32 instead of ids.
     """
     ship(spark)
     last = "ids_crc32 long" if digests else "ids binary"
@@ -271,20 +320,19 @@ def read_tokens(spark: SparkSession, store: TokenStore, digests: bool = False) -
         for batch in batches:
             for row in batch.to_pylist():
                 shard = Shard(row["path"])
-                n = len(shard.keys)
-                record = np.arange(n)
-                # only the first row of a key is in the index
-                fresh = shard.valid & np.concatenate(([True], (shard.keys[1:] != shard.keys[:-1]) | ~shard.valid[:-1]))
-                record[fresh] = shard.find(shard.keys[fresh])
-                if (record != np.arange(n)).any():
-                    raise ValueError(f"{row['path']}: the index and the records differ")
-                for i in range(0, n, 2048):
-                    j = min(n, i + 2048)
-                    flat = shard.ids(i, j).astype("<u4")
-                    edge = shard.edge[i : j + 1] - shard.edge[i]
-                    raw = [flat[edge[k] : edge[k + 1]].tobytes() for k in range(j - i)]
+                keys, valid, edge = shard.array("keys"), shard.array("valid").astype(bool), shard.array("edge")
+                start, count = edge[:-1].copy(), np.diff(edge)
+                fresh = valid & np.concatenate(([True], (keys[1:] != keys[:-1]) | ~valid[:-1]))
+                start[fresh], count[fresh] = shard.find(keys[fresh])
+                if (start < 0).any():
+                    raise ValueError(f"{row['path']}: the index does not hold a key of the shard")
+                for i in range(0, len(keys), 2048):
+                    a, n = start[i : i + 2048], count[i : i + 2048]
+                    low, high = int(a.min()), int((a + n).max())
+                    flat = shard.ids(low, high - low).astype("<u4")
+                    raw = [flat[x : x + c].tobytes() for x, c in zip((a - low).tolist(), n.tolist(), strict=True)]
                     value = pa.array([zlib.crc32(x) for x in raw], pa.int64()) if digests else pa.array(raw, pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(shard.keys[i:j], mask=~shard.valid[i:j]), pa.array(row["before"] + shard.edge[i:j]), pa.array(np.diff(edge)), value], ["doc_id", "start", "n_tokens", last.split()[0]])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 2048], mask=~valid[i : i + 2048]), pa.array(row["before"] + a), pa.array(n), value], ["doc_id", "start", "n_tokens", last.split()[0]])
 
     if not store.shards:
         return spark.createDataFrame([], schema)
