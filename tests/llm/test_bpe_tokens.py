@@ -173,7 +173,7 @@ def test_many_shards_are_found_by_bisection(spark, tmp_path, monkeypatch):
     assert len(opened) <= 2
 
 
-PAGES = [(1, "http://a", "same"), (7, "http://b", "same"), (3, None, "same"), (4, "http://c\r\nX: y", None), (8, "http://d", ""), (5, "http://e", "é" * 300_000), (None, "http://f", "same"), (None, "u", "only"), (7, "http://b", "same"), (6, "u", "x\r\n\r\ny")]
+PAGES = [(1, "http://a", "same"), (7, "http://b", "same"), (3, None, "same"), (4, "http://c\r\nX: y", None), (8, "http://d", ""), (5, "http://e", "é" * 300_000), (None, "http://f", "same"), (None, "u", "only"), (7, "http://b", "same"), (6, "u", "x\r\n\r\ny"), (0, "", "zero"), (-3, "http://é/%41 %zz\n%0A\u2028", "odd"), (-3, "http://a%20b", "other")]
 
 
 def test_warc_bundles(spark, tmp_path):
@@ -187,7 +187,7 @@ def test_warc_bundles(spark, tmp_path):
     for i, u, h in PAGES:
         raw, top = (h or "").encode(), best[h or ""]
         revisit = top >= 0 and i != top
-        want.append((str(i), None if u is None else warcz.clean(u), "revisit" if revisit else "response", top if revisit else None, warcz.payload_digest(raw), len(raw), None if revisit else raw))
+        want.append((str(i), u, "revisit" if revisit else "response", top if revisit else None, warcz.payload_digest(raw), len(raw), None if revisit else raw))
     key = lambda r: tuple(map(str, r))
     assert sorted(((str(r.page_id), r.url, r.record_type, r.refers_to, r.payload_digest, r.payload_bytes, None if r.payload is None else bytes(r.payload)) for r in got), key=key) == sorted(want, key=key)
     import zstandard
@@ -199,14 +199,35 @@ def test_warc_bundles(spark, tmp_path):
         plain = zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True).read()
         assert plain == b"".join(bundle.frame(k) for k in range(len(bundle.packed) - 1))
         total += plain.count(b"WARC/1.1\r\n")
-        for k in bundle.index[:, 0].tolist():
-            assert bundle.get(k)["page_id"] == k
+        for known, k, *_ in bundle.index.tolist():
+            assert not known or bundle.get(k)["page_id"] == k
+        key_of = lambda r: (str(r["page_id"]), str(r["url"]), r["payload_digest"])
+        assert sorted(map(key_of, bundle.records())) == sorted(map(key_of, bundle.scan()))
         assert bundle.get(10_000) is None
     assert total == len(PAGES)
     none = warcz.write_bundles(pages.where("page_id = 99"))
     assert none == [] and warcz.read_bundles(spark, none).count() == 0
 
 
+def test_records_come_through_the_index(tmp_path):
+    writer = warcz.Writer(f"file://{tmp_path}/one.warc.zst")
+    for k in range(5):
+        writer.add(k, warcz.record(k, None, b"x" * (k + 1), None, "2024-01-01T00:00:00Z"))
+    writer.index[1], writer.index[3] = (*writer.index[1][:2], *writer.index[3][2:]), (*writer.index[3][:2], *writer.index[1][2:])
+    writer.close()
+    bundle = warcz.Bundle(f"{tmp_path}/one.warc.zst")
+    assert [r["payload_bytes"] for r in bundle.scan()] == [1, 2, 3, 4, 5]
+    assert bundle.get(1)["payload_bytes"] == 4
+    with pytest.raises(ValueError, match="differ"):
+        list(bundle.records())
+
+
+def test_pages_are_not_dealt_out(spark):
+    pages = spark.createDataFrame(PAGES, "page_id long, url string, html string")
+    plan = warcz.with_revisits(pages)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
 def test_small_payloads_can_be_left_out_of_revisits(spark):
     pages = spark.createDataFrame(PAGES, "page_id long, url string, html string")
     rows = warcz.with_revisits(pages, least_bytes=5).collect()

@@ -8,7 +8,10 @@ one record decompresses one frame.
 Cases: null html counts as empty; a null page id or url leaves its header out, and a row
 without an id is never referred to; of equal payloads the row with the largest page id is
 the response (rows that repeat that id with that payload are all responses) and the rest
-revisit it; an empty table gives no bundles; other columns do not matter.
+revisit it; payloads are equal if SHA-1, length and a further hash are; a url that would not
+fit on a header line is percent-encoded, which a header says, and comes back as it was; an
+empty url is a header without value; an empty table gives no bundles; other columns do not
+matter.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.joins import skew_join
+from ..operators.joins import skew_join, small_side
 from ..session import work_dir
 from .shared import filesystem, ship
 
@@ -36,15 +40,21 @@ SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 # Fixed value of the WARC 1.1 format.
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 URN = "urn:veinway:page:"
+#: Columns of the record index: whether the record has an identifier, that, its frame, its offset in the frame, its bytes.
+INDEX = ("known", "key", "frame", "offset", "size")
 
 
 def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def clean(value: str) -> str:
-    """A header value on one line."""
-    return "".join(c if c.isprintable() else "".join(f"%{b:02X}" for b in c.encode("utf-8", "replace")) for c in value)
+#: The header of records whose url is percent-encoded to fit on its line.
+ENCODED = "X-Target-URI-Encoded: percent"
+
+
+def encoded(value: str) -> str:
+    """A value without characters that cannot stand in a header; ``unquote`` gives it back."""
+    return "".join(c if c.isprintable() and c != "%" else "".join(f"%{b:02X}" for b in c.encode("utf-8")) for c in value)
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str) -> bytes:
@@ -54,7 +64,9 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     block = http if revisit else http + payload
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <{URN}{'null' if page_id is None else page_id}>", f"WARC-Date: {date}"]
     if url is not None:
-        head.append(f"WARC-Target-URI: {clean(url)}")
+        fits = url.isprintable()
+        head.append(f"WARC-Target-URI: {url if fits else encoded(url)}")
+        head += [] if fits else [ENCODED]
     head.append(f"WARC-Payload-Digest: sha1:{payload_digest(payload)}")
     if revisit:
         head += [f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: <{URN}{refers_to}>"]
@@ -74,7 +86,10 @@ def parse(data: bytes, at: int = 0) -> tuple[dict, int]:
     split = data.index(b"\r\n\r\n", begin, end) + 4
     http = dict(x.split(": ", 1) for x in data[begin : split - 4].decode("latin-1").split("\r\n")[1:])
     name = head["WARC-Record-ID"][1 + len(URN) : -1]
-    out = {"page_id": None if name == "null" else int(name), "url": head.get("WARC-Target-URI"), "record_type": head["WARC-Type"], "payload_digest": head["WARC-Payload-Digest"].removeprefix("sha1:"), "payload_bytes": int(http["Content-Length"]), "refers_to": int(head["WARC-Refers-To"][1 + len(URN) : -1]) if "WARC-Refers-To" in head else None, "payload": data[split:end] if head["WARC-Type"] == "response" else None}
+    url = head.get("WARC-Target-URI")
+    if ENCODED.split(": ")[0] in head:
+        url = unquote(url)
+    out = {"page_id": None if name == "null" else int(name), "url": url, "record_type": head["WARC-Type"], "payload_digest": head["WARC-Payload-Digest"].removeprefix("sha1:"), "payload_bytes": int(http["Content-Length"]), "refers_to": int(head["WARC-Refers-To"][1 + len(URN) : -1]) if "WARC-Refers-To" in head else None, "payload": data[split:end] if head["WARC-Type"] == "response" else None}
     return out, end + 4
 
 
@@ -91,8 +106,7 @@ class Writer:
         self.open, self.bytes, self.frames, self.index = [], 0, [], []
 
     def add(self, key: int | None, raw: bytes) -> None:
-        if key is not None:
-            self.index.append((key, len(self.frames), self.bytes, len(raw)))
+        self.index.append((key is not None, key or 0, len(self.frames), self.bytes, len(raw)))
         self.open.append(raw)
         self.bytes += len(raw)
         if self.bytes >= FRAME_BYTES:
@@ -107,7 +121,7 @@ class Writer:
 
     def close(self) -> None:
         self.flush()
-        rows = np.array(sorted(self.index), "<i8").reshape(-1, 4)
+        rows = np.array(sorted(self.index), "<i8").reshape(-1, len(INDEX))
         raw = rows.tobytes()
         self.out.write(struct.pack("<II", SKIPPABLE_INDEX, len(raw)) + raw)
         self.frames.append((len(raw) + 8, 0))
@@ -134,19 +148,32 @@ class Bundle:
         self.packed, self.plain = table[:, 0], table[:, 1]
         self.start = np.concatenate(([0], np.cumsum(self.packed)))
         raw = self.file.read_at(int(self.packed[-1]), int(self.start[n - 1]))
-        self.index = np.frombuffer(raw[8:], "<i8").reshape(-1, 4)
+        self.index = np.frombuffer(raw[8:], "<i8").reshape(-1, len(INDEX))
+        self.unknown = int(np.searchsorted(self.index[:, 0], 1))  # records without an identifier come first
 
     def frame(self, k: int) -> bytes:
         return self.unpack.decompress(self.file.read_at(int(self.packed[k]), int(self.start[k])), max_output_size=int(self.plain[k]))
 
     def get(self, page_id: int) -> dict | None:
-        at = int(np.searchsorted(self.index[:, 0], page_id))
-        if at == len(self.index) or self.index[at, 0] != page_id:
+        at = self.unknown + int(np.searchsorted(self.index[self.unknown :, 1], page_id))
+        if at == len(self.index) or self.index[at, 1] != page_id:
             return None
-        _, frame, offset, _ = self.index[at].tolist()
+        _, _, frame, offset, _ = self.index[at].tolist()
         return parse(self.frame(frame), offset)[0]
 
     def records(self) -> Iterator[dict]:
+        """Every record at the place that the index has for it, frame by frame."""
+        held, data = -1, b""
+        for known, key, frame, offset, size in self.index[np.lexsort((self.index[:, 3], self.index[:, 2]))].tolist():
+            if frame != held:
+                held, data = frame, self.frame(frame)
+            out, end = parse(data, offset)
+            if end != offset + size or out["page_id"] != (key if known else None):
+                raise ValueError("the index and the records differ")
+            yield out
+
+    def scan(self) -> Iterator[dict]:
+        """Every record in the order of the file, without the index."""
         for k in range(len(self.packed) - 1):
             data, at = self.frame(k), 0
             while at < len(data):
@@ -158,9 +185,11 @@ def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """page_id, url, html and refers_to (null for responses). Only keys and digests are grouped."""
     html = F.coalesce(pages["html"].cast("string"), F.lit(""))
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), html.alias("html"))
-    hashed = rows.withColumn("digest", F.when(F.octet_length("html") >= least_bytes, F.sha1("html")))
-    groups = hashed.where("digest is not null").groupBy("digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    joined = skew_join(hashed, groups, ["digest"], "left")
+    marks = ["digest", "size", "mark"]
+    hashed = rows.withColumn("size", F.octet_length("html")).withColumn("digest", F.when(F.col("size") >= least_bytes, F.sha1("html"))).withColumn("mark", F.xxhash64("html"))
+    groups = hashed.where("digest is not null").groupBy(*marks).agg(F.max("page_id").alias("kept"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    # no text is dealt out while the groups of copies are few
+    joined = skew_join(hashed, small_side(groups, "groups"), marks, "left")
     revisits = (F.col("kept") != F.col("page_id")) | (F.col("page_id").isNull() & F.col("kept").isNotNull())
     return joined.select("page_id", "url", "html", F.when(revisits, F.col("kept")).alias("refers_to"))
 
@@ -186,7 +215,7 @@ def write_bundles(pages: DataFrame, path: str | None = None, least_bytes: int =
 
 
 def read_bundles(spark: SparkSession, paths: list[str], payloads: bool = False) -> DataFrame:
-    """Every record of the bundles: page_id, url, record_type, refers_to, payload_digest, payload_bytes; with ``payloads`` the text of responses."""
+    """Every record of the bundles, by their index: page_id, url, record_type, refers_to, payload_digest, payload_bytes; with ``payloads`` the text of responses."""
     ship(spark)
     kinds = {"page_id": pa.int64(), "url": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "payload_digest": pa.string(), "payload_bytes": pa.int64()} | ({"payload": pa.binary()} if payloads else {})
     schema = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long" + ", payload binary" * payloads
