@@ -250,8 +250,11 @@ def contaminated():
 def test_phrases_equal_brute_force(spark, contaminated, monkeypatch):
     rows, items = contaminated
     table = spark.createDataFrame([(*i, "c") for i in items], "item_id long, text string, key string")
-    for block in (100_000, 5):
+    for block, held in ((100_000, 200_000), (5, 200_000), (5, 5)):
         monkeypatch.setattr(decontam, "BLOCK", block)
+        monkeypatch.setattr(decontam, "HELD", held)
+        blocks = decontam.write_phrases(table)
+        assert all(n <= block for _, n in blocks) and sum(n for _, n in blocks) == 14 and (block > 5 or len(blocks) > 2)
         got = decontam.phrase_matches(decontam.build_index(frame(spark, rows)), table).collect()
         want = sorted((str(k), *brute(t, items)) for k, t in rows)
         assert sorted((str(r.key), r.n_words, r.n_hit, r["items"]) for r in got) == want
@@ -259,13 +262,30 @@ def test_phrases_equal_brute_force(spark, contaminated, monkeypatch):
             assert all(0 <= s.first and s.first + s.words <= r.n_words for s in r.spans) and {s.item for s in r.spans} == set(r["items"])
     out = decontam.clean(frame(spark, rows), table)
     assert out.columns == frame(spark, rows).columns
-    bad = {k for k, t in rows if (b := brute(t, items))[1] and 20 * b[1] >= b[0] and k is not None}
-    assert {r.doc_id for r in out.collect()} == {k for k, _ in rows} - bad
+    bad = {(k, t) for k, t in rows if (b := brute(t, items))[1] and 20 * b[1] >= b[0]}
+    assert sorted(map(str, ((r.doc_id, r.text) for r in out.collect()))) == sorted(map(str, (x for x in rows if x not in bad)))
+    assert any(k is None for k, _ in bad)
     none = decontam.phrase_matches(decontam.build_index(frame(spark, rows)), table.where("item_id = 99")).collect()
     assert len(none) == len(rows) and not any(r.n_hit for r in none)
     assert decontam.phrase_matches(decontam.build_index(frame(spark, [])), table).count() == 0
 
 
+def test_a_clean_text_stays_beside_a_contaminated_one_of_its_id(spark):
+    table = spark.createDataFrame([(1, "a b c d")], "item_id long, text string")
+    rows = [(1, "x a b c d y"), (1, "quite clean"), (None, "a b c d"), (None, "clean too"), (2, "a b c")]
+    got = decontam.clean(frame(spark, rows), table).collect()
+    assert sorted(r.text for r in got) == ["a b c", "clean too", "quite clean"]
+
+
+def test_a_long_item_goes_in_parts(spark):
+    r = random.Random(6)
+    item = " ".join(f"w{r.randint(0, 3000)}" for _ in range(20_000))
+    w = item.split()
+    rows = [(1, " ".join(w[8185:8210])), (2, " ".join(w[16380:16396])), (3, " ".join(w[5:17])), (4, " ".join(w))]
+    got = decontam.phrase_matches(decontam.build_index(frame(spark, rows)), spark.createDataFrame([(9, item)], "item_id long, text string")).collect()
+    assert {x.key: x.n_hit for x in got} == {1: 25, 2: 16, 3: 0, 4: 20_000}
+
+
 def test_proximity_equals_brute_force(spark):
     r = random.Random(2)
     rows = [(i, " ".join(r.choice("abcdefghijklmnop") for _ in range(60))) for i in range(20)]

@@ -30,14 +30,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.components import connected_components
 from ..operators.joins import skew_join, small_side
 from ..session import Scratch, materialise
-from .shared import ship, text_of
+from .shared import ship, text_marks, text_of
 from .textvec import mix, pieces, shingles, span_hash, utf8, words
 
 SHINGLE = 5
@@ -119,11 +119,7 @@ def _text_hash(word: np.ndarray, offsets: np.ndarray, salt: int) -> np.ndarray:
 def _texts(docs: DataFrame, key: str, column: str) -> DataFrame:
     """id, t1 and t2 (hash of the text as it is written) and text."""
     rows = docs.select(docs[key].cast("long").alias("id"), text_of(docs, column).alias("text"))
-    return rows.select("id", *_text_marks("text"), "text")
-
-
-def _text_marks(text: str | Column) -> list[Column]:
-    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
+    return rows.select("id", *text_marks("text"), "text")
 
 
 def signatures(docs: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
@@ -403,5 +399,5 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", column: str = "text", thre
     """
     drop = _classified(docs, key, column, threshold, floor, chunk).where(~F.col("kept"))
     drop = small_side(drop.select(F.col("id").alias("_drop_id"), F.col("t1").alias("_drop_t1"), F.col("t2").alias("_drop_t2")).distinct(), "drop")
-    t1, t2 = _text_marks(text_of(docs, column))
+    t1, t2 = text_marks(text_of(docs, column))
     return docs.join(drop, (docs[key].cast("long") == drop["_drop_id"]) & (t1 == drop["_drop_t1"]) & (t2 == drop["_drop_t2"]), "left_anti")

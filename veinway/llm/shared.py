@@ -15,14 +15,9 @@ def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + os.path.abspath(uri))
 
 
-def write_file(uri: str, parts: list[bytes]) -> None:
-    """Write a file under its final name only when it is whole."""
-    system, path = filesystem(uri)
-    system.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    with system.open_output_stream(path + ".open") as out:
-        for part in parts:
-            out.write(part)
-    system.move(path + ".open", path)
+def path_of(path: str) -> str:
+    """The folder of a path in a file system."""
+    return path.rsplit("/", 1)[0]
 
 
 def text_of(df: DataFrame, column: str = "text") -> Column:
@@ -30,6 +25,11 @@ def text_of(df: DataFrame, column: str = "text") -> Column:
     return F.coalesce(df[column].cast("string"), F.lit(""))
 
 
+def text_marks(text: str | Column) -> list[Column]:
+    """t1 and t2: 128 bits of hash that tell texts of rows with the same id apart."""
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
