@@ -146,11 +146,19 @@ def test_exact_dedup_keeps_rows_by_id_and_text(spark):
     assert got[(8, "A b")] == 1 and got[(8, "other")] == 1 and got[(6, "")] == 1 and got[(7, None)] == 0
 
 
-def test_native_plan_has_no_python(spark):
-    plan = exactdedup.groups(frame(spark, EXACT), digests=True)._jdf.queryExecution().executedPlan().toString()
+@pytest.mark.parametrize("make", [lambda d: exactdedup.groups(d, digests=True), exactdedup.groups, exactdedup.deduplicate])
+def test_native_plan_has_no_python(spark, make):
+    plan = make(frame(spark, EXACT))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_only_survivors_are_read_whole(spark):
+    """The hash of the last join is evaluated for rows of dropped ids, not as a key of all rows."""
+    plan = exactdedup.deduplicate(frame(spark, EXACT))._jdf.queryExecution().executedPlan().toString()
+    keys = re.search(r"BroadcastHashJoin \[(.*?)\], \[", plan).group(1)
+    assert "sha2" not in keys and "sha2" in plan
+
+
 def planted(monkeypatch, agreements, similar):
     """Signatures in one bucket that agree in given shares, and exact checks of the pairs in ``similar`` only."""
     import pyarrow as pa

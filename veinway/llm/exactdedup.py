@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.joins import skew_join, small_side
+from ..session import materialise
 
 #: Characters of the text that the first hash covers.
 PREFIX = 256
@@ -28,30 +29,57 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), BLANKS, " ")
 
 
+def _sized(docs: DataFrame, key: str, column: str) -> DataFrame:
+    """_id, _norm, and the first two marks of each row: _length and _prefix."""
+    rows = docs.select(docs[key].alias("_id"), docs[column].cast("string").alias("_text"))
+    return rows.select("_id", normalised(F.col("_text")).alias("_norm")).select(
+        "_id", "_norm", F.octet_length("_norm").alias("_length"), F.xxhash64(F.substring("_norm", 1, PREFIX)).alias("_prefix")
+    )
+
+
+def _open(marks: DataFrame) -> DataFrame:
+    """The (_length, _prefix) of several rows: only these marks are shuffled."""
+    return marks.groupBy("_length", "_prefix").agg(F.count("*").alias("_n")).where("_n > 1").select("_length", "_prefix", F.lit(True).alias("_open"))
+
+
+def _judged(rows: DataFrame) -> DataFrame:
+    """Of rows with _id and _sha, adds _keep and _size to those whose _sha several rows have."""
+    full = rows.where("_sha is not null").groupBy("_sha").agg(F.min("_id").alias("_keep"), F.count("*").alias("_size")).where("_size > 1")
+    return skew_join(rows, full, ["_sha"], "left")
+
+
+def _refined(docs: DataFrame, key: str, column: str) -> DataFrame:
+    """One row per document: _id, _length, _prefix, and for rows whose first two marks others have too _sha, _keep and _size.
+
+    Texts are read whole only of ids with such a row.
+    """
+    marks = materialise(_sized(docs, key, column).drop("_norm"), "marks")
+    marked = materialise(skew_join(marks, _open(marks), ["_length", "_prefix"], "left"), "marked")
+    ids = small_side(marked.where("_open").select("_id").distinct().withColumnRenamed("_id", "_open_id"), "ids")
+    some = docs.select(docs[key].alias("_id"), docs[column].cast("string").alias("_text"))
+    some = some.join(ids, some["_id"].eqNullSafe(ids["_open_id"]), "left_semi")
+    whole = _sized(some, "_id", "_text").select("_id", "_length", "_prefix", F.sha2("_norm", 256).alias("_sha"))
+    # an id may have further rows that are told apart already
+    whole = skew_join(whole, _open(marks), ["_length", "_prefix"], "left_semi")
+    alone = marked.where("_open is null").select("_id", "_length", "_prefix", F.lit(None).cast("string").alias("_sha"))
+    return alone.withColumn("_keep", F.col("_id")).withColumn("_size", F.lit(None).cast("long")).unionByName(_judged(whole))
+
+
 def groups(docs: DataFrame, key: str = "doc_id", column: str = "text", digests: bool = False) -> DataFrame:
     """One row per document: ``key``, keep_id, group_size, kept and, with ``digests``, text_sha256.
 
-    ``digests`` hashes the texts that refinement has already told apart too.
+    ``digests`` hashes the texts that refinement has already told apart too, in the same pass.
     """
-    text = normalised(F.col("_text"))
-    rows = docs.select(docs[key].alias("_id"), docs[column].cast("string").alias("_text"))
-    sized = rows.select("_id", "_text", text.alias("_norm")).select(
-        "_id", "_norm", F.octet_length("_norm").alias("_length"), F.xxhash64(F.substring("_norm", 1, PREFIX)).alias("_prefix")
-    )
-    # refinement 1 and 2: only lengths and prefix hashes are shuffled
-    open_ = sized.groupBy("_length", "_prefix").agg(F.count("*").alias("_n")).where("_n > 1").select("_length", "_prefix", F.lit(True).alias("_open"))
-    # refinement 3: the whole text of survivors
-    whole = F.sha2(F.col("_norm"), 256)
-    hashed = sized.select("_id", "_length", "_prefix", whole.alias("_sha")) if digests else sized
-    joined = skew_join(hashed, open_, ["_length", "_prefix"], "left")
-    if not digests:
-        # a text that is alone with its length and prefix needs no hash; these two tell it apart
-        joined = joined.select("_id", "_open", F.when(F.col("_open"), whole).otherwise(F.concat_ws("-", F.lit(""), "_length", "_prefix")).alias("_sha"))
-    full = joined.where("_open").groupBy("_sha").agg(F.min("_id").alias("_keep"), F.count("*").alias("_size")).where("_size > 1")
-    out = skew_join(joined.select("_id", "_sha"), full, ["_sha"], "left")
+    if digests:
+        rows = _sized(docs, key, column)
+        hashed = rows.select("_id", "_length", "_prefix", F.sha2("_norm", 256).alias("_digest"))
+        joined = skew_join(hashed, _open(rows), ["_length", "_prefix"], "left")
+        out = _judged(joined.select("_id", "_digest", F.when(F.col("_open"), F.col("_digest")).alias("_sha")))
+    else:
+        out = _refined(docs, key, column)
     keep = F.when(F.col("_size").isNotNull(), F.col("_keep")).otherwise(F.col("_id"))
     columns = [F.col("_id").alias(key), keep.alias("keep_id"), F.coalesce("_size", F.lit(1)).cast("long").alias("group_size"), F.col("_id").eqNullSafe(keep).alias("kept")]
-    return out.select(*columns, *([F.col("_sha").alias("text_sha256")] if digests else []))
+    return out.select(*columns, *([F.col("_digest").alias("text_sha256")] if digests else []))
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
@@ -59,9 +87,11 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", column: str = "text") -> D
 
     A row goes if its id and text together were judged a copy, so rows that share an id do
     not fall for one another; a repeated row whose id is the kept one stays as often as it is
-    there.
+    there. Only texts of ids with a copy are hashed again.
     """
-    drop = groups(docs, key, column, digests=True).where(~F.col("kept")).select(F.col(key).alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    drop = small_side(drop, "drop")
-    marked = docs.withColumn("_own_sha", F.sha2(normalised(docs[column]), 256))
-    return marked.join(drop, marked[key].eqNullSafe(drop["_id"]) & (marked["_own_sha"] == drop["_sha"]), "left_anti").drop("_own_sha")
+    judged = _refined(docs, key, column).where("_size is not null and not _id <=> _keep")
+    drop = small_side(judged.select(F.col("_id").alias("_drop_id"), F.col("_sha").alias("_drop_sha")).distinct(), "drop")
+    ours = docs[key].eqNullSafe(drop["_drop_id"])
+    # the hash waits for an equal id: written so that it is no key of the join
+    text = F.when(ours, F.sha2(normalised(docs[column]), 256))
+    return docs.join(drop, ours & (text == drop["_drop_sha"]), "left_anti")
