@@ -1,7 +1,7 @@
 """Language identification: known words first, then ever shorter character n-grams.
 
-The model has, for each language, the log frequency of words and of byte n-grams of lower
-case words with their borders. A known word scores by its own log frequencies. An unseen
+The model has, for each language, the log frequency of words and of character n-grams (by code
+points) of lower case words with their borders. A known word scores by its own log frequencies. An unseen
 word scores by the mean over those of its n-grams of the longest size of which any is
 known. A text's score is the sum over its words.
 
@@ -34,7 +34,7 @@ LEAST_COUNT = 2
 
 
 def grams(data: np.ndarray, start: np.ndarray, end: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the byte n-grams of words with a space on either side, and the word of each."""
+    """Hashes of the n-grams of characters of words with a space on either side, and the word of each."""
     length = end - start + 2
     edge = np.cumsum(length) - length
     total = int(length.sum())
@@ -43,13 +43,23 @@ def grams(data: np.ndarray, start: np.ndarray, end: np.ndarray, n: int) -> tuple
     inner = np.ones(total, bool)
     inner[edge] = inner[edge + length - 1] = False
     flat[inner] = data[np.arange(int((end - start).sum())) + np.repeat(start - (edge - 2 * np.arange(len(start))), end - start)]
-    if total < n:
+    # a character is a first byte of UTF-8 and those that continue it
+    first = np.flatnonzero((flat & 0xC0) != 0x80)
+    if len(first) < n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    value = np.zeros(total - n + 1, np.uint64)
+    if len(first) == total:
+        char = _BYTE[flat]
+    else:
+        within = np.arange(total) - np.repeat(first, np.diff(np.append(first, total)))
+        char = np.add.reduceat(_BYTE[flat] * _POS[16 + within], first)
+        char[flat[first] < 0x80] = _BYTE[flat[first][flat[first] < 0x80]]
+    word = word[first]
+    m = len(first) - n + 1
+    value = np.zeros(m, np.uint64)
     for j in range(n):
-        value += _BYTE[flat[j : total - n + 1 + j]] * _POS[j]
-    fits = word[: total - n + 1] == word[n - 1 :]
-    return mix(value[fits] + np.uint64(n)), word[: total - n + 1][fits]
+        value += char[j : j + m] * _POS[j]
+    fits = word[:m] == word[n - 1 :]
+    return mix(value[fits] + np.uint64(n)), word[:m][fits]
 
 
 @dataclass
@@ -110,7 +120,10 @@ def training_sample(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE, key: str = "
 
 
 def fit(sample: DataFrame) -> Model:
-    """Count words and n-grams of all sampled rows and take logs; the model is bounded by the sample."""
+    """Count words and n-grams of all sampled rows and take logs; the model is bounded by the sample.
+
+    Of each language of the sample, those of words and n-grams that occur ``LEAST_COUNT`` times come to the driver.
+    """
     ship(sample.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,10 +151,12 @@ def fit(sample: DataFrame) -> Model:
                         yield pa.RecordBatch.from_arrays([pa.array([name] * len(value)), pa.array(np.full(len(value), kind, np.int32)), pa.array(value.view(np.int64)), pa.array(size.astype(np.int64))], ["lang", "kind", "h", "n"])
 
     counted = sample.select("lang", "text").mapInArrow(count, "lang string, kind int, h long, n long")
-    counted = counted.groupBy("lang", "kind", "h").agg(F.sum("n").alias("n"))
-    found = counted.toArrow()
+    # what is seen once in all languages never reaches the driver
+    counted = counted.groupBy("kind", "h", "lang").agg(F.sum("n").alias("n"))
+    counted = counted.groupBy("kind", "h").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by_lang")).where(F.col("total") >= LEAST_COUNT)
+    found = counted.select("kind", "h", F.explode("by_lang").alias("x")).select("x.lang", "kind", "h", "x.n").toArrow()
     lang, kind, h, n = (np.asarray(found[c].combine_chunks()) if c != "lang" else np.array(found[c].to_pylist(), dtype=object) for c in ("lang", "kind", "h", "n"))
-    languages = sorted(set(lang.tolist()))
+    languages = sorted({r["lang"] for r in sample.select("lang").distinct().collect()})
     place = {x: i for i, x in enumerate(languages)}
     code = np.array([place[x] for x in lang], np.int64)
     tables = {}
@@ -150,8 +165,6 @@ def fit(sample: DataFrame) -> Model:
         keys, at = np.unique(h[mine].view(np.uint64), return_inverse=True) if mine.any() else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         counts = np.zeros((len(keys), len(languages)))
         counts[at, code[mine]] = n[mine]
-        keep = counts.sum(1) >= LEAST_COUNT
-        keys, counts = keys[keep], counts[keep]
         tables[k] = keys, np.log((counts + 0.5) / (counts.sum(0) + 0.5 * max(1, len(keys)))).astype(np.float32)
     return Model(languages, tables)
 
