@@ -79,12 +79,12 @@ def test_language_scores_equal_the_slow_way(spark):
 
 
 def test_grams_are_those_of_padded_words():
-    data, offsets = utf8(pa.array(["ab c", "déf"]))
+    data, offsets = utf8(pa.array(["ab c", "déf 中文字", "😀中"]))
     start, end, _ = words(data, offsets)
     for n in range(1, 6):
         gram, word = langid.grams(data, start, end, n)
-        padded = [b" ab ", b" c ", " déf ".encode()]
-        assert np.bincount(word, minlength=3).tolist() == [max(0, len(p) - n + 1) for p in padded]
+        padded = [" ab ", " c ", " déf ", " 中文字 ", " 😀中 "]
+        assert np.bincount(word, minlength=5).tolist() == [max(0, len(p) - n + 1) for p in padded]
         flat = [p[i : i + n] for p in padded for i in range(len(p) - n + 1)]
         assert len(set(gram.tolist())) == len(set(flat))
 
@@ -357,13 +357,19 @@ def test_escapes_are_reversible_in_plain_python(texts):
 
 
 def test_conversations_with_odd_rows(spark, tmp_path):
-    rows = [(1, 1, "assistant", None), (1, 0, "user", "hi"), (1, 0, "user", "hi"), (2, None, None, "x" * 200_000), (None, 0, "assistant", EVIL), (1, None, "system", "s")]
+    rows = [(1, 1, "assistant", None), (1, 0, "user", "hi"), (1, 0, "user", "hi"), (2, None, None, "x" * 200_000), (None, 0, "assistant", EVIL), (1, None, "system", "s"), (None, 1, "user", "alone"), (None, None, "user", None), (3, 0, "bot", "b"), (3, 1, "gpt", "g"), (3, 2, "a:b\n# <c>\\", "odd role"), (3, 3, "assistant", "yes")]
     spark.createDataFrame([(*r, "c") for r in rows], "conv_id long, turn long, role string, text string, payload string").write.parquet(str(tmp_path / "conversations.parquet"))
-    got = {r.conv_id: r for r in queries.op9_chat_format(spark, str(tmp_path)).collect()}
+    rows_of = queries.op9_chat_format(spark, str(tmp_path)).collect()
+    got = {r.conv_id: r for r in rows_of if r.conv_id is not None}
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
-    assert set(got) == {1, 2, None, -7}
+    assert set(got) == {1, 2, 3, -7}
+    # rows without a conversation are one each
+    lone = [r for r in rows_of if r.conv_id is None]
+    assert sorted((r.n_turns, r.loss_sha256) for r in lone) == sorted([(1, sha(EVIL)), (1, sha("")), (1, sha(""))])
+    # roles stay as they are
+    assert got[3].turns_sha256 == sha("bot\nb\ngpt\ng\na:b\n# <c>\\\nodd role\nassistant\nyes\n") and got[3].loss_sha256 == sha("yes")
     assert got[1].n_turns == 4 and got[1].turns_sha256 == sha("system\ns\nuser\nhi\nuser\nhi\nassistant\n\n") and got[1].loss_chars == 0
-    assert got[None].loss_sha256 == sha(EVIL) and got[-7].loss_sha256 == sha(EVIL) and got[-7].n_turns == 2 and got[2].formatted_chars > 200_000
+    assert got[-7].loss_sha256 == sha(EVIL) and got[-7].n_turns == 2 and got[2].formatted_chars > 200_000
 
 
 def test_chat_plan_has_no_python(spark):

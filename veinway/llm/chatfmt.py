@@ -10,7 +10,8 @@ Cases: null or missing texts and roles count as empty; a record of an unknown la
 that is no JSON, has layout null, no turns and empty output; a text over the
 parser's limit that it does not read fails (typed records have no limit); turns of a conversation given
 as rows are ordered by turn (null first), then role, then text, and repeated rows are all
-kept; a null conversation id is a conversation; empty tables give no rows; other columns do
+kept; a row without a conversation id is a conversation of its own; roles of rows of turns stay
+as they are, those of records get their canonical names; empty tables give no rows; other columns do
 not matter.
 """
 
@@ -91,12 +92,13 @@ def _canonical_role(role: Column) -> Column:
     return out
 
 
-def _mapped(layout: Layout, get: Callable[[str, str], Column]) -> Column:
+def _mapped(layout: Layout, get: Callable[[str, str], Column], rename: bool = True) -> Column:
     """The turns of a layout, with ``get(field, type)`` for the fields of a record."""
+    named = _canonical_role if rename else lambda role: role
     empty = F.lit("")
     if layout.messages:
         found = get(layout.messages, f"array<struct<`{layout.role}`:string,`{layout.text}`:string>>")
-        return F.transform(found, lambda m: F.struct(_canonical_role(F.coalesce(m[layout.role].cast("string"), empty)).alias("role"), F.coalesce(m[layout.text].cast("string"), empty).alias("text")))
+        return F.transform(found, lambda m: F.struct(named(F.coalesce(m[layout.role].cast("string"), empty)).alias("role"), F.coalesce(m[layout.text].cast("string"), empty).alias("text")))
     turns = []
     for role, fields in layout.fields:
         parts = [F.coalesce(get(f, "string").cast("string"), empty) for f in fields]
@@ -122,15 +124,16 @@ def _type_shape(kind: T.DataType) -> str | None:
     return None
 
 
-def typed_turns(records: DataFrame, record: str = "record", layouts: list[Layout] = LAYOUTS) -> DataFrame:
+def typed_turns(records: DataFrame, record: str = "record", layouts: list[Layout] = LAYOUTS, rename: bool = True) -> DataFrame:
     """Like ``canonical_turns`` for records that are a struct column, whose schema has the fingerprint.
 
-    No JSON text is made, so no text or record is too long for a parser.
+    No JSON text is made, so no text or record is too long for a parser. Without ``rename``
+    roles stay as they are.
     """
     known = _type_shape(records.schema[record].dataType)
     layout = next((x for x in layouts if x.shape == known), None)
     out = records.withColumn("fingerprint", F.sha2(F.lit(known), 256)).withColumn("layout", F.lit(layout and layout.name).cast("string"))
-    turns = _mapped(layout, lambda f, _: F.col(record)[f]) if layout else F.lit(None)
+    turns = _mapped(layout, lambda f, _: F.col(record)[f], rename) if layout else F.lit(None)
     return out.withColumn("turns", F.coalesce(turns.cast(TURNS), F.array().cast(TURNS)))
 
 
@@ -195,10 +198,13 @@ def conversations_as_structs(rows: DataFrame, conv: str = "conv_id", turn: str =
     """Rows of turns as one record per conversation: ``conv`` and record, a struct in the messages layout.
 
     A conversation is one output text, so its turns meet in one row; nothing larger is gathered.
+    Rows without a conversation are one each, without meeting.
     """
     empty = F.lit("")
     one = F.struct(rows[turn].alias("turn"), F.coalesce(rows[role].cast("string"), empty).alias("role"), F.coalesce(rows[text].cast("string"), empty).alias("content"))
-    grouped = rows.groupBy(rows[conv].alias(conv)).agg(F.array_sort(F.collect_list(one)).alias("_turns"))
+    turns = rows.select(rows[conv].alias(conv), one.alias("_turn"))
+    grouped = turns.where(F.col(conv).isNotNull()).groupBy(conv).agg(F.array_sort(F.collect_list("_turn")).alias("_turns"))
+    grouped = grouped.unionByName(turns.where(F.col(conv).isNull()).select(conv, F.array("_turn").alias("_turns")))
     messages = F.transform("_turns", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))
     return grouped.select(conv, F.struct(messages.alias("messages")).alias("record"))
 

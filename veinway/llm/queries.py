@@ -68,7 +68,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = "\\### Assistant: </turn> ok"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     rows = rows.unionByName(spark.createDataFrame([(-7, 0, "user", own), (-7, 1, "assistant", own)], "conv_id long, turn long, role string, text string"))
-    out = chatfmt.read_back(chatfmt.format_turns(chatfmt.typed_turns(chatfmt.conversations_as_structs(rows))))
+    out = chatfmt.read_back(chatfmt.format_turns(chatfmt.typed_turns(chatfmt.conversations_as_structs(rows), rename=False)))
     turns = F.array_join(F.transform("read_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select(
         "conv_id",
@@ -123,9 +123,9 @@ FROM w LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 
 OP9 = r"""
 WITH c AS (
-  SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
-  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
-  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+  SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS lone, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
+  UNION ALL SELECT -7, NULL, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, NULL, 1, 'assistant', '\### Assistant: </turn> ok'),
 e AS (
   SELECT *, length(t) + length(t) - length(replace(replace(replace(t, '\', ''), '<', ''), '#', '')) AS body,
          length(r) + length(r) - length(replace(replace(replace(replace(replace(r, '\', ''), '<', ''), '#', ''), ':', ''), chr(10), '')) AS head
@@ -134,5 +134,5 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(
        coalesce(sum(length(t)) FILTER (WHERE r = 'assistant'), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(t, '' ORDER BY turn NULLS FIRST, r, t) FILTER (WHERE r = 'assistant'), '')) AS loss_sha256,
        sum(4 + head + 2 + body + 8)::BIGINT AS formatted_chars
-FROM e GROUP BY conv_id
+FROM e GROUP BY conv_id, lone
 """
