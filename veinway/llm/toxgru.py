@@ -30,7 +30,7 @@ from .langid import grams
 from .shared import ship, text_of
 from .textvec import pieces, span_hash, utf8, words
 
-#: The bounds of the training sample.
+#: The bounds of the training sample: rows of each class, and bytes of the stretch that stands for a longer text.
 SAMPLE_ROWS, SAMPLE_BYTES = 1500, 1 << 16
 WINDOW, STRIDE = 32, 24
 WORDS, GRAMS = 1 << 16, 1 << 18
@@ -297,15 +297,22 @@ def _all_logits(net: Network, word, gram, own, first, length, inverse) -> np.nda
     return np.concatenate([net.forward(vectors, *_places(first[i : i + 8192], length[i : i + 8192], inverse)) for i in range(0, len(first), 8192)]).astype(float)
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, key: str = "doc_id", column: str = "text", label: str = "toxic") -> Network:
-    """Train on about ``rows`` labelled documents of each class; ``labels`` must hold only rows that may be learnt from."""
+def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, stretch: int = SAMPLE_BYTES, key: str = "doc_id", column: str = "text", label: str = "toxic") -> Network:
+    """Train on about ``rows`` labelled documents of each class; ``labels`` must hold only rows that may be learnt from.
+
+    Of a text of more than ``stretch`` characters, so many in a row are learnt from, at a place
+    that its key decides; a toxic one is learnt from its most toxic window within them.
+    """
     known = labels.select(labels[key].cast("long").alias("key"), labels[label].cast("int").alias("toxic")).where("key is not null and toxic in (0, 1)")
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     share = F.when(F.col("toxic") == 1, F.lit(rows / max(1, sizes.get(1, 0)))).otherwise(F.lit(rows / max(1, sizes.get(0, 0))))
     chosen = known.where(F.pmod(F.xxhash64("key", F.lit(4)), F.lit(1 << 30)) / F.lit(1 << 30) < share)
-    texts = docs.select(docs[key].cast("long").alias("key"), text_of(docs, column).alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)
+    texts = docs.select(docs[key].cast("long").alias("key"), text_of(docs, column).alias("text"))
     # the chosen labels are bounded by twice ``rows``
-    found = texts.join(F.broadcast(chosen), "key").select("key", "text", "toxic").toArrow().sort_by([("key", "ascending"), ("text", "ascending"), ("toxic", "ascending")])
+    found = texts.join(F.broadcast(chosen), "key")
+    over = F.char_length("text") - stretch
+    found = found.withColumn("text", F.when(over > 0, F.substr("text", F.pmod(F.xxhash64("key", F.lit(5)), over + 1).cast("int") + 1, F.lit(stretch))).otherwise(F.col("text")))
+    found = found.select("key", "text", "toxic").toArrow().sort_by([("key", "ascending"), ("text", "ascending"), ("toxic", "ascending")])
     total = sum(sizes.values())
     return train(found["text"].to_pylist(), np.array(found["toxic"].to_pylist(), int), sizes.get(1, 0) / total if total else 0.0)
 
