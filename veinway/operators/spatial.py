@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import Scratch, materialise
+
 
 def cell(value: Column, size: float) -> Column:
     return F.floor(value / F.lit(float(size))).cast("long")
@@ -37,25 +39,50 @@ def nearest_within(left: DataFrame, right: DataFrame, radius: float, key: list[s
     return best.select(scene, *key, F.col(f"b.{tie}").alias(tie), *[F.col(f"b.{c}").alias(c) for c in value], F.col("b.gap").alias("gap"))
 
 
+def _reached(points: DataFrame, segments: DataFrame, key: list[str], reach: float, scene: str) -> DataFrame:
+    """The least distance of each point to the segments that its cell holds, for points with any."""
+    from ..functions.geometry import segment_distance
+
+    distance = segment_distance(*(F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by")))
+    low = lambda a, b: cell(F.least(a, b) - reach, reach)
+    high = lambda a, b: cell(F.greatest(a, b) + reach, reach)
+    s = segments.withColumn("_cy", F.explode(F.sequence(low(F.col("ay"), F.col("by")), high(F.col("ay"), F.col("by")))))
+    s = s.withColumn("_cx", F.explode(F.sequence(low(F.col("ax"), F.col("bx")), high(F.col("ax"), F.col("bx")))))
+    p = points.withColumn("_cy", cell(F.col("y"), reach)).withColumn("_cx", cell(F.col("x"), reach))
+    return p.join(s, [scene, "_cy", "_cx"]).groupBy(scene, *key).agg(F.min(distance).alias("distance"))
+
+
 def point_network_distance(points: DataFrame, segments: DataFrame, key: list[str], reach: float | None = None, scene: str = "scene_id") -> DataFrame:
     """For each point (key, y, x) its least distance to the segments (ax, ay, bx, by) of its scene [G11, J9].
 
-    With ``reach`` a segment is put into every cell its box touches, widened by ``reach``, so
-    only near pairs meet and points without any have no row; without, all pairs of a scene are
-    compared, for reference networks that are known to be small.
+    A segment is put into every cell its box touches, widened by ``reach``, so only near pairs
+    meet, and points without any have no row. Without ``reach`` the search starts with a reach
+    of about the segments' spacing and goes on with one four times as large for the points
+    that found nothing within it, until all have; points of scenes without segments have no row.
     """
-    from ..functions.geometry import segment_distance
-
     segments = segments.select(scene, "ax", "ay", "bx", "by")
-    distance = segment_distance(*(F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by")))
-    if reach is None:
-        pairs = points.join(segments, scene)
-    else:
-        size = max(reach, 1.0)
-        low = lambda a, b: cell(F.least(a, b) - reach, size)
-        high = lambda a, b: cell(F.greatest(a, b) + reach, size)
-        s = segments.withColumn("_cy", F.explode(F.sequence(low(F.col("ay"), F.col("by")), high(F.col("ay"), F.col("by")))))
-        s = s.withColumn("_cx", F.explode(F.sequence(low(F.col("ax"), F.col("bx")), high(F.col("ax"), F.col("bx")))))
-        p = points.withColumn("_cy", cell(F.col("y"), size)).withColumn("_cx", cell(F.col("x"), size))
-        pairs = p.join(s, [scene, "_cy", "_cx"])
-    return pairs.groupBy(scene, *key).agg(F.min(distance).alias("distance"))
+    if reach is not None:
+        return _reached(points, segments, key, max(reach, 1.0), scene)
+    scratch = Scratch(points.sparkSession)
+    segments = scratch.table(segments.where("ax is not null and ay is not null and bx is not null and by is not null"), "segments")
+    left = points.select(scene, *key, "y", "x").where("y is not null and x is not null").join(segments.select(scene).distinct(), scene, "left_semi")
+    left = scratch.table(left.withColumn("_row", F.monotonically_increasing_id()), "points")
+    ends = [F.least("ax", "bx"), F.greatest("ax", "bx"), F.least("ay", "by"), F.greatest("ay", "by")]
+    m = segments.agg(F.count("*"), F.avg(F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))), F.min(ends[0]), F.max(ends[1]), F.min(ends[2]), F.max(ends[3])).first()
+    p = left.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    found = None
+    if m[0] and p[0] is not None:
+        size = max(max(m[3], p[1]) - min(m[2], p[0]), max(m[5], p[3]) - min(m[4], p[2]), 1.0)
+        now = max(size / m[0] ** 0.5, m[1], size * 1e-6)
+        while True:
+            near = _reached(left, segments, ["_row"], now, scene).where(F.col("distance") <= now)
+            hit = materialise(left.join(near.select("_row", "distance"), "_row").select(scene, *key, "_row", "distance"), "distances")
+            found = hit.drop("_row") if found is None else found.unionByName(hit.drop("_row"))
+            left = scratch.table(left.join(hit.select("_row"), "_row", "left_anti"), "points")
+            if left.isEmpty():
+                break
+            now *= 4
+    scratch.drop()
+    if found is None:
+        return points.select(scene, *key, F.lit(0.0).alias("distance")).limit(0)
+    return found.groupBy(scene, *key).agg(F.min("distance").alias("distance"))

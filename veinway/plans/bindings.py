@@ -54,17 +54,22 @@ def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("scene_id", "path_id", F.transform("v", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("path"))
 
 
-def reference(spark: SparkSession, sf_dir: str, most: int = 3) -> DataFrame:
-    """Segments of the reference network: the steps of the first few paths."""
-    from ..sources.vectors import path_segments
-
-    return path_segments(paths(spark, sf_dir).where(F.col("path_id") <= most), ["scene_id", "path_id"])
+def reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of the reference network: a short step of one of five long roads for each part."""
+    k, d = F.col("p_partkey"), lambda c: c.cast("double")
+    ax, ay = k * 37 % 7200 / F.lit(10.0), d(k % 5 * 100)
+    return table(spark, sf_dir, "part").select(F.lit("s0").alias("scene_id"), ax.alias("ax"), ay.alias("ay"), (ax + F.col("p_size") % 9 + 1).alias("bx"), (ay + k % 7 - 3).alias("by"))
 
 
 def graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Undirected edges between suppliers and parts of large, much reduced lines."""
-    li = table(spark, sf_dir, "lineitem").where("l_quantity >= 49 and l_discount >= 0.09")
-    return li.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst")).distinct()
+    """Undirected edges from whole tables: orders to their parts, customers to their nations, suppliers to an account each.
+
+    So there is one large component, a star for each nation and many components of one edge.
+    """
+    name = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    li, c, sup = (table(spark, sf_dir, t) for t in ("lineitem", "customer", "supplier"))
+    parts = li.select(name("o", "l_orderkey").alias("src"), name("p", "l_partkey").alias("dst")).distinct()
+    return parts.unionByName(c.select(name("c", "c_custkey").alias("src"), name("n", "c_nationkey").alias("dst"))).unionByName(sup.select(name("a", "s_suppkey").alias("src"), name("s", "s_suppkey").alias("dst")))
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,15 +99,27 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL_PX = f"px AS (SELECT 's0' AS scene_id, CAST(vec_id AS INTEGER) AS y, CAST(i - 1 AS INTEGER) AS x, CAST(embedding[i] AS DOUBLE) AS p, label FROM embeddings, range(1, {WIDTH + 1}) t(i)), sc AS (SELECT CAST(max(vec_id) + 1 AS INTEGER) AS height, {WIDTH} AS width FROM embeddings), weak AS (SELECT y, x FROM px WHERE p >= {WEAK}), strong AS (SELECT y, x FROM px WHERE p >= {STRONG}), gt AS (SELECT y, x FROM px WHERE p * (1 + label / 10) >= {STRONG}), zn AS (SELECT y, x FROM px WHERE label IN (0, 1))"
 SQL_PATH = "v AS (SELECT user_id AS path_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 3.6e9 AS x, value AS y FROM events), st AS (SELECT path_id, i, x, y, lag(x) OVER w AS px, lag(y) OVER w AS py, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM v WINDOW w AS (PARTITION BY path_id ORDER BY i))"
-SQL_GRAPH = "ed AS (SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem WHERE l_quantity >= 49 AND l_discount >= 0.09), arcs AS (SELECT src AS a, dst AS b FROM ed UNION ALL SELECT dst, src FROM ed), nd AS (SELECT DISTINCT a AS node FROM arcs), reach AS (SELECT node AS n, node AS r FROM nd UNION SELECT arcs.b, reach.r FROM reach JOIN arcs ON arcs.a = reach.n), comp AS (SELECT n AS node, min(r) AS component FROM reach GROUP BY n), deg AS (SELECT a AS node, count(*) AS degree FROM arcs GROUP BY a)"
+SQL_REF = "rf AS (SELECT ax, ay, ax + p_size % 9 + 1 AS qx, ay + k % 7 - 3 AS qy FROM (SELECT p_partkey AS k, p_size, (p_partkey * 37 % 7200) / 10.0::DOUBLE AS ax, (p_partkey % 5 * 100)::DOUBLE AS ay FROM part))"
+SQL_GRAPH = (
+    "ed AS (SELECT DISTINCT 'o' || l_orderkey AS src, 'p' || l_partkey AS dst FROM lineitem UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION ALL SELECT 'a' || s_suppkey, 's' || s_suppkey FROM supplier), "
+    "arcs AS (SELECT src AS a, dst AS b FROM ed UNION ALL SELECT dst, src FROM ed), nd AS (SELECT DISTINCT a AS node FROM arcs), deg AS (SELECT a AS node, count(*) AS degree FROM arcs GROUP BY a)"
+)
+#: Least labels go from node to node until none gets less.
+SQL_COMP = "comp(node, component) USING KEY (node) AS (SELECT node, node FROM nd UNION (SELECT arcs.b, min(comp.component) FROM comp JOIN arcs ON arcs.a = comp.node JOIN recurring.comp AS r ON r.node = arcs.b WHERE comp.component < r.component GROUP BY arcs.b))"
 SQL_LINKS = "ln AS (SELECT p_partkey AS k, (p_partkey % 40)::DOUBLE AS da, (p_partkey % 23)::DOUBLE AS db, (p_size % 7 + 3)::DOUBLE AS wa, (p_size % 5 + 3)::DOUBLE AS wb, p_partkey % 7 + p_partkey % 5 - 2 - p_partkey % 7 AS dy, p_partkey % 13 + 1 AS dx, sin((p_partkey % 3)::DOUBLE) AS va, cos((p_partkey % 3)::DOUBLE) AS ua, -sin((p_partkey % 4)::DOUBLE) AS vb, -cos((p_partkey % 4)::DOUBLE) AS ub, (p_partkey % 21) / 20.0::DOUBLE AS mask_evidence FROM part), lg AS (SELECT *, sqrt((dy * dy + dx * dx)::DOUBLE) AS gap FROM ln), lc AS (SELECT *, (va * dy + ua * dx) / gap AS ca, -(vb * dy + ub * dx) / gap AS cb, least(abs(da - db), 180 - abs(da - db)) AS diff, greatest(wa, wb) / least(wa, wb) AS ratio FROM lg), sg AS (SELECT k AS link_id, gap, mask_evidence, CASE WHEN gap <= 0 THEN 1.0 WHEN gap >= 18 THEN 0.0 ELSE 0.5 * (1 + cos(pi() * gap / 18)) END AS endpoint_distance, CASE WHEN diff <= 35 THEN 1 - 0.5 * diff / 35 WHEN diff <= 70 THEN 0.5 * (1 - (diff - 35) / 35) ELSE 0.0 END AS direction_compat, least((greatest(ca, 0) + greatest(cb, 0)) / 2, 1) AS approach_align, CASE WHEN ratio >= 3 THEN 0.0 ELSE 1 - (ratio - 1) / 2 END AS width_consistency, greatest(0, 1 - (degrees(acos(greatest(-1, least(1, ca)))) + degrees(acos(greatest(-1, least(1, cb))))) / 2 / 60) AS centerline_continuity, greatest(0, 1 - gap / 18) AS gap_penalty FROM lc), sx AS (SELECT *, least(greatest(0.20 * endpoint_distance + 0.20 * direction_compat + 0.15 * approach_align + 0.20 * mask_evidence + 0.10 * width_consistency + 0.10 * centerline_continuity + 0.05 * gap_penalty, 0), 1) AS score FROM sg), sh AS (SELECT *, (endpoint_distance >= 0.85)::INT + (direction_compat >= 0.80)::INT + (approach_align >= 0.72)::INT + (centerline_continuity >= 0.62)::INT + (width_consistency >= 0.80)::INT AS geo FROM sx)"
 SQL_SCORES = "sa AS (SELECT l_orderkey AS segment_id, avg(l_discount) * 10 AS mask_coverage, least(max(l_tax) * 5, 1) AS color_contrast, max(l_tax) * 6 AS curvature, CASE WHEN l_orderkey % 5 = 0 THEN 0.0 ELSE least(count(*), 2) / 2.0 END AS connectivity, sum(l_quantity) / 5 AS length_px FROM lineitem GROUP BY l_orderkey), sb AS (SELECT *, 1 - least(curvature / 0.5, 1) AS straightness, CASE WHEN length_px <= 0 THEN 0 ELSE 1 / (1 + exp(-2 * (length_px / 10 - 1))) END AS length_score FROM sa), so AS (SELECT *, least(greatest(0.30 * mask_coverage + 0.20 * color_contrast + 0.15 * straightness + 0.25 * connectivity + 0.10 * length_score, 0), 1) AS overall FROM sb)"
 
 
 def sql_labels(source: str, out: str) -> str:
-    """CTEs that label the 8-connected components of a pixel set by their first pixel."""
+    """CTEs that label the 8-connected components of a pixel set by their first pixel.
+
+    Least labels go between runs of pixels of a row that touch, until none gets less.
+    """
     return (
-        f"{out}_n AS (SELECT a.y * {WIDTH} + a.x AS s, b.y * {WIDTH} + b.x AS d FROM (SELECT y, x, dy, dx FROM {source}, (VALUES (-1), (0), (1)) p(dy), (VALUES (-1), (0), (1)) q(dx)) a JOIN {source} b ON b.y = a.y + a.dy AND b.x = a.x + a.dx), "
-        f"{out}_r AS (SELECT y * {WIDTH} + x AS n, y * {WIDTH} + x AS r FROM {source} UNION SELECT {out}_n.d, {out}_r.r FROM {out}_r JOIN {out}_n ON {out}_n.s = {out}_r.n), "
-        f"{out} AS (SELECT n // {WIDTH} AS y, n % {WIDTH} AS x, min(r) AS label FROM {out}_r GROUP BY n)"
+        f"{out}_a AS (SELECT y, x, x - row_number() OVER (PARTITION BY y ORDER BY x) AS g FROM {source}), "
+        f"{out}_u AS (SELECT y, min(x) AS x0, max(x) AS x1, min(y * {WIDTH} + x) AS id FROM {out}_a GROUP BY y, g), "
+        f"{out}_h AS (SELECT u.id AS a, v.id AS b FROM {out}_u u JOIN {out}_u v ON v.y = u.y + 1 AND v.x0 <= u.x1 + 1 AND u.x0 <= v.x1 + 1), "
+        f"{out}_n AS (SELECT a, b FROM {out}_h UNION ALL SELECT b, a FROM {out}_h), "
+        f"{out}_r(id, label) USING KEY (id) AS (SELECT id, id FROM {out}_u UNION (SELECT n.b, min(c.label) FROM {out}_r c JOIN {out}_n n ON n.a = c.id JOIN recurring.{out}_r AS r ON r.id = n.b WHERE c.label < r.label GROUP BY n.b)), "
+        f"{out} AS (SELECT a.y, a.x, r.label FROM {out}_a a JOIN {out}_u u ON u.y = a.y AND a.x BETWEEN u.x0 AND u.x1 JOIN {out}_r r ON r.id = u.id)"
     )

@@ -68,10 +68,10 @@ def f3_bright_surfaces(spark, sf):
     return h.agg(F.count("*").alias("pixels")).crossJoin(raster.bright_road_pixels(h).agg(F.count("*").alias("bright")))
 
 
-@query(with_(b.SQL_PX) + "SELECT (y * 2 + x * 3) % 40 AS segment_id, round(avg(((y, x) IN (SELECT (y, x) FROM weak))::INT), 6) AS mask_coverage FROM px WHERE y < 100 GROUP BY 1")
+@query(with_(b.SQL_PX) + "SELECT y // 4 AS segment_id, round(avg((weak.y IS NOT NULL)::INT), 6) AS mask_coverage FROM px LEFT JOIN weak USING (y, x) GROUP BY 1")
 def a1_mask_coverage(spark, sf):
-    px = b.probabilities(spark, sf).where("y < 100")
-    seg = px.groupBy("scene_id", ((F.col("y") * 2 + F.col("x") * 3) % 40).alias("segment_id")).agg(F.collect_list(F.struct("y", "x")).alias("path"))
+    px = b.probabilities(spark, sf)
+    seg = px.groupBy("scene_id", F.floor(F.col("y") / 4).cast("int").alias("segment_id")).agg(F.collect_list(F.struct("y", "x")).alias("path"))
     return rounded(scoring.mask_coverage(seg, b.mask(spark, sf)).drop("scene_id"), 6)
 
 
@@ -81,12 +81,12 @@ def a2_color_contrast(spark, sf):
     return rounded(scoring.color_contrast(px).drop("scene_id"), 6)
 
 
-@query(with_(b.SQL_GRAPH, "ge AS (SELECT src, dst, row_number() OVER (ORDER BY src, dst) AS segment_id FROM ed)", "dg AS (SELECT node, degree FROM deg)") + "SELECT segment_id, CASE WHEN segment_id % 9 = 0 THEN 0.0 ELSE ((SELECT degree >= 2 FROM dg WHERE node = src)::INT + (SELECT degree >= 2 FROM dg WHERE node = dst)::INT) / 2.0::DOUBLE END AS connectivity FROM ge")
+@query(with_(b.SQL_GRAPH, "ge AS (SELECT src, dst, row_number() OVER (ORDER BY src, dst) AS segment_id FROM ed)", "dg AS (SELECT node, degree FROM deg)") + "SELECT segment_id, CASE WHEN segment_id % 9 = 0 THEN 0.0 ELSE ((a.degree >= 2)::INT + (c.degree >= 2)::INT) / 2.0::DOUBLE END AS connectivity FROM ge JOIN dg a ON a.node = src JOIN dg c ON c.node = dst")
 def a4_connectivity(spark, sf):
     e = _segments_graph(spark, sf)
-    n = graphs.nodes_of(e).select(F.lit("s0").alias("scene_id"), "node", F.when(F.col("node").startswith("p"), 0).otherwise(1).alias("y"), F.substring("node", 2, 20).cast("int").alias("x"))
-    at = lambda c, y: F.struct(F.lit(y).alias("y"), F.substring(c, 2, 20).cast("int").alias("x"))
-    seg = e.select("scene_id", F.col("segment_id").cast("long").alias("segment_id"), F.array(at("src", 0), at("dst", 1)).alias("path"))
+    n = graphs.nodes_of(e).select(F.lit("s0").alias("scene_id"), "node", (100 * F.ascii("node")).alias("y"), F.substring("node", 2, 20).cast("int").alias("x"))
+    at = lambda c: F.struct((100 * F.ascii(c)).alias("y"), F.substring(c, 2, 20).cast("int").alias("x"))
+    seg = e.select("scene_id", F.col("segment_id").cast("long").alias("segment_id"), F.array(at("src"), at("dst")).alias("path"))
     d = graphs.degrees(e).withColumn("scene_id", F.lit("s0"))
     return scoring.connectivity(seg, n, d, seg.where("segment_id % 9 = 0")).drop("scene_id")
 

@@ -74,7 +74,12 @@ def f4_drop_small_components(spark, sf):
     return raster.drop_small(b.mask(spark, sf), 8).select("y", "x")
 
 
-@query(with_(b.SQL_PX, "cm AS (SELECT y, x FROM px WHERE p < 0)", "hi AS (SELECT y, x FROM px WHERE p >= 0)", b.sql_labels("cm", "lab")) + "SELECT y, x FROM hi UNION SELECT y, x FROM lab WHERE label IN (SELECT label FROM lab GROUP BY label HAVING count(*) < 4)")
+NEAR_ME = values([(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)], "o")
+
+
+# a component of fewer than 4 pixels is what its pixels reach in three steps
+@query(with_(b.SQL_PX, "cm AS (SELECT y, x FROM px WHERE p < 0)", "nb AS (SELECT a.y * 64 + a.x AS s, c.y * 64 + c.x AS d FROM (SELECT y, x, dy, dx FROM cm, " + NEAR_ME + ") a JOIN cm c ON c.y = a.y + a.dy AND c.x = a.x + a.dx)", "few AS (SELECT s FROM nb GROUP BY s HAVING count(*) < 4)", "r1 AS (SELECT s, d FROM nb JOIN few USING (s))",
+    "r2 AS (SELECT DISTINCT r1.s, nb.d FROM r1 JOIN nb ON nb.s = r1.d)", "r3 AS (SELECT DISTINCT r2.s, nb.d FROM r2 JOIN nb ON nb.s = r2.d)") + "SELECT y, x FROM px WHERE p >= 0 UNION SELECT (s // 64)::INT, (s % 64)::INT FROM r3 GROUP BY s HAVING count(*) < 4")
 def f5_fill_small_holes(spark, sf):
     return raster.fill_holes(b.mask(spark, sf, 0.0), b.scenes(spark, sf), 4).select("y", "x")
 
@@ -243,7 +248,7 @@ def a14_change_detection(spark, sf):
 # ---------------------------------------------------------------- graph
 
 
-@query(with_(b.SQL_GRAPH) + "SELECT (SELECT count(*) FROM nd) AS nodes, (SELECT count(*) FROM ed) AS edges, round((SELECT avg(degree) FROM deg), 2) AS avg_degree, (SELECT max(degree) FROM deg) AS max_degree, (SELECT count(*) FROM deg WHERE degree = 1) AS dead_ends, (SELECT count(*) FROM deg WHERE degree >= 3) AS junctions, (SELECT count(DISTINCT component) FROM comp) AS components, round(2.0 * (SELECT count(*) FROM ed) / ((SELECT count(*) FROM nd) * ((SELECT count(*) FROM nd) - 1)), 4) AS density, round(least((SELECT count(*) FROM ed) / (3.0 * ((SELECT count(*) FROM nd) - 2)), 1.0) * 100, 1) AS gamma_percent")
+@query(with_(b.SQL_GRAPH, b.SQL_COMP) + "SELECT (SELECT count(*) FROM nd) AS nodes, (SELECT count(*) FROM ed) AS edges, round((SELECT avg(degree) FROM deg), 2) AS avg_degree, (SELECT max(degree) FROM deg) AS max_degree, (SELECT count(*) FROM deg WHERE degree = 1) AS dead_ends, (SELECT count(*) FROM deg WHERE degree >= 3) AS junctions, (SELECT count(DISTINCT component) FROM comp) AS components, round(2.0 * (SELECT count(*) FROM ed) / ((SELECT count(*) FROM nd) * ((SELECT count(*) FROM nd) - 1)), 4) AS density, round(least((SELECT count(*) FROM ed) / (3.0 * ((SELECT count(*) FROM nd) - 2)), 1.0) * 100, 1) AS gamma_percent")
 def n1_network_intelligence(spark, sf):
     e = b.graph(spark, sf)
     return graphs.intelligence(graphs.nodes_of(e), e)
@@ -254,12 +259,12 @@ def n1_degree_distribution(spark, sf):
     return graphs.degree_distribution(graphs.degrees(b.graph(spark, sf)))
 
 
-@query(with_(b.SQL_GRAPH) + "SELECT row_number() OVER (ORDER BY count(*) DESC, component) - 1 AS id, component, count(*) AS count, round(count(*) * 100.0 / (SELECT count(*) FROM nd), 1) AS percentage FROM comp GROUP BY component")
+@query(with_(b.SQL_GRAPH, b.SQL_COMP) + "SELECT row_number() OVER (ORDER BY count(*) DESC, component) - 1 AS id, component, count(*) AS count, round(count(*) * 100.0 / (SELECT count(*) FROM nd), 1) AS percentage FROM comp GROUP BY component")
 def n3_component_table(spark, sf):
     return graphs.component_table(connected_components(b.graph(spark, sf))).withColumn("id", F.col("id").cast("long"))
 
 
-@query(with_(b.SQL_GRAPH, "rk AS (SELECT component, row_number() OVER (ORDER BY count(*) DESC, component) - 1 AS g FROM comp GROUP BY component)") + "SELECT comp.node, degree, g AS \"group\" FROM comp JOIN deg USING (node) JOIN rk USING (component)")
+@query(with_(b.SQL_GRAPH, b.SQL_COMP, "rk AS (SELECT component, row_number() OVER (ORDER BY count(*) DESC, component) - 1 AS g FROM comp GROUP BY component)") + "SELECT comp.node, degree, g AS \"group\" FROM comp JOIN deg USING (node) JOIN rk USING (component)")
 def n4_node_link(spark, sf):
     e = b.graph(spark, sf)
     return graphs.node_link(graphs.nodes_of(e), e)[0].withColumn("group", F.col("group").cast("long"))
@@ -271,11 +276,11 @@ def n6_viewport(spark, sf):
     return rounded(graphs.viewport(n).select("node", "vx", "vy"))
 
 
-@query(with_(b.SQL_GRAPH) + "SELECT node, CASE WHEN node LIKE 's%' THEN CASE WHEN degree < 3 THEN 'passthrough' ELSE 'junction' END ELSE 'endpoint' END AS kind FROM deg")
+@query(with_(b.SQL_GRAPH) + "SELECT node, CASE WHEN node LIKE 'p%' THEN CASE WHEN degree < 3 THEN 'passthrough' ELSE 'junction' END ELSE 'endpoint' END AS kind FROM deg")
 def t6_graph_cleanup(spark, sf):
     e = b.graph(spark, sf)
-    lone = spark.createDataFrame([("p-none",)], "node string")
-    nodes = graphs.nodes_of(e).unionByName(lone).withColumn("kind", F.when(F.col("node").startswith("s"), "junction").otherwise("endpoint"))
+    lone = spark.createDataFrame([("x-none",)], "node string")
+    nodes = graphs.nodes_of(e).unionByName(lone).withColumn("kind", F.when(F.col("node").startswith("p"), "junction").otherwise("endpoint"))
     return graphs.cleanup(nodes, e)[0]
 
 
@@ -287,10 +292,10 @@ def _segments_graph(spark, sf) -> DataFrame:
     return e.withColumn("scene_id", F.lit("s0")).withColumn("edge_kind", F.lit("geometry_segment"))
 
 
-@query(with_(b.SQL_GRAPH, GEO_EDGES) + "SELECT node, degree, CASE degree WHEN 3 THEN 'T' WHEN 4 THEN 'X' ELSE 'complex' END AS kind, (SELECT string_agg(segment_id::VARCHAR, ',' ORDER BY segment_id) FROM ge WHERE dst = node) AS segment_ids FROM deg WHERE node LIKE 's%' AND degree >= 3")
+@query(with_(b.SQL_GRAPH, GEO_EDGES) + "SELECT node, degree, CASE degree WHEN 3 THEN 'T' WHEN 4 THEN 'X' ELSE 'complex' END AS kind, ids AS segment_ids FROM deg JOIN (SELECT dst AS node, string_agg(segment_id::VARCHAR, ',' ORDER BY segment_id) AS ids FROM ge GROUP BY dst) USING (node) WHERE node LIKE 'p%' AND degree >= 3")
 def t7_intersections(spark, sf):
     e = _segments_graph(spark, sf)
-    nodes = graphs.nodes_of(e).where("node like 's%'").select(F.lit("s0").alias("scene_id"), "node", F.lit("junction").alias("kind"), F.lit(0).alias("y"), F.lit(0).alias("x"))
+    nodes = graphs.nodes_of(e).where("node like 'p%'").select(F.lit("s0").alias("scene_id"), "node", F.lit("junction").alias("kind"), F.lit(0).alias("y"), F.lit(0).alias("x"))
     return topology.intersections(nodes, e).select("node", "degree", "kind", F.array_join(F.col("segment_ids").cast("array<string>"), ",").alias("segment_ids"))
 
 
@@ -300,19 +305,19 @@ def t8_continuity_links(spark, sf):
     return topology.continuity_links(e, e.withColumn("direction_deg", (F.col("segment_id") * 37 % 180).cast("double"))).drop("scene_id")
 
 
-@query(with_(b.SQL_GRAPH, GEO_EDGES) + "SELECT min(segment_id) AS segment_id FROM ge JOIN comp ON comp.node = ge.src GROUP BY component HAVING count(*) = 1 UNION SELECT segment_id FROM ge WHERE segment_id <= 3")
+@query(with_(b.SQL_GRAPH, b.SQL_COMP, GEO_EDGES) + "SELECT min(segment_id) AS segment_id FROM ge JOIN comp ON comp.node = ge.src GROUP BY component HAVING count(*) = 1 UNION SELECT segment_id FROM ge WHERE segment_id <= 3")
 def t9_disconnected_segments(spark, sf):
     e = _segments_graph(spark, sf)
     out = topology.disconnected_segments(e, connected_components(e), e.where("segment_id <= 3"))
     return out.select(F.col("segment_id").cast("long").alias("segment_id"))
 
 
-@query(with_(b.SQL_GRAPH) + "SELECT node, component FROM comp")
+@query(with_(b.SQL_GRAPH, b.SQL_COMP) + "SELECT node, component FROM comp")
 def t10_graph_components(spark, sf):
     return connected_components(b.graph(spark, sf))
 
 
-@query(with_(b.SQL_GRAPH, GEO_EDGES) + "SELECT (SELECT count(*) FROM nd) AS total_nodes, (SELECT count(*) FROM deg WHERE degree = 1) AS endpoints, 0 AS isolated_nodes, (SELECT count(*) FROM ed) AS total_edges, (SELECT count(*) FROM ge WHERE segment_id % 40 < 12) AS very_short_edge_count, 0 AS bridge_edges, 0 AS weak_bridges, (SELECT count(DISTINCT component) FROM comp) AS connected_components, 0 AS edgeless_components, 0 AS rejected_connection_count, 0 AS suspicious_connection_count")
+@query(with_(b.SQL_GRAPH, b.SQL_COMP, GEO_EDGES) + "SELECT (SELECT count(*) FROM nd) AS total_nodes, (SELECT count(*) FROM deg WHERE degree = 1) AS endpoints, 0 AS isolated_nodes, (SELECT count(*) FROM ed) AS total_edges, (SELECT count(*) FROM ge WHERE segment_id % 40 < 12) AS very_short_edge_count, 0 AS bridge_edges, 0 AS weak_bridges, (SELECT count(DISTINCT component) FROM comp) AS connected_components, 0 AS edgeless_components, 0 AS rejected_connection_count, 0 AS suspicious_connection_count")
 def t11_connectivity_diagnostics(spark, sf):
     e = _segments_graph(spark, sf).withColumn("length_px", F.col("segment_id") % 40).withColumn("connection_score", F.lit(1.0))
     return topology.diagnostics(graphs.nodes_of(e), e, connected_components(e))
@@ -324,10 +329,10 @@ def t14_graph_validation(spark, sf):
     return graphs.validate(graphs.nodes_of(e), e)
 
 
-@query(with_(b.SQL_GRAPH, "hops AS (SELECT (SELECT min(src) FROM ed) AS n, 0 AS d UNION SELECT arcs.b, hops.d + 1 FROM hops JOIN arcs ON arcs.a = hops.n WHERE hops.d < 30)") + "SELECT n AS node, min(d)::DOUBLE AS distance FROM hops GROUP BY n")
+@query(with_(b.SQL_GRAPH, "hops(n, d) USING KEY (n) AS (SELECT (SELECT min(src) FROM ed WHERE src LIKE 'o%'), 0 UNION (SELECT arcs.b, min(hops.d) + 1 FROM hops JOIN arcs ON arcs.a = hops.n LEFT JOIN recurring.hops AS r ON r.n = arcs.b WHERE r.n IS NULL GROUP BY arcs.b))") + "SELECT n AS node, d::DOUBLE AS distance FROM hops")
 def r5_shortest_distances(spark, sf):
     e = b.graph(spark, sf)
-    return graphs.hop_distances(e, e.agg(F.min("src")).first()[0])
+    return graphs.hop_distances(e, e.where("src like 'o%'").agg(F.min("src")).first()[0])
 
 
 @query()
@@ -401,15 +406,13 @@ def g5_bounding_box(spark, sf):
     return p.select("path_id", "b.y0", F.round("b.x0", 6).alias("x0"), "b.y1", F.round("b.x1", 6).alias("x1"))
 
 
-REF = "rf AS (SELECT px AS ax, py AS ay, x AS qx, y AS qy FROM st WHERE px IS NOT NULL AND path_id <= 3)"
-SEG = "sqrt((v.x - (ax + t * (qx - ax))) ** 2 + (v.y - (ay + t * (qy - ay))) ** 2)"
+REF = b.SQL_REF
 NEAR = "tt AS (SELECT v.path_id, v.i, v.x, v.y, ax, ay, qx, qy, CASE WHEN (qx - ax) ** 2 + (qy - ay) ** 2 = 0 THEN 0 ELSE least(1, greatest(0, ((v.x - ax) * (qx - ax) + (v.y - ay) * (qy - ay)) / ((qx - ax) ** 2 + (qy - ay) ** 2))) END AS t FROM v, rf), nr AS (SELECT path_id, i, min(sqrt((x - (ax + t * (qx - ax))) ** 2 + (y - (ay + t * (qy - ay))) ** 2)) AS distance FROM tt GROUP BY path_id, i)"
 
 
 @query(with_(b.SQL_PATH, REF, NEAR) + "SELECT path_id, i AS pos, round(distance, 4) AS distance FROM nr")
 def g11_network_distance(spark, sf):
     pts = b.paths(spark, sf).select("scene_id", "path_id", F.posexplode("path").alias("pos", "p")).select("scene_id", "path_id", F.col("pos").cast("long").alias("pos"), F.col("p.x").alias("x"), F.col("p.y").alias("y"))
-    # the reference is three paths: small whatever the input
     return rounded(spatial.point_network_distance(pts, b.reference(spark, sf), ["path_id", "pos"]).drop("scene_id"))
 
 
@@ -535,7 +538,7 @@ def a7_network_score(spark, sf):
     return rounded(scoring.network_score(b.scores(spark, sf)), 6)
 
 
-FLAGS = with_(b.SQL_SCORES, b.SQL_LINKS, b.SQL_GRAPH) + """, nm AS (SELECT score FROM sh WHERE NOT (score >= 0.74 AND mask_evidence >= 0.7 AND geo >= 4 AND approach_align >= 0.72 AND centerline_continuity >= 0.62) AND score >= 0.45 ORDER BY score DESC, link_id LIMIT 5),
+FLAGS = with_(b.SQL_SCORES, b.SQL_LINKS, b.SQL_GRAPH, b.SQL_COMP) + """, nm AS (SELECT score FROM sh WHERE NOT (score >= 0.74 AND mask_evidence >= 0.7 AND geo >= 4 AND approach_align >= 0.72 AND centerline_continuity >= 0.62) AND score >= 0.45 ORDER BY score DESC, link_id LIMIT 5),
 fl AS (SELECT 'warning' AS severity, 'LOW_CONFIDENCE_SEGMENT' AS kind, segment_id, round(overall, 4) AS detail FROM so WHERE overall < 0.3
 UNION ALL SELECT 'info', 'LOW_MASK_COVERAGE', segment_id, round(mask_coverage, 4) FROM so WHERE mask_coverage < 0.5
 UNION ALL SELECT 'warning', 'DISCONNECTED_SEGMENT', segment_id, 0.0 FROM so WHERE connectivity = 0
@@ -593,7 +596,12 @@ def a15_epoch_deltas(spark, sf):
     return analytics.epoch_deltas(side(0), side(1), ["k"], ["length", "components", "connectivity"])
 
 
-@query("WITH w AS (SELECT o_custkey AS k, o_orderkey % 2 AS e, count(*) AS edges, sum(o_totalprice) AS total, count(DISTINCT o_orderpriority) AS endpoints FROM orders GROUP BY 1, 2), l AS (SELECT k, e, metric, CASE metric WHEN 'edges' THEN edges::DOUBLE WHEN 'endpoints' THEN endpoints::DOUBLE WHEN 'total_centerline_length' THEN round(total, 2) ELSE 0 END AS value FROM w, (VALUES ('road_pixels'), ('skeleton_pixels'), ('connected_components'), ('endpoints'), ('junctions_intersections'), ('edges'), ('suspicious_disconnected_segments'), ('total_centerline_length')) m(metric)) SELECT a.k, a.metric, a.value AS before, b.value AS after, round(b.value - a.value, 2) AS delta FROM l a JOIN l b ON a.k = b.k AND a.metric = b.metric AND a.e = 0 AND b.e = 1")
+HALVES = ", ".join(f"count(*) FILTER (WHERE e = {e}) AS n{e}, sum(p) FILTER (WHERE e = {e}) AS t{e}, count(DISTINCT CASE WHEN e = {e} THEN q END) AS d{e}" for e in (0, 1))
+COMPARED = " UNION ALL ".join(f"SELECT k, '{m}' AS metric, {x} AS before, {y} AS after FROM w" for m, x, y in [("edges", "n0::DOUBLE", "n1::DOUBLE"), ("endpoints", "d0::DOUBLE", "d1::DOUBLE"), ("total_centerline_length", "round(t0, 2)", "round(t1, 2)"),
+    *((m, "0.0::DOUBLE", "0.0::DOUBLE") for m in ("road_pixels", "skeleton_pixels", "connected_components", "junctions_intersections", "suspicious_disconnected_segments"))])
+
+
+@query(f"WITH w AS (SELECT k, {HALVES} FROM (SELECT o_custkey AS k, o_orderkey % 2 AS e, o_totalprice AS p, o_orderpriority AS q FROM orders) GROUP BY k HAVING n0 > 0 AND n1 > 0) SELECT k, metric, before, after, round(after - before, 2) AS delta FROM ({COMPARED})")
 def a23_compare_metrics(spark, sf):
     o = b.table(spark, sf, "orders")
     side = lambda r: o.where(F.col("o_orderkey") % 2 == r).groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("topology_edges"), F.sum("o_totalprice").alias("total_length_pixels"), F.countDistinct("o_orderpriority").alias("endpoints"))
