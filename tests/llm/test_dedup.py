@@ -123,6 +123,16 @@ def test_signatures_do_not_depend_on_the_reach():
     assert (again == alone).all() and (alone != 0).all()
 
 
+def test_common_cells():
+    rng = np.random.default_rng(3)
+    cells = [np.unique(rng.integers(0, 300, n).astype(np.uint64)) for n in (0, 5, 100, 200, 90)]
+    for columns in (7, 4096):
+        dartdedup.COLUMNS, before = columns, dartdedup.COLUMNS
+        both = dartdedup.common_cells(cells, np.array([0, 2, 4]), np.array([1, 3]))
+        dartdedup.COLUMNS = before
+        assert both.tolist() == [[len(np.intersect1d(cells[i], cells[j])) for j in (1, 3)] for i in (0, 2, 4)]
+
+
 EXACT = [(5, "a  b"), (2, "a\tb"), (9, "a b"), (9, "a b"), (7, None), (6, ""), (8, "A b"), (None, "a b"), (None, "zz"), (1, "x" * 400 + "1"), (3, "x" * 400 + "2"), (4, " "), (10, "é  b"), (11, "é b"), (12, "l " * 200_000), (13, "l\n" * 200_000), (8, "other")]
 
 
@@ -160,47 +170,57 @@ def test_only_survivors_are_read_whole(spark):
 
 
 def planted(monkeypatch, agreements, similar):
-    """Signatures in one bucket that agree in given shares, and exact checks of the pairs in ``similar`` only."""
+    """Signatures in one bucket that agree in given shares, and texts (their ids) of which only the pairs in ``similar`` are alike."""
     import pyarrow as pa
 
     names = list(agreements)
+    group = {n: next((p[0] for p in similar if n in p), n) for n in names}
 
     def signatures(docs, key="doc_id", column="text"):
-        rows = [(n, np.asarray(agreements[n], "<u2").tobytes(), [1]) for n in names]
-        known = docs.sparkSession.createDataFrame(rows, "id long, sig binary, bands array<long>")
+        rows = [(n, np.asarray(agreements[n], "<u2").tobytes(), [1, *(100 * n + k for k in range(2, 25))], 50) for n in names]
+        known = docs.sparkSession.createDataFrame(rows, "id long, sig binary, bands array<long>, weight long")
         marked = dartdedup._texts(docs, key, column).select("id", "t1", "t2", F.col("id").alias("h1"), F.col("id").alias("h2"))
         return marked.join(known, "id").select(*dartdedup.SIGNED.names)
 
     def exact(pairs, threshold):
         def run(batches):
             for t in batches:
-                ids = [tuple(sorted(int(x) for x in p)) for p in zip(t["text_a"].to_pylist(), t["text_b"].to_pylist(), strict=True)]
-                yield t.select(["a", "b"]).filter(pa.array([p in similar for p in ids], pa.bool_()))
+                ids = [[group[int(x)] for x in p] for p in zip(t["text_a"].to_pylist(), t["text_b"].to_pylist(), strict=True)]
+                yield t.select(["a", "b"]).filter(pa.array([x == y for x, y in ids], pa.bool_()))
 
         return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
+    def cells(texts):
+        def run(batches):
+            for t in batches:
+                raw = [(np.arange(50, dtype=np.uint64) + np.uint64(1000 * group[int(x)])).tobytes() for x in t["text"].to_pylist()]
+                yield pa.RecordBatch.from_arrays([t["node"], pa.array(raw, pa.binary())], ["node", "cells"])
+
+        return texts.select("node", "text").mapInArrow(run, "node long, cells binary")
+
     monkeypatch.setattr(dartdedup, "signatures", signatures)
     monkeypatch.setattr(dartdedup, "_exact", exact)
+    monkeypatch.setattr(dartdedup, "_cells", cells)
 
 
-@pytest.mark.parametrize("width", [1, 16])
-def test_pair_behind_failed_forest_edges_is_checked(spark, monkeypatch, width):
-    monkeypatch.setattr(dartdedup, "WIDTH", width)
+@pytest.mark.parametrize("heavy", [10, 8192])
+def test_pair_behind_failed_ones_is_checked(spark, monkeypatch, heavy):
+    monkeypatch.setattr(dartdedup, "HEAVY", heavy)
     base = np.arange(dartdedup.K)
     a, b = base.copy(), base.copy()
-    a[:19] += 1000  # agrees with the leader in 0.84
-    b[1:20] += 2000  # so does this, and in 0.83 with the other
-    planted(monkeypatch, {1: base, 2: a, 3: b, 4: np.r_[a[:60], base[60:] + 5000]}, {(2, 3)})
+    a[101:] += 1000  # agrees with the leader in 0.84
+    b[102:119] += 2000  # so does this, and nearly as much with the other
+    planted(monkeypatch, {1: base, 2: a, 3: b, 4: np.r_[base[:60], base[60:] + 5000]}, {(2, 3)})
     got = {r.doc_id: r.class_id for r in dartdedup.near_duplicates(frame(spark, [(i, str(i)) for i in (1, 2, 3, 4)])).collect()}
     assert got == {1: 1, 2: 2, 3: 2, 4: 4}
 
 
-@pytest.mark.parametrize("width", [1, 16])
-def test_pairs_in_different_chunks_are_checked(spark, monkeypatch, width):
-    monkeypatch.setattr(dartdedup, "WIDTH", width)
+@pytest.mark.parametrize("heavy", [10, 8192])
+def test_pairs_in_different_chunks_are_checked(spark, monkeypatch, heavy):
+    monkeypatch.setattr(dartdedup, "HEAVY", heavy)
     rows, pairs = {1: np.arange(dartdedup.K)}, set()
     for p in range(2, 14, 2):
-        rows[p] = np.arange(dartdedup.K) + 1000 * p
+        rows[p] = np.r_[:5, np.arange(5, dartdedup.K) + 1000 * p]
         rows[p + 1] = np.r_[rows[p][:100], rows[p][100:] + 500]  # agrees in 0.83
         pairs.add((p, p + 1))
     planted(monkeypatch, rows, pairs)

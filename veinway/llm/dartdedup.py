@@ -10,11 +10,12 @@ weighted Jaccard similarity.
 
 Equal texts (by words) first become one node. Nodes that share a band of the signature are
 compared with the bucket's leader: candidates whose signatures are near enough are checked
-exactly on their shingles. Buckets that still hold members of several classes go into
-further rounds, chunk against chunk: the best pairs of different classes by the signatures'
-similarity that have not been checked yet, until every pair whose signatures are near enough
-is in one class or has been checked. Classes are connected components of texts; no step
-gathers a bucket.
+exactly on their shingles. In buckets that still hold members of several classes every pair
+of different classes is compared, chunk against chunk, by the signatures in the first bucket
+that the pair shares; the members of the pairs that are near enough meet once more with their
+shingles, and all pairs of such a block are checked exactly at once, as a matrix product.
+Classes are connected components of texts; no step gathers a bucket, and a block gives a
+spanning forest of its links, not its pairs.
 
 Cases: null text counts as empty; documents without words are alone; documents of fewer
 words than a shingle have one shingle of all their words; a null id is alone; rows that
@@ -26,6 +27,7 @@ not matter.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,13 +52,15 @@ K = BANDS * ROWS
 FLOOR = 0.64
 #: Members of a bucket in a chunk; chunks are compared two at a time.
 CHUNK = 256
-#: Pairs to check for each member of a chunk in the first round, besides the chunk's forest.
-WIDTH = 16
+#: Shingles up to which a text is checked within a block; pairs with a longer one are checked one by one.
+HEAVY = 8192
+#: Shingles of a block's matrix at once.
+COLUMNS = 4096
 #: Nodes whose texts are fetched by broadcasting, at most.
 NEEDED = 1 << 18
 
 _LONGS = [T.StructField(c, T.LongType()) for c in ("id", "t1", "t2", "h1", "h2")]
-SIGNED = T.StructType([*_LONGS, T.StructField("sig", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+SIGNED = T.StructType([*_LONGS, T.StructField("sig", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("weight", T.LongType())])
 
 
 def unit_cells(shingle: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -123,7 +127,7 @@ def _texts(docs: DataFrame, key: str, column: str) -> DataFrame:
 
 
 def signatures(docs: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
-    """id, t1 and t2 (hash of the text), h1 and h2 (hash of its words; null without words), sig (16 bits a coordinate), bands."""
+    """id, t1 and t2 (hash of the text), h1 and h2 (hash of its words; null without words), sig (16 bits a coordinate), bands, weight (number of shingles)."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +147,7 @@ def signatures(docs: DataFrame, key: str = "doc_id", column: str = "text") -> Da
                 short = sig.astype("<u2").tobytes()
                 binary = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(np.arange(0, (j - i + 1) * 2 * K, 2 * K, dtype=np.int32)), pa.py_buffer(short)])
                 own = [batch.column(c).slice(i, j - i) for c in range(3)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(_text_hash(word, edge, 1), mask=empty), pa.array(_text_hash(word, edge, 2), mask=empty), binary, lists], SIGNED.names)
+                yield pa.RecordBatch.from_arrays([*own, pa.array(_text_hash(word, edge, 1), mask=empty), pa.array(_text_hash(word, edge, 2), mask=empty), binary, lists, pa.array(np.diff(at))], SIGNED.names)
 
     return _texts(docs, key, column).mapInArrow(run, SIGNED)
 
@@ -202,15 +206,16 @@ def _near(pairs: DataFrame, sigs: DataFrame, floor: float, scratch: Scratch) ->
     return scratch.table(_agreement(near, floor), "near")
 
 
-def _verify(near: DataFrame, texts: DataFrame, names: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
-    """Those of some distinct pairs (a, b) whose texts are at least ``threshold`` similar; a table.
-
-    ``names`` has the id and the hash of the text (t1, t2) of each node.
-    """
-    needed = near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(names, "node")
+def _texts_of(nodes: DataFrame, texts: DataFrame, names: DataFrame) -> DataFrame:
+    """(node, text) of some distinct nodes; ``names`` has the id and the hash of the text (t1, t2) of each node."""
+    needed = small_side(nodes.join(names, "node"), "needed", NEEDED)
     # rows that repeat an id and its text are one
-    own = texts.join(small_side(needed, "needed", NEEDED), ["id", "t1", "t2"]).select("node", "text").dropDuplicates(["node"])
-    own = scratch.table(own, "texts")
+    return texts.join(needed, ["id", "t1", "t2"]).select("node", "text").dropDuplicates(["node"])
+
+
+def _verify(near: DataFrame, texts: DataFrame, names: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """Those of some distinct pairs (a, b) whose texts are at least ``threshold`` similar; a table."""
+    own = scratch.table(_texts_of(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), texts, names), "texts")
     both = near.join(own.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     both = both.join(own.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     return scratch.table(_exact(both, threshold), "links")
@@ -218,14 +223,16 @@ def _verify(near: DataFrame, texts: DataFrame, names: DataFrame, threshold: floa
 
 #: A block of a bucket: two of its chunks (the same twice: the pairs within it), each given by three numbers.
 BLOCK = ["key", *(f"{end}_{c}" for end in ("low", "high") for c in ("big", "of", "i"))]
+#: A member of a block: whether it is in the higher chunk, its node and class.
+MEMBER = ", ".join(f"{c} {'int' if c.endswith('_big') else 'long'}" for c in BLOCK) + ", kind int, node long, comp long"
 
 
-def _blocks(members: DataFrame, failed: DataFrame, sigs: DataFrame, chunk: int, scratch: Scratch) -> DataFrame:
-    """Of members (key, node, comp): rows (*BLOCK, kind, node, comp, other, sig) that meet each pair of different classes of a bucket in one block.
+def _blocks(members: DataFrame, sigs: DataFrame, chunk: int, scratch: Scratch) -> DataFrame:
+    """Of members (key, band, node, comp): rows (*BLOCK, kind, node, comp, band, sig, weight) that meet each pair of different classes of a bucket in one block.
 
     A class of more than ``chunk`` members of a bucket has chunks of its own, whose pairs are
-    left out; all other members share chunks. Kind is 0 for the members of the lower chunk, 1
-    for those of the higher one and 2 for pairs (node, other) of ``failed``.
+    left out; all other members share chunks. Kind is 0 for the members of the lower chunk and
+    1 for those of the higher one.
     """
     sizes = scratch.table(members.groupBy("key", "comp").agg(F.count("*").alias("n")), "sizes")
     pooled = sizes.where(F.col("n") <= chunk).groupBy("key").agg(F.ceil(F.sum("n") / chunk).alias("pools"))
@@ -237,90 +244,153 @@ def _blocks(members: DataFrame, failed: DataFrame, sigs: DataFrame, chunk: int,
     blocks = chunks.withColumnRenamed("part", "low").join(chunks.withColumnRenamed("part", "high"), "key")
     same_class = (F.col("low.big") == 1) & (F.col("high.big") == 1) & (F.col("low.of") == F.col("high.of"))
     blocks = blocks.where((F.col("low") <= F.col("high")) & ~same_class)
-    at = skew_join(skew_join(members, sizes, ["key", "comp"]), pooled, ["key"], "left")
-    salt = lambda n: F.pmod(F.xxhash64("node"), n)
-    at = at.select("key", "node", "comp", F.when(F.col("n") > chunk, part(large, F.col("comp"), salt(F.ceil(F.col("n") / chunk)))).otherwise(part(F.lit(0), zero, salt(F.col("pools")))).alias("part"))
-    at = scratch.table(at, "members")
     sides = blocks.select("key", F.explode(F.when(F.col("low") < F.col("high"), F.array("low", "high")).otherwise(F.array("low"))).alias("part"), "low", "high")
     sides = sides.withColumn("kind", (F.col("part") > F.col("low")).cast("int"))
+    salt = lambda n: F.pmod(F.xxhash64("node"), n)
+    at = skew_join(skew_join(members, sizes, ["key", "comp"]), pooled, ["key"], "left")
+    at = at.select("key", "band", "node", "comp", F.when(F.col("n") > chunk, part(large, F.col("comp"), salt(F.ceil(F.col("n") / chunk)))).otherwise(part(F.lit(0), zero, salt(F.col("pools")))).alias("part"))
     flat = [F.col("key"), *(F.col(c.replace("_", ".", 1)).alias(c) for c in BLOCK[1:])]
-    rows = skew_join(at, sides, ["key", "part"]).join(sigs, "node").select(*flat, "kind", "node", "comp", zero.alias("other"), "sig")
-    end = lambda c: at.select("key", F.col("node").alias(c), F.col("comp").alias(f"comp_{c}"), F.col("part").alias(f"part_{c}"))
-    known = skew_join(skew_join(failed, end("a"), ["a"]), end("b"), ["key", "b"]).where("comp_a <> comp_b")
-    known = known.select("key", "a", "b", F.least("part_a", "part_b").alias("low"), F.greatest("part_a", "part_b").alias("high"))
-    known = known.select(*flat, F.lit(2).alias("kind"), F.col("a").alias("node"), zero.alias("comp"), F.col("b").alias("other"), F.lit(b"").alias("sig"))
-    return rows.unionByName(known)
-
+    return skew_join(at, sides, ["key", "part"]).join(sigs, "node").select(*flat, "kind", "node", "comp", "band", "sig", "weight")
 
-def _forests(rows: DataFrame, width: int, floor: float) -> DataFrame:
-    """Of the rows of ``_blocks``: pairs (a, b) to check, and whether the block has further ones (key, a, b, rest).
 
-    Of the pairs of different classes that agree in ``floor`` and have not failed, each block
-    gives a best spanning forest and the best pairs, ``width`` for each member; blocks of two
-    chunks start with the forest alone.
+def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, bool]]:
+    """The rows of one block after another, of batches in the order of blocks, and whether its chunks are the same."""
+    held: pa.Table | None = None
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            t = pa.Table.from_batches([batch])
+            held = t if held is None else pa.concat_tables([held, t])
+        if held is None or not held.num_rows:
+            continue
+        block = [np.asarray(held[c]) for c in BLOCK]
+        cut = np.flatnonzero(np.concatenate(([True], np.any([x[1:] != x[:-1] for x in block], axis=0), [True])))
+        same = np.all([block[c] == block[c + 3] for c in (1, 2, 3)], axis=0)
+        stop = len(cut) - (1 if batch is None else 2)
+        held = held.combine_chunks()
+        for g in range(stop):
+            yield held.slice(cut[g], cut[g + 1] - cut[g]), bool(same[cut[g]])
+        held = held.slice(cut[stop])
+
+
+def _packed(parts: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
+    """Tables put together into batches of thousands of rows."""
+    held, n = [], 0
+    for t in itertools.chain(parts, [None]):
+        if t is not None:
+            held.append(t)
+            n += t.num_rows
+        if held and (t is None or n >= 8192):
+            yield from pa.concat_tables(held).combine_chunks().to_batches()
+            held, n = [], 0
+
+
+def _candidates(rows: DataFrame, floor: float) -> DataFrame:
+    """Of the rows of ``_blocks``, the members of pairs to check: of different classes, agreeing in ``floor``, and with this as their first common bucket.
+
+    A pair with a text of more than ``HEAVY`` shingles is a row of its own, with the partner in ``other``.
     """
 
-    def forest(same: bool, kind: np.ndarray, node: np.ndarray, comp: np.ndarray, other: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+    def pairs(t: pa.Table, same: bool) -> pa.Table | None:
+        kind, node, comp, weight = (np.asarray(t[c]) for c in ("kind", "node", "comp", "weight"))
+        low, high = np.flatnonzero(kind == 0), np.flatnonzero(kind == (0 if same else 1))
+        if not len(low) or not len(high):
+            return None
+        sig = np.frombuffer(utf8_binary(t["sig"].combine_chunks()), "<u2").reshape(-1, K)
+        near = np.stack([(sig[high] == x).mean(1) for x in sig[low]]) >= floor
+        near &= comp[low][:, None] != comp[high][None, :]
+        i, j = np.nonzero(np.triu(near, 1) if same else near)
+        i, j = low[i], high[j]
+        common = (sig[i] == sig[j]).reshape(-1, BANDS, ROWS).all(2)
+        first = common.argmax(1) == t["band"][0].as_py()
+        i, j = i[first], j[first]
+        heavy = np.maximum(weight[i], weight[j]) > HEAVY
+        light = np.unique(np.concatenate((i[~heavy], j[~heavy])))
+        take = np.concatenate((light, i[heavy]))
+        if not len(take):
+            return None
+        other = pa.array(np.concatenate((light, node[j[heavy]])), pa.int64(), mask=np.arange(len(take)) < len(light))
+        return t.select([*BLOCK, "kind", "node", "comp"]).take(take).append_column("other", other)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = (pairs(t, same) for t, same in _by_block(batches))
+        yield from _packed((t for t in found if t is not None))
+
+    dealt = rows.repartition(*BLOCK).sortWithinPartitions(*BLOCK)
+    return dealt.select(*BLOCK, "kind", "node", "comp", "band", "sig", "weight").mapInArrow(run, MEMBER + ", other long")
+
+
+def _cells(texts: DataFrame) -> DataFrame:
+    """The unit cells of texts (node, text), ascending, as binary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, data, offsets in pieces(batch, "text"):
+                start, end, edge = words(data, offsets)
+                shingle, at = shingles(span_hash(data, start, end), edge, SHINGLE)
+                cell = unit_cells(shingle, at)
+                raw = [np.sort(cell[at[d] : at[d + 1]]).tobytes() for d in range(j - i)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(raw, pa.binary())], ["node", "cells"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, cells binary")
+
+
+def common_cells(cells: list[np.ndarray], low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """How many cells each of some sets (numbers ``low``) shares with each other one of ``high``."""
+    every = np.concatenate(cells)
+    own = np.repeat(np.arange(len(cells)), [len(c) for c in cells])
+    _, column, number = np.unique(every, return_inverse=True, return_counts=True)
+    # what only one set has adds nothing
+    rank = np.cumsum(number > 1) - 1
+    shared = number[column] > 1
+    own, column = own[shared], rank[column[shared]]
+    order = np.argsort(column, kind="stable")
+    own, column = own[order], column[order]
+    both = np.zeros((len(low), len(high)), np.float32)
+    for c in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, (c, c + COLUMNS))
+        m = np.zeros((len(cells), COLUMNS), np.float32)
+        m[own[a:b], column[a:b] - c] = 1
+        both += m[low] @ m[high].T
+    return both
+
+
+def _links(rows: DataFrame, threshold: float) -> DataFrame:
+    """Of members of blocks with their cells: pairs (a, b) at least ``threshold`` similar that span the classes of each block."""
+
+    def forest(t: pa.Table, same: bool) -> pa.Table | None:
+        kind, node, comp = (np.asarray(t[c]) for c in ("kind", "node", "comp"))
         low, high = np.flatnonzero(kind == 0), np.flatnonzero(kind == (0 if same else 1))
         if not len(low) or not len(high):
-            return node[:0], node[:0], False
-        agree = np.stack([(sig[high] == s).mean(1) for s in sig[low]])
-        near = (agree >= floor) & (comp[low][:, None] != comp[high][None, :])
+            return None
+        cells = [np.frombuffer(x.as_buffer(), np.uint64) for x in t["cells"]]
+        both = common_cells(cells, low, high)
+        size = np.array([len(c) for c in cells])
+        near = both >= threshold * (size[low][:, None] + size[high][None, :] - both) - 1e-3
+        near &= comp[low][:, None] != comp[high][None, :]
         i, j = np.nonzero(np.triu(near, 1) if same else near)
-        agree, i, j = agree[i, j], low[i], high[j]
-        a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
-        ids = np.unique(node)
-        code = lambda x, y: np.searchsorted(ids, x) * len(ids) + np.searchsorted(ids, y)
-        gone = kind == 2
-        open_ = ~np.isin(code(a, b), code(node[gone], other[gone]))
-        order = np.flatnonzero(open_)[np.argsort(-agree[open_], kind="stable")]
-        most = width if same else width // WIDTH - 1
-        taken = np.arange(len(order)) < most * (len(low) + (0 if same else len(high)))
-        top = {int(c): int(c) for c in comp[kind < 2]}
+        exact = both[i, j].astype(float) / (size[low[i]] + size[high[j]] - both[i, j]) >= threshold
+        i, j = low[i[exact]], high[j[exact]]
+        top = {c: c for c in comp.tolist()}
 
         def find(x: int) -> int:
             while top[x] != x:
                 top[x] = x = top[top[x]]
             return x
 
-        for t, (x, y) in enumerate(zip(comp[i[order]].tolist(), comp[j[order]].tolist(), strict=True)):
+        taken = []
+        for k, (x, y) in enumerate(zip(comp[i].tolist(), comp[j].tolist(), strict=True)):
             x, y = find(x), find(y)
             if x != y:
-                top[x], taken[t] = y, True
-        return a[order[taken]], b[order[taken]], not taken.all()
+                top[x] = y
+                taken.append(k)
+        return pa.table({"a": node[i[taken]], "b": node[j[taken]]}) if taken else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-
-        def solve(t: pa.Table, last: bool) -> tuple[pa.Table | None, list[pa.RecordBatch]]:
-            block = [np.asarray(t[c]) for c in BLOCK]
-            cut = np.flatnonzero(np.concatenate(([True], np.any([x[1:] != x[:-1] for x in block], axis=0), [True])))
-            kind, node, comp, other = (np.asarray(t[c]) for c in ("kind", "node", "comp", "other"))
-            sig = np.frombuffer(utf8_binary(t["sig"].combine_chunks() if isinstance(t["sig"], pa.ChunkedArray) else t["sig"]), "<u2").reshape(-1, K)
-            place = np.concatenate(([0], np.cumsum(kind < 2)))
-            same = np.all([block[c] == block[c + 3] for c in (1, 2, 3)], axis=0)
-            stop = len(cut) - 1 if last else len(cut) - 2
-            found = []
-            for g in range(stop):
-                u, v = cut[g], cut[g + 1]
-                a, b, rest = forest(bool(same[u]), *(x[u:v] for x in (kind, node, comp, other)), sig[place[u] : place[v]])
-                if len(a):
-                    found.append(pa.RecordBatch.from_arrays([pa.array(np.full(len(a), block[0][u])), pa.array(a), pa.array(b), pa.array(np.full(len(a), rest))], ["key", "a", "b", "rest"]))
-            return (None if last else t.slice(cut[stop])), found
-
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            held = pa.concat_tables([held, t]).combine_chunks() if held is not None else t
-            held, found = solve(held, False)
-            if found:
-                yield pa.Table.from_batches(found).combine_chunks().to_batches()[0]
-        if held is not None and held.num_rows:
-            _, found = solve(held, True)
-            if found:
-                yield pa.Table.from_batches(found).combine_chunks().to_batches()[0]
+        found = (forest(t, same) for t, same in _by_block(batches))
+        yield from _packed((t for t in found if t is not None))
 
-    dealt = rows.repartition(*BLOCK).sortWithinPartitions(*BLOCK, "kind", "node")
-    return dealt.select(*BLOCK, "kind", "node", "comp", "other", "sig").mapInArrow(run, "key long, a long, b long, rest boolean")
+    dealt = rows.repartition(*BLOCK).sortWithinPartitions(*BLOCK)
+    return dealt.select(*BLOCK, "kind", "node", "comp", "cells").mapInArrow(run, "a long, b long")
 
 
 def _classified(docs: DataFrame, key: str, column: str, threshold: float, floor: float, chunk: int) -> DataFrame:
@@ -332,37 +402,31 @@ def _classified(docs: DataFrame, key: str, column: str, threshold: float, floor:
     nodes = usable.groupBy("h1", "h2").agg(F.min("row").alias("node"), F.min("id").alias("least"), F.count("*").alias("copies"))
     nodes = materialise(nodes, "nodes")
     reps = usable.withColumnRenamed("row", "node").join(nodes.select("node"), "node", "left_semi")
-    reps = scratch.table(reps.select("node", "id", "t1", "t2", "sig", "bands"), "reps")
+    reps = scratch.table(reps.select("node", "id", "t1", "t2", "sig", "bands", "weight"), "reps")
     sigs, names = reps.select("node", "sig"), reps.select("node", "id", "t1", "t2")
     texts = _texts(docs, key, column)
-    banded = reps.select("node", F.explode("bands").alias("key"))
+    banded = reps.select("node", F.posexplode("bands").alias("band", "key"))
     leaders = banded.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
     shared = scratch.table(skew_join(banded, leaders, ["key"]), "buckets")
     pairs = shared.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    near = _near(pairs, sigs, floor, scratch)
-    links = _verify(near, texts, names, threshold, scratch)
-    failed = scratch.table(near.join(links, ["a", "b"], "left_anti"), "failed")
+    links = _verify(_near(pairs, sigs, floor, scratch), texts, names, threshold, scratch)
     classes = materialise(connected_components(links, src="a", dst="b"), "classes")
-    width = WIDTH
-    while True:
-        known = shared.join(classes, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
-        mixed = known.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-        members = scratch.table(skew_join(known, mixed, ["key"]), "open")
-        found = scratch.table(_forests(_blocks(members, failed, sigs, chunk, scratch), width, floor), "found")
-        more = scratch.table(found.select("a", "b").distinct(), "more")
-        if more.isEmpty():
-            break
-        fresh = _verify(more, texts, names, threshold, scratch)
-        if not fresh.isEmpty():
-            links = scratch.table(links.unionByName(fresh), "links")
-            classes = materialise(connected_components(links, src="a", dst="b"), "classes")
-        # a bucket without further pairs in one round has none in later ones
-        keys = scratch.table(found.where("rest").select("key").distinct(), "keys")
-        if keys.isEmpty():
-            break
-        failed = scratch.table(failed.unionByName(more.join(fresh, ["a", "b"], "left_anti")), "failed")
-        shared = scratch.table(skew_join(shared, keys, ["key"]), "buckets")
-        width *= 4
+    # pairs of different classes
+    known = shared.join(classes, "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("comp"))
+    mixed = known.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+    members = scratch.table(skew_join(known, mixed, ["key"]), "open")
+    found = scratch.table(_candidates(_blocks(members, reps.select("node", "sig", "weight"), chunk, scratch), floor), "candidates")
+    light, single = found.where("other is null").drop("other"), found.where("other is not null")
+    fresh = None
+    if not light.isEmpty():
+        cells = scratch.table(_cells(_texts_of(light.select("node").distinct(), texts, names)), "cells")
+        fresh = scratch.table(_links(light.join(cells, "node"), threshold), "links")
+    if not single.isEmpty():
+        single = scratch.table(single.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "single")
+        more = _verify(single, texts, names, threshold, scratch)
+        fresh = more if fresh is None else fresh.unionByName(more)
+    if fresh is not None and not fresh.isEmpty():
+        classes = materialise(connected_components(links.unionByName(fresh), src="a", dst="b"), "classes")
     scratch.drop()
     placed = nodes.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     chosen = F.min(F.struct("least", "h1", "h2", "node"))
@@ -386,7 +450,7 @@ def _classified(docs: DataFrame, key: str, column: str, threshold: float, floor:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", column: str = "text", threshold: float = THRESHOLD, floor: float = FLOOR, chunk: int = CHUNK) -> DataFrame:
     """One row per document: ``key``, class_id (least id of its class), copy_of (least id with the same words), group_size, kept.
 
-    With ``floor`` 0 every pair of different classes that shares a band is checked exactly.
+    With ``floor`` 0 every pair that shares a band is in one class or checked exactly.
     ``chunk`` bounds what a task holds of a bucket; it does not change the result.
     """
     return _classified(docs, key, column, threshold, floor, chunk).select(F.col("id").alias(key), "class_id", "copy_of", "group_size", "kept")
