@@ -43,8 +43,11 @@ def _open(marks: DataFrame) -> DataFrame:
 
 
 def _judged(rows: DataFrame) -> DataFrame:
-    """Of rows with _id and _sha, adds _keep and _size to those whose _sha several rows have."""
-    full = rows.where("_sha is not null").groupBy("_sha").agg(F.min("_id").alias("_keep"), F.count("*").alias("_size")).where("_size > 1")
+    """Of rows with _id, _sha and _open, adds _keep and _size to those open ones whose _sha several have.
+
+    The others keep their _sha as the key of the join, so they are dealt out evenly and find nothing.
+    """
+    full = rows.where("_open").groupBy("_sha").agg(F.min("_id").alias("_keep"), F.count("*").alias("_size")).where("_size > 1")
     return skew_join(rows, full, ["_sha"], "left")
 
 
@@ -58,11 +61,11 @@ def _refined(docs: DataFrame, key: str, column: str) -> DataFrame:
     ids = small_side(marked.where("_open").select("_id").distinct().withColumnRenamed("_id", "_open_id"), "ids")
     some = docs.select(docs[key].alias("_id"), docs[column].cast("string").alias("_text"))
     some = some.join(ids, some["_id"].eqNullSafe(ids["_open_id"]), "left_semi")
-    whole = _sized(some, "_id", "_text").select("_id", "_length", "_prefix", F.sha2("_norm", 256).alias("_sha"))
+    whole = _sized(some, "_id", "_text").select("_id", "_length", "_prefix", F.sha2("_norm", 256).alias("_sha"), F.lit(True).alias("_open"))
     # an id may have further rows that are told apart already
     whole = skew_join(whole, _open(marks), ["_length", "_prefix"], "left_semi")
     alone = marked.where("_open is null").select("_id", "_length", "_prefix", F.lit(None).cast("string").alias("_sha"))
-    return alone.withColumn("_keep", F.col("_id")).withColumn("_size", F.lit(None).cast("long")).unionByName(_judged(whole))
+    return alone.withColumn("_keep", F.col("_id")).withColumn("_size", F.lit(None).cast("long")).unionByName(_judged(whole).drop("_open"))
 
 
 def groups(docs: DataFrame, key: str = "doc_id", column: str = "text", digests: bool = False) -> DataFrame:
@@ -72,14 +75,14 @@ def groups(docs: DataFrame, key: str = "doc_id", column: str = "text", digests:
     """
     if digests:
         rows = _sized(docs, key, column)
-        hashed = rows.select("_id", "_length", "_prefix", F.sha2("_norm", 256).alias("_digest"))
+        hashed = rows.select("_id", "_length", "_prefix", F.sha2("_norm", 256).alias("_sha"))
         joined = skew_join(hashed, _open(rows), ["_length", "_prefix"], "left")
-        out = _judged(joined.select("_id", "_digest", F.when(F.col("_open"), F.col("_digest")).alias("_sha")))
+        out = _judged(joined.select("_id", "_sha", "_open"))
     else:
         out = _refined(docs, key, column)
     keep = F.when(F.col("_size").isNotNull(), F.col("_keep")).otherwise(F.col("_id"))
     columns = [F.col("_id").alias(key), keep.alias("keep_id"), F.coalesce("_size", F.lit(1)).cast("long").alias("group_size"), F.col("_id").eqNullSafe(keep).alias("kept")]
-    return out.select(*columns, *([F.col("_digest").alias("text_sha256")] if digests else []))
+    return out.select(*columns, *([F.col("_sha").alias("text_sha256")] if digests else []))
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
