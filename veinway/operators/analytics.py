@@ -215,6 +215,66 @@ def fragmentation(pred: DataFrame, truth: DataFrame, scenes: DataFrame, least: i
         F.col("lcc_truth").alias("lcc_ratio_gt"), F.col("lcc_pred").alias("lcc_ratio_pred"), F.when(F.col("lcc_truth") > 0, F.try_divide("lcc_pred", "lcc_truth")).otherwise(0.0).alias("lcc_preservation"))
 
 
+def excess_endpoints(pred: DataFrame, truth: DataFrame, scenes: DataFrame) -> DataFrame:
+    """Dead ends of the thinned masks of each scene, and how many more the prediction has than the truth [A20]."""
+    from .kernels import skeletons
+
+    def ends(mask: DataFrame, name: str) -> DataFrame:
+        tips = raster.degree(skeletons(mask, scenes)).where("degree = 1")
+        return tips.groupBy("scene_id").agg(F.count("*").alias(name))
+
+    j = scenes.select("scene_id").join(ends(truth, "gt_endpoints"), "scene_id", "left").join(ends(pred, "pred_endpoints"), "scene_id", "left").fillna(0)
+    return j.withColumn("excess_endpoints", F.col("pred_endpoints") - F.col("gt_endpoints"))
+
+
+STAGES = ["original_mask", "repaired_mask", "skeleton", "connected_components", "endpoint_detection", "junction_detection", "graph_construction", "edge_length_calculation"]
+STAGE_COLUMNS = ["road_pixel_count", "skeleton_pixel_count", "connected_component_count", "endpoint_count", "junction_count", "node_count", "edge_count", "total_graph_length"]
+
+
+def stage_table(raw: DataFrame, repaired: DataFrame, skeleton: DataFrame, nodes: DataFrame, edges: DataFrame, components: DataFrame, intersections: DataFrame, scenes: DataFrame) -> DataFrame:
+    """A row for each scene and stage of the extraction with the counts that the stage has, null for the others [A24]."""
+    count = lambda df, name: df.groupBy("scene_id").agg(F.count("*").alias(name))
+    parts = [count(raw, "raw"), count(raster.component_stats(raw), "raw_parts"), count(repaired, "fixed"), count(raster.component_stats(repaired), "fixed_parts"), count(skeleton, "thin"), count(raster.component_stats(skeleton), "thin_parts"),
+        count(raster.degree(skeleton).where("degree = 1"), "ends"), count(nodes, "nodes"), edges.groupBy("scene_id").agg(F.count("*").alias("edges"), F.sum("length_px").alias("length")),
+        components.groupBy("scene_id").agg(F.countDistinct("component").alias("graph_parts")), count(intersections, "crossings")]
+    j = scenes.select("scene_id")
+    for p in parts:
+        j = j.join(p, "scene_id", "left")
+    j = j.fillna(0)
+    has = {
+        "original_mask": {"road_pixel_count": "raw", "connected_component_count": "raw_parts"},
+        "repaired_mask": {"road_pixel_count": "fixed", "connected_component_count": "fixed_parts"},
+        "skeleton": {"skeleton_pixel_count": "thin", "connected_component_count": "thin_parts"},
+        "connected_components": {"road_pixel_count": "fixed", "skeleton_pixel_count": "thin", "connected_component_count": "thin_parts", "node_count": "nodes", "edge_count": "edges"},
+        "endpoint_detection": {"skeleton_pixel_count": "thin", "endpoint_count": "ends", "node_count": "nodes"},
+        "junction_detection": {"skeleton_pixel_count": "thin", "junction_count": "crossings", "node_count": "nodes"},
+        "graph_construction": {"connected_component_count": "graph_parts", "endpoint_count": "ends", "junction_count": "crossings", "node_count": "nodes", "edge_count": "edges"},
+        "edge_length_calculation": {"node_count": "nodes", "edge_count": "edges", "total_graph_length": "length"},
+    }
+    value = lambda c, found: (F.round(found, 2) if c == "total_graph_length" else found).cast("double").alias(c)
+    rows = [F.struct(F.lit(i).alias("step"), F.lit(s).alias("stage"), *[value(c, F.col(has[s][c]) if c in has[s] else F.lit(None)) for c in STAGE_COLUMNS]) for i, s in enumerate(STAGES)]
+    return j.select("scene_id", F.explode(F.array(*rows)).alias("row")).select("scene_id", "row.*")
+
+
+def rich_samples(masks: DataFrame, scenes: DataFrame, most: int, share: float = 0.04) -> DataFrame:
+    """The first ``most`` scenes, by id, with more than ``share`` of their pixels on roads [O6]."""
+    n = masks.select("scene_id", "y", "x").distinct().groupBy("scene_id").agg(F.count("*").alias("road_pixels"))
+    return scenes.join(n, "scene_id").where(F.col("road_pixels") > share * F.col("height") * F.col("width")).select("scene_id", "road_pixels").orderBy("scene_id").limit(most)
+
+
+def route_rows(features: DataFrame) -> DataFrame:
+    """Lines of GeoJSON features as candidate routes, with defaults for what they lack [A36].
+
+    ``features``: geometry_type, coordinates, and properties as a map of texts; an id may stand
+    beside the properties.
+    """
+    p = lambda c: F.col("properties")[c]
+    number = lambda c: F.coalesce(p(c).try_cast("double"), F.lit(0.0))
+    beside = F.col("id").cast("string") if "id" in features.columns else F.lit(None).cast("string")
+    return features.where("geometry_type = 'LineString'").select(F.coalesce(p("id"), beside, F.lit("0")).alias("id"), number("length_pixels").alias("length_pixels"), number("length_meters").alias("length_meters"),
+        F.coalesce(F.when(p("status") != "", p("status")), F.lit("Unmapped Route Segment")).alias("status"), "coordinates")
+
+
 def dataset_means(samples: DataFrame, columns: list[str], occluded: dict[str, str] | None = None) -> DataFrame:
     """Mean and population deviation of each column; means of gap columns over samples that have one [A22]."""
     aggs = [F.count("*").alias("num_samples")]

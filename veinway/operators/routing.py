@@ -283,32 +283,45 @@ def find_routes(nodes: list[tuple], edges: list[dict], start: tuple, end: tuple,
 ROUTE = "query_id long, route_id int, length_m double, novel_m double, overlap_m double, overlap_pct double, score double, coordinates array<struct<x:double,y:double>>, message string, error string"
 
 
-def routes(queries: DataFrame, nodes: DataFrame, edges: DataFrame, reference: DataFrame, options: Options = Options()) -> DataFrame:
+def routes(queries: DataFrame, nodes: DataFrame, edges: DataFrame, reference: DataFrame, options: Options = Options(), per_graph: int = 64) -> DataFrame:
     """Rows of routes for each query (query_id, scene_id, sx, sy, ex, ey): an error row where there is none.
 
-    A scene's nodes, edges and reference meet its queries in one group, so a group is as
-    large as one scene's graph.
+    The queries of a scene are cut into parts of about ``per_graph``; each part meets the
+    scene's nodes, edges and reference in one group, so a graph is dealt out once for a part
+    and a group is as large as one scene's graph. Queries of scenes without nodes or edges
+    have no rows.
     """
     ship(queries.sparkSession)
-    packed_nodes = nodes.groupBy("scene_id").agg(F.sort_array(F.collect_list(F.struct("node", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))).alias("nodes"))
-    packed_edges = edges.groupBy("scene_id").agg(F.sort_array(F.collect_list(F.struct("src", "dst", "length_px", "segment_id", "edge_kind", "pixels"))).alias("edges"))
-    packed_ref = reference.groupBy("scene_id").agg(F.collect_list(F.array(*[F.col(c).cast("double") for c in ("ax", "ay", "bx", "by")])).alias("reference"))
-    j = queries.join(packed_nodes, "scene_id").join(packed_edges, "scene_id").join(packed_ref, "scene_id", "left")
-
-    def solve(batches):
-        for frame in batches:
-            rows = []
-            for r in frame.to_dict("records"):
-                ref = np.array([list(s) for s in r["reference"]], float).reshape(-1, 4) if r["reference"] is not None else np.zeros((0, 4))
+    group = ["scene_id", "_part"]
+    cut = queries.groupBy("scene_id").agg(F.ceil(F.count("*") / per_graph).cast("int").alias("_parts"))
+    asked = queries.join(cut, "scene_id").withColumn("_part", F.pmod(F.xxhash64("query_id"), F.col("_parts")).cast("int"))
+    asked = asked.select(*group, "query_id", *[F.col(c).cast("double").alias(c) for c in ("sx", "sy", "ex", "ey")])
+    parts = asked.select(*group).distinct()
+    number = lambda *names: [F.col(c).cast("double").alias(c) for c in names]
+    kinds = {"kind": "int", "node": "string", "x": "double", "y": "double", "src": "string", "dst": "string", "length_px": "double", "segment_id": "long", "edge_kind": "string", "pixels": "array<struct<x:double,y:double>>", "ax": "double", "ay": "double", "bx": "double", "by": "double"}
+
+    def rows(df: DataFrame, kind: int, *columns: Column) -> DataFrame:
+        df = df.select("scene_id", F.lit(kind).alias("kind"), *columns)
+        return df.select("scene_id", *[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()])
+
+    graph = rows(nodes, 0, F.col("node"), *number("x", "y")).unionByName(rows(edges, 1, *[F.col(c) for c in ("src", "dst", "length_px", "segment_id", "edge_kind", "pixels")])).unionByName(rows(reference, 2, *number("ax", "ay", "bx", "by")))
+    graph = graph.join(parts.select("scene_id", F.col("_part").alias("_to")), "scene_id")
+
+    def solve(some: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        own = {k: known[known.kind == k] for k in (0, 1, 2)}
+        if len(some) and len(own[0]) and len(own[1]):
+            places = list(own[0].sort_values(["node", "x", "y"])[["node", "x", "y"]].itertuples(index=False, name=None))
+            ways = own[1].sort_values(["src", "dst", "length_px", "segment_id"])[["src", "dst", "length_px", "segment_id", "edge_kind", "pixels"]].to_dict("records")
+            ref = own[2][["ax", "ay", "bx", "by"]].to_numpy(float).reshape(-1, 4)
+            for r in some.sort_values("query_id").to_dict("records"):
                 try:
-                    found, _, _, message = find_routes([(n["node"], n["x"], n["y"]) for n in r["nodes"]], list(r["edges"]), (r["sx"], r["sy"]), (r["ex"], r["ey"]), ref, options)
-                    for f in found:
-                        rows.append({**f, "query_id": r["query_id"], "coordinates": [{"x": x, "y": y} for x, y in f["coordinates"]], "message": message, "error": None})
+                    found, _, _, message = find_routes(places, ways, (r["sx"], r["sy"]), (r["ex"], r["ey"]), ref, options)
+                    out += [{**f, "query_id": r["query_id"], "coordinates": [{"x": x, "y": y} for x, y in f["coordinates"]], "message": message, "error": None} for f in found]
                 except ValueError as e:
-                    rows.append({"query_id": r["query_id"], "error": str(e)})
-            columns = [c.split()[0] for c in ROUTE.split(", ")]
-            out = pd.DataFrame(rows, columns=columns)
-            out["route_id"] = out["route_id"].astype("Int32")
-            yield out
+                    out.append({"query_id": r["query_id"], "error": str(e)})
+        made = pd.DataFrame(out, columns=[c.split()[0] for c in ROUTE.split(", ")])
+        made["route_id"] = made["route_id"].astype("Int32")
+        return made
 
-    return j.mapInPandas(solve, ROUTE)
+    return asked.groupBy(*group).cogroup(graph.groupBy("scene_id", "_to")).applyInPandas(solve, ROUTE)

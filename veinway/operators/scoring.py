@@ -22,6 +22,19 @@ def color_contrast(points: DataFrame) -> DataFrame:
     return points.groupBy("scene_id", "segment_id").agg(s.contrast(F.col("r"), F.col("g"), F.col("b")).alias("color_contrast"))
 
 
+def colors_under(segments: DataFrame, rgb: DataFrame, stride: int = 1) -> DataFrame:
+    """Rows (scene_id, segment_id, r, g, b) of every ``stride``-th point of each path that lies in the image (scene_id, y, x, r, g, b)."""
+    pts = segments.select("scene_id", "segment_id", F.posexplode("path").alias("i", "p")).where(F.col("i") % stride == 0)
+    pts = pts.select("scene_id", "segment_id", F.col("p.y").cast("int").alias("y"), F.col("p.x").cast("int").alias("x"))
+    return pts.join(rgb.select("scene_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), "r", "g", "b"), ["scene_id", "y", "x"]).drop("y", "x")
+
+
+def mean_color(segments: DataFrame, rgb: DataFrame, stride: int = 3) -> DataFrame:
+    """Mean color of every third point of each path, 0 without any in the image [G6]."""
+    mean = colors_under(segments, rgb, stride).groupBy("scene_id", "segment_id").agg(*[F.avg(c).alias(c) for c in ("r", "g", "b")])
+    return segments.select("scene_id", "segment_id").join(mean, ["scene_id", "segment_id"], "left").fillna(0.0, ["r", "g", "b"])
+
+
 def connectivity(segments: DataFrame, nodes: DataFrame, degree: DataFrame, disconnected: DataFrame, snap: float = 0.0) -> DataFrame:
     """Half for each end that is a node of degree at least 2; 0 for disconnected segments [A4].
 

@@ -10,7 +10,7 @@ from ..operators import analytics, graphs, inference, raster, routing, scoring,
 from ..sources import images, manifests, vectors
 from . import bindings as b
 from . import scene
-from .queries import _classified, _segments_graph, query, rounded, with_
+from .queries import CLASS_CTE, _classified, _segments_graph, query, rounded, with_
 
 
 def _pairs(spark, sf) -> DataFrame:
@@ -157,7 +157,9 @@ def t12_scene_network(spark, sf):
     rows = px.where(F.col("p") >= b.STRONG).select(name.alias("scene_id"), "y", "x")
     sc = px.groupBy(name.alias("scene_id")).agg((F.max("y") + 1).alias("height"), F.lit(b.WIDTH).alias("width"))
     wide = raster.dilate(rows, g.ellipse(2), sc)
-    return rounded(scene.analyse(wide, sc).summary)
+    c = F.round(F.abs("p") * 255)
+    rgb = px.select(name.alias("scene_id"), "y", "x", c.alias("r"), (255 - c).alias("g"), (c / 2).alias("b"))
+    return rounded(scene.analyse(wide, sc, rgb=rgb).summary)
 
 
 @query()
@@ -166,7 +168,7 @@ def a27_occlusions(spark, sf):
     return inference.occluded_pixels(inference.occlusions(sc, b.mask(spark, sf, b.STRONG)), sc).select("y", "x")
 
 
-@query()
+@query(with_(b.SQL_PX) + "SELECT y, x, round(least(greatest(round(abs(p) * 255), 0), 255) / 255.0::DOUBLE, 4) AS p FROM px")
 def f19_model_inference(spark, sf):
     """A stand-in model (the mean of the channels) over tiles and views."""
     px = b.probabilities(spark, sf)
@@ -185,7 +187,8 @@ def r2_snap_and_split(spark, sf):
     return rounded(routing.routes(q, n, e, none, routing.Options(snap=30.0, routes=2)).select("query_id", "route_id", "length_m", "score", "error"))
 
 
-@query()
+@query("WITH RECURSIVE " + CLASS_CTE + " SELECT rank, name, count(path_id) AS count, round(count(path_id) * 100.0 / (SELECT count(*) FROM clf), 1) AS percentage FROM (VALUES (0, 'Primary Arterial'), (1, 'Secondary Collector'), (2, 'Local Road'), (3, 'Minor / Unpaved')) t(rank, name) LEFT JOIN clf ON road_class = name GROUP BY rank, name"
+    " UNION ALL SELECT rank, name, count(path_id), round(count(path_id) * 100.0 / (SELECT count(*) FROM clf), 1) FROM (VALUES (0, 'High Quality'), (1, 'Moderate'), (2, 'Requires Review')) t(rank, name) LEFT JOIN clf ON quality_tier = name GROUP BY rank, name")
 def k7_report_tables(spark, sf):
     return analytics.class_distribution(_classified(spark, sf)).select("rank", F.col("road_class").alias("name"), "count", "percentage").unionByName(analytics.tier_distribution(_classified(spark, sf)).select("rank", F.col("quality_tier").alias("name"), "count", "percentage"))
 

@@ -74,12 +74,29 @@ def f4_drop_small_components(spark, sf):
     return raster.drop_small(b.mask(spark, sf), 8).select("y", "x")
 
 
+def sql_shifted(source: str, kernel: list[tuple[int, int]], key: str = "") -> str:
+    """Pixels all of whose kernel is in ``source`` or outside the scene; ``key``: a further column that a pixel must share."""
+    k, on = (f"{key}, ", f" AND s.{key} = c.{key}") if key else ("", "")
+    cells = f"(SELECT DISTINCT {k}y - dy AS y, x - dx AS x FROM {source}, {values(kernel, 'ko')})"
+    return (f"(SELECT {'c.' + key + ', ' if key else ''}c.y, c.x FROM {cells} c CROSS JOIN {values(kernel, 'ke')} CROSS JOIN sc LEFT JOIN {source} s ON s.y = c.y + ke.dy AND s.x = c.x + ke.dx{on} WHERE c.y BETWEEN 0 AND height - 1 AND c.x BETWEEN 0 AND width - 1"
+        f" GROUP BY ALL HAVING count(s.y) = count(*) FILTER (c.y + ke.dy BETWEEN 0 AND height - 1 AND c.x + ke.dx BETWEEN 0 AND width - 1))").replace("GROUP BY ALL", f"GROUP BY {'c.' + key + ', ' if key else ''}c.y, c.x")
+
+
+def sql_close(source: str, out: str, kernel: list[tuple[int, int]]) -> list[str]:
+    """CTEs of a dilation and an erosion by the kernel turned about."""
+    return [f"{out}_d AS " + sql_dilate(source, kernel), f"{out} AS " + sql_shifted(f"{out}_d", [(-dy, -dx) for dy, dx in kernel])]
+
+
 NEAR_ME = values([(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)], "o")
 
 
-# a component of fewer than 4 pixels is what its pixels reach in three steps
-@query(with_(b.SQL_PX, "cm AS (SELECT y, x FROM px WHERE p < 0)", "nb AS (SELECT a.y * 64 + a.x AS s, c.y * 64 + c.x AS d FROM (SELECT y, x, dy, dx FROM cm, " + NEAR_ME + ") a JOIN cm c ON c.y = a.y + a.dy AND c.x = a.x + a.dx)", "few AS (SELECT s FROM nb GROUP BY s HAVING count(*) < 4)", "r1 AS (SELECT s, d FROM nb JOIN few USING (s))",
-    "r2 AS (SELECT DISTINCT r1.s, nb.d FROM r1 JOIN nb ON nb.s = r1.d)", "r3 AS (SELECT DISTINCT r2.s, nb.d FROM r2 JOIN nb ON nb.s = r2.d)") + "SELECT y, x FROM px WHERE p >= 0 UNION SELECT (s // 64)::INT, (s % 64)::INT FROM r3 GROUP BY s HAVING count(*) < 4")
+def sql_specks(source: str, out: str) -> list[str]:
+    """CTEs of the pixels in components of fewer than 4: those are what their pixels reach in three steps."""
+    return [f"{out}_n AS (SELECT a.y * 64 + a.x AS s, c.y * 64 + c.x AS d FROM (SELECT y, x, dy, dx FROM {source}, " + NEAR_ME + f") a JOIN {source} c ON c.y = a.y + a.dy AND c.x = a.x + a.dx)", f"{out}_f AS (SELECT s FROM {out}_n GROUP BY s HAVING count(*) < 4)", f"{out}_1 AS (SELECT s, d FROM {out}_n JOIN {out}_f USING (s))",
+        f"{out}_2 AS (SELECT DISTINCT a.s, n.d FROM {out}_1 a JOIN {out}_n n ON n.s = a.d)", f"{out}_3 AS (SELECT DISTINCT a.s, n.d FROM {out}_2 a JOIN {out}_n n ON n.s = a.d)", f"{out} AS (SELECT (s // 64)::INT AS y, (s % 64)::INT AS x FROM {out}_3 GROUP BY s HAVING count(*) < 4)"]
+
+
+@query(with_(b.SQL_PX, "cm AS (SELECT y, x FROM px WHERE p < 0)", *sql_specks("cm", "few")) + "SELECT y, x FROM px WHERE p >= 0 UNION SELECT y, x FROM few")
 def f5_fill_small_holes(spark, sf):
     return raster.fill_holes(b.mask(spark, sf, 0.0), b.scenes(spark, sf), 4).select("y", "x")
 
@@ -99,12 +116,19 @@ def f6_close(spark, sf):
     return raster.close(b.mask(spark, sf), g.cross(), b.scenes(spark, sf)).select("y", "x")
 
 
-@query()
+BRIDGES = {"c1": g.rectangle(1, 5), "c2": g.rectangle(5, 1), "c3": g.diagonal(5), "c4": g.diagonal(5, falling=False)}
+
+
+@query(with_(b.SQL_PX, *sql_specks("weak", "speck"), "big AS (SELECT y, x FROM weak EXCEPT SELECT y, x FROM speck)", "out0 AS (SELECT y, x FROM px EXCEPT SELECT y, x FROM big)", *sql_specks("out0", "hole"), "full0 AS (SELECT y, x FROM big UNION ALL SELECT y, x FROM hole)", *sql_close("full0", "c0", g.ellipse(1)), *(p for name, kernel in BRIDGES.items() for p in sql_close("c0", name, kernel))) + " UNION ".join(f"SELECT y, x FROM c{i}" for i in range(5)))
 def f7_repair(spark, sf):
     return raster.repair(b.mask(spark, sf), b.scenes(spark, sf), least=4, radius=1, bridge=5).select("y", "x")
 
 
-@query()
+@query(with_(b.SQL_PX, b.sql_labels("weak", "lab"), "stt AS (SELECT label, count(*) AS area, greatest(max(y) - min(y), max(x) - min(x)) + 1 AS major, least(max(y) - min(y), max(x) - min(x)) + 1 AS minor FROM lab GROUP BY label)",
+    "sml AS (SELECT * FROM stt WHERE area < 20 AND major >= 4 AND major / minor::DOUBLE >= 2)", "rch AS (SELECT DISTINCT lab.label, lab.y + dy AS y, lab.x + dx AS x FROM lab JOIN sml USING (label), " + values(g.ellipse(4), "kc") + ")",
+    "kp AS (SELECT label FROM stt WHERE area >= 20 UNION SELECT label FROM sml WHERE area <= floor(major * 1.5) UNION SELECT rch.label FROM rch JOIN lab ON lab.y = rch.y AND lab.x = rch.x AND lab.label <> rch.label)",
+    "own AS (SELECT lab.label, lab.y, lab.x FROM lab JOIN kp USING (label))", "od AS (SELECT DISTINCT label, own.y + dy AS y, own.x + dx AS x FROM own, " + values(g.ellipse(1), "kd") + ", sc WHERE own.y + dy BETWEEN 0 AND height - 1 AND own.x + dx BETWEEN 0 AND width - 1)",
+    "oe AS " + sql_shifted("od", g.ellipse(1), "label")) + "SELECT DISTINCT y, x FROM oe")
 def f8_clean(spark, sf):
     return raster.clean(b.mask(spark, sf), b.scenes(spark, sf), least=20, radius=1, span=4, aspect=2.0).select("y", "x")
 

@@ -34,9 +34,12 @@ def name(scene: str, node: str) -> Column:
     return F.concat_ws("/", F.col(scene), F.col(node).cast("string"))
 
 
-def analyse(mask: DataFrame, scenes: DataFrame, settings: kernels.Settings = kernels.Settings(), gap: float = 18.0) -> Network:
+def analyse(mask: DataFrame, scenes: DataFrame, settings: kernels.Settings = kernels.Settings(), gap: float = 18.0, rgb: DataFrame | None = None) -> Network:
     """Geometry, topology with evidence-scored bridges, and confidence of every scene [3.1, T12].
 
+    ``rgb`` (scene_id, y, x, r, g, b) gives segments their mean color and contrast; without an
+    image both are 0.
+
     Geometry runs in one kernel a scene; from then on all is joins and aggregates over all
     scenes at once. A scene without segments has no rows but in the summary.
     """
@@ -69,7 +72,13 @@ def analyse(mask: DataFrame, scenes: DataFrame, settings: kernels.Settings = ker
     coverage = scoring.mask_coverage(segments, mask)
     tied = scoring.connectivity(segments, nodes, degree, off, snap=8.0)
     base = segments.join(coverage, ["scene_id", "segment_id"]).join(tied, ["scene_id", "segment_id"])
-    confidence = scoring.overall(base.withColumn("color_contrast", F.lit(0.0)).withColumn("straightness", s.straightness(F.col("curvature"))).withColumn("length_score", s.length_score(F.col("length_px")))).drop("path")
+    if rgb is None:
+        base = base.withColumn("color_contrast", F.lit(0.0))
+    else:
+        contrast = scoring.color_contrast(scoring.colors_under(segments, rgb))
+        base = base.join(contrast, ["scene_id", "segment_id"], "left").fillna(0.0, ["color_contrast"])
+        segments = segments.join(scoring.mean_color(segments, rgb), ["scene_id", "segment_id"])
+    confidence = scoring.overall(base.withColumn("straightness", s.straightness(F.col("curvature"))).withColumn("length_score", s.length_score(F.col("length_px")))).drop("path")
     crossings = topology.intersections(nodes, edges)
     n = lambda df, what: df.groupBy("scene_id").agg(F.count("*").alias(what))
     summary = scenes.select("scene_id").join(segments.groupBy("scene_id").agg(F.count("*").alias("segments"), F.round(F.sum("length_px"), 3).alias("length_px")), "scene_id", "left")
