@@ -2,6 +2,7 @@ import pytest
 from conftest import SF, values
 
 import veinway.plans.more  # noqa: F401
+import veinway.plans.single  # noqa: F401
 from veinway.plans.queries import ORACLES, QUERIES
 
 ROWS_ONLY = sorted(set(QUERIES) - set(ORACLES))

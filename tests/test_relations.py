@@ -202,3 +202,86 @@ def test_hop_distances_do_not_stop_early_in_silence(spark):
     assert {(r.node, r.distance) for r in graphs.hop_distances(chain, 0).collect()} == {(i, float(i)) for i in range(6)}
     with pytest.raises(ValueError, match="after 3 rounds"):
         graphs.hop_distances(chain, 0, most=3)
+
+
+def test_greedy_matching_equals_the_sequential_way(spark):
+    """Both registered matchings against best first, ties by names."""
+    from veinway.plans import bindings as b
+    from veinway.plans.queries import QUERIES
+    from veinway.operators import topology
+
+    def sequential(rows):
+        taken, out = set(), []
+        for score, a, c in sorted(((-s, min(a, c), max(a, c)) for a, c, s in rows)):
+            if a not in taken and c not in taken:
+                taken |= {a, c}
+                out.append((a, c, -score))
+        return sorted(out)
+
+    sf = "/root/testdata/sf0.001"
+    e = b.graph(spark, sf).select(F.col("src").alias("a"), F.col("dst").alias("b"), (F.abs(F.xxhash64("src", "dst")) % 1000 / 1000).alias("score"))
+    got = QUERIES["t5_greedy_matching"](spark, sf).select("a", "b", "score").collect()
+    assert sorted((min(r.a, r.b), max(r.a, r.b), r.score) for r in got) == sequential([tuple(r) for r in e.collect()])
+    sf = "/root/testdata/sf0.01"
+    rows = topology.score_links(b.links(spark, sf).drop("mask_evidence"), b.links(spark, sf).select("scene_id", "link_id", "mask_evidence"), ["link_id"])
+    c = rows.where("accepted").select((F.col("link_id") % 60).alias("a"), (F.col("link_id") % 47 + 60).alias("b"), F.round("score", 9).alias("score")).collect()
+    got = QUERIES["t5_bridges"](spark, sf).select("a", "b", "score").collect()
+    assert got and sorted(tuple(r) for r in got) == sequential({tuple(r) for r in c})
+
+
+def test_nearest_segments_without_a_reach_equal_brute_force(spark):
+    import math
+    import random
+
+    from veinway.operators import spatial
+
+    r = random.Random(4)
+    seg = [(f"s{i % 3}", r.uniform(0, 50), r.uniform(0, 5000), r.uniform(0, 50), r.uniform(0, 5000)) for i in range(40)] + [("s0", 7.0, 7.0, 7.0, 7.0)]
+    pts = [(f"s{i % 4}", i, r.uniform(-3000, 3000), r.uniform(-100, 9000)) for i in range(80)]
+    got = spatial.point_network_distance(spark.createDataFrame(pts, "scene_id string, k int, x double, y double"), spark.createDataFrame(seg, "scene_id string, ax double, ay double, bx double, by double"), ["k"]).collect()
+
+    def distance(x, y, ax, ay, bx, by):
+        d = (bx - ax) ** 2 + (by - ay) ** 2
+        t = 0 if d == 0 else min(1, max(0, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / d))
+        return math.hypot(x - ax - t * (bx - ax), y - ay - t * (by - ay))
+
+    want = {k: min(distance(x, y, *q[1:]) for q in seg if q[0] == s) for s, k, x, y in pts if s != "s3"}
+    assert {g.k for g in got} == set(want) and all(abs(g.distance - want[g.k]) < 1e-6 for g in got)
+    none = spatial.point_network_distance(spark.createDataFrame(pts, "scene_id string, k int, x double, y double"), spark.createDataFrame([], "scene_id string, ax double, ay double, bx double, by double"), ["k"])
+    assert none.count() == 0
+
+
+def test_hops_go_to_the_end_of_a_long_path(spark):
+    from veinway.operators import graphs
+
+    n = 40
+    e = spark.createDataFrame([(f"n{i:03d}", f"n{i + 1:03d}") for i in range(n)], "src string, dst string")
+    assert {r.node: r.distance for r in graphs.hop_distances(e, "n000").collect()} == {f"n{i:03d}": float(i) for i in range(n + 1)}
+
+
+def test_excess_endpoints_and_stages(spark):
+    from veinway.operators import analytics, kernels
+    from veinway.plans import scene
+
+    line = [("s", 10, x) for x in range(5, 60)]
+    broken = [p for p in line if not 25 <= p[2] < 35]
+    px = lambda rows: spark.createDataFrame(rows, "scene_id string, y int, x int")
+    sc = spark.createDataFrame([("s", 30, 64), ("empty", 30, 64)], "scene_id string, height int, width int")
+    got = {r.scene_id: r for r in analytics.excess_endpoints(px(broken), px(line), sc).collect()}
+    assert (got["s"].gt_endpoints, got["s"].pred_endpoints, got["s"].excess_endpoints) == (2, 4, 2) and got["empty"].excess_endpoints == 0
+    wide = px([("s", y, x) for _, y0, x in broken for y in range(y0 - 2, y0 + 3)])
+    net = scene.analyse(wide, sc)
+    table = analytics.stage_table(wide, wide, kernels.skeletons(wide, sc), net.nodes, net.edges, net.components, net.intersections, sc).where("scene_id = 's'").orderBy("step").collect()
+    assert [r.stage for r in table] == analytics.STAGES
+    assert table[0].road_pixel_count == 5 * len(broken) and table[0].connected_component_count == 2 and table[0].node_count is None
+    assert table[6].node_count == net.nodes.count() and table[7].edge_count == net.edges.count() and table[7].total_graph_length > 0
+
+
+def test_colours_of_segments(spark):
+    from veinway.operators import scoring
+
+    path = lambda pts: [{"y": y, "x": x} for y, x in pts]
+    seg = spark.createDataFrame([("s", 1, path([(0, x) for x in range(7)])), ("s", 2, path([(9, 9)])), ("s", 3, [])], "scene_id string, segment_id int, path array<struct<y:int,x:int>>")
+    rgb = spark.createDataFrame([("s", 0, x, 10 * x, 255, 0) for x in range(7)], "scene_id string, y int, x int, r int, g int, b int")
+    got = {r.segment_id: (r.r, r.g, r.b) for r in scoring.mean_color(seg, rgb).collect()}
+    assert got == {1: (30.0, 255.0, 0.0), 2: (0.0, 0.0, 0.0), 3: (0.0, 0.0, 0.0)}

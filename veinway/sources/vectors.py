@@ -9,29 +9,29 @@ FEATURES = "type string, features array<struct<type:string,geometry:struct<type:
 
 
 def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes (node, x, y, kind) and undirected edges (src, dst, length_px, pixels, ...) of GraphML files [S7].
+    """Nodes (path, node, x, y, kind) and undirected edges (path, src, dst, length_px, pixels, ...) of GraphML files [S7].
 
-    Missing coordinates are 0, a missing kind is junction; the length is length_pixels, else
+    Each file has its own keys and graph. Missing coordinates are 0, a missing kind is junction; the length is length_pixels, else
     length, else 0; of parallel edges the last by document order stays.
     """
     keys = spark.read.format("xml").option("rowTag", "key").load(path)
-    names = keys.select(F.col("_id").alias("key"), F.col("`_attr.name`").alias("name"), F.col("_for").alias("of")) if "_attr.name" in keys.columns else spark.createDataFrame([], "key string, name string, of string")
+    names = keys.select(F.input_file_name().alias("path"), F.col("_id").alias("key"), F.col("`_attr.name`").alias("name"), F.col("_for").alias("of")).distinct() if "_attr.name" in keys.columns else spark.createDataFrame([], "path string, key string, name string, of string")
 
     def values(tag: str, ids: list[str]) -> DataFrame:
         schema = ", ".join(f"`_{i}` string" for i in ids) + ", data array<struct<_key:string,_VALUE:string>>"
-        rows = spark.read.format("xml").option("rowTag", tag).schema(schema).load(path).withColumn("order", F.monotonically_increasing_id())
-        long = rows.select("order", *[F.col(f"_{i}").alias(i) for i in ids], F.explode_outer("data").alias("d")).select("order", *ids, F.col("d._key").alias("key"), F.col("d._VALUE").alias("value"))
-        named = long.join(F.broadcast(names.where(F.col("of") == tag)), "key", "left")
-        return named.groupBy("order", *ids).agg(F.map_from_entries(F.collect_list(F.when(F.col("name").isNotNull(), F.struct("name", "value")))).alias("data"))
+        rows = spark.read.format("xml").option("rowTag", tag).schema(schema).load(path).withColumn("order", F.monotonically_increasing_id()).withColumn("path", F.input_file_name())
+        long = rows.select("path", "order", *[F.col(f"_{i}").alias(i) for i in ids], F.explode_outer("data").alias("d")).select("path", "order", *ids, F.col("d._key").alias("key"), F.col("d._VALUE").alias("value"))
+        named = long.join(names.where(F.col("of") == tag), ["path", "key"], "left")
+        return named.groupBy("path", "order", *ids).agg(F.map_from_entries(F.collect_list(F.when(F.col("name").isNotNull(), F.struct("name", "value")))).alias("data"))
 
     n = values("node", ["id"])
     number = lambda c: F.coalesce(F.col("data")[c].try_cast("double"), F.lit(0.0))
-    nodes = n.select(F.col("id").alias("node"), number("x").alias("x"), number("y").alias("y"), F.coalesce(F.col("data")["kind"], F.lit("junction")).alias("kind"))
+    nodes = n.select("path", F.col("id").alias("node"), number("x").alias("x"), number("y").alias("y"), F.coalesce(F.col("data")["kind"], F.lit("junction")).alias("kind"))
     e = values("edge", ["source", "target"])
     d = F.col("data")
     length = F.coalesce(d["length_pixels"].try_cast("double"), d["length"].try_cast("double"), F.lit(0.0))
-    edges = e.select(F.least("source", "target").alias("src"), F.greatest("source", "target").alias("dst"), "order", length.alias("length_px"), d["segment_id"].try_cast("double").cast("int").alias("segment_id"), d["edge_kind"].alias("edge_kind"), F.from_json(d["pixels"], "array<array<double>>").alias("px"))
-    last = Window.partitionBy("src", "dst").orderBy(F.desc("order"))
+    edges = e.select("path", F.least("source", "target").alias("src"), F.greatest("source", "target").alias("dst"), "order", length.alias("length_px"), d["segment_id"].try_cast("double").cast("int").alias("segment_id"), d["edge_kind"].alias("edge_kind"), F.from_json(d["pixels"], "array<array<double>>").alias("px"))
+    last = Window.partitionBy("path", "src", "dst").orderBy(F.desc("order"))
     edges = edges.withColumn("rn", F.row_number().over(last)).where("rn = 1").drop("rn", "order")
     return nodes, edges.withColumn("pixels", F.transform("px", lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y")))).drop("px")
 
