@@ -521,7 +521,15 @@ def a17_unmapped_summary(spark, sf):
     return analytics.unmapped_summary(_unmapped(spark, sf))
 
 
-@query()
+RESAMPLED = ["ds AS (SELECT path_id, i, x, y, px, py, coalesce(sqrt((x - px) ** 2 + (y - py) ** 2), 0) AS d, nx IS NULL AS last FROM st)", "cu AS (SELECT *, sum(d) OVER (PARTITION BY path_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS e FROM ds)",
+    "mk AS (SELECT *, unnest(list_concat(CASE WHEN d > 0 THEN list_transform(range(floor((e - d) / 2)::BIGINT + 1, floor(e / 2)::BIGINT + 1), lambda k: k * 2.0::DOUBLE) ELSE [] END, CASE WHEN i = 0 OR (last AND d > 0 AND floor(e / 2) * 2 < e) THEN [e] ELSE [] END)) AS m FROM cu)",
+    "sm AS (SELECT path_id, m, CASE WHEN d > 0 THEN px + (x - px) * (m - (e - d)) / d ELSE x END AS x, CASE WHEN d > 0 THEN py + (y - py) * (m - (e - d)) / d ELSE y END AS y FROM mk)", "pt AS (SELECT path_id, row_number() OVER (PARTITION BY path_id ORDER BY m) - 1 AS i, x, y FROM sm)",
+    "tt AS (SELECT pt.path_id, pt.i, pt.x, pt.y, ax, ay, qx, qy, CASE WHEN (qx - ax) ** 2 + (qy - ay) ** 2 = 0 THEN 0 ELSE least(1, greatest(0, ((pt.x - ax) * (qx - ax) + (pt.y - ay) * (qy - ay)) / ((qx - ax) ** 2 + (qy - ay) ** 2))) END AS t FROM pt JOIN rf ON pt.x BETWEEN ax - 16 AND qx + 16 WHERE pt.y BETWEEN least(ay, qy) - 16 AND greatest(ay, qy) + 16)",
+    "nr AS (SELECT path_id, i, min(sqrt((x - (ax + t * (qx - ax))) ** 2 + (y - (ay + t * (qy - ay))) ** 2)) AS distance FROM tt GROUP BY path_id, i)", "fr AS (SELECT pt.path_id, pt.i, pt.x, pt.y, coalesce(distance, 1e9) > 15 AS far FROM pt LEFT JOIN nr USING (path_id, i))"]
+DISCOVERED = with_(b.SQL_PATH, REF, *RESAMPLED) + UNMAPPED[UNMAPPED.index(", rn AS ("):]
+
+
+@query(DISCOVERED + "SELECT path_id, run::BIGINT AS run, points, round(length, 4) AS length, first_pos, last_pos FROM um")
 def a16_discovery(spark, sf):
     return rounded(analytics.unmapped(b.paths(spark, sf), b.reference(spark, sf), ["path_id"]).drop("scene_id"))
 
@@ -540,7 +548,9 @@ def g18_vertex_normals(spark, sf):
     return rounded(v.select("path_id", "pos", F.when(F.col("s") == 0, 1.0).otherwise(F.try_divide(-F.col("dy"), F.col("s"))).alias("nx"), F.when(F.col("s") == 0, 0.0).otherwise(F.try_divide(F.col("dx"), F.col("s"))).alias("ny")))
 
 
-@query()
+# the paths run along x, so the probes run along y
+@query(with_(b.SQL_PX, "wd AS " + sql_dilate("strong", g.ellipse(2)), "pb AS (SELECT k AS segment_id, j AS pos, 3 * j AS x, side, i * 0.5::DOUBLE AS d, trunc(3 * k + side * i * 0.5::DOUBLE)::INT AS y FROM range(40) a(k), range(20) c(j), (VALUES (1), (-1)) s(side), range(101) p(i))",
+    "fs AS (SELECT segment_id, pos, side, min(d) FILTER (WHERE wd.y IS NULL) AS d FROM pb LEFT JOIN wd USING (y, x) GROUP BY 1, 2, 3)") + "SELECT segment_id, pos, sum(coalesce(d, 50.5)) AS width FROM fs GROUP BY 1, 2")
 def g18_road_width(spark, sf):
     m = raster.dilate(b.mask(spark, sf, b.STRONG), g.ellipse(2), b.scenes(spark, sf))
     rows = spark.createDataFrame([("s0", k, [(3 * k, x) for x in range(0, 60, 3)]) for k in range(40)], "scene_id string, segment_id int, path array<struct<y:int,x:int>>")
