@@ -149,7 +149,7 @@ def test_quality_of_odd_rows(spark):
     assert kept.columns == frame(spark, ODD).columns and kept.count() == sum(r.kept for r in got)
     one = ordinal.train(quality_rows(["a"]), np.array([3.0]))
     assert all(r.kept and r.expected_grade == 3 for r in ordinal.score(frame(spark, ODD), one).collect())
-    none = ordinal.fit(frame(spark, ODD), spark.createDataFrame([(1, None)], "doc_id long, quality int"))
+    none = ordinal.fit(frame(spark, ODD), spark.createDataFrame([(1, None), (5, float("nan"))], "doc_id long, quality double"))
     assert all(r.kept for r in ordinal.score(frame(spark, ODD), none).collect())
 
 
@@ -204,6 +204,56 @@ def test_toxicity_of_held_out_documents(spark):
     assert got.score.between(0, 1).all() and (got.predicted == (got.score >= 0.5)).all()
 
 
+def test_scores_equal_a_slow_forward_pass():
+    """Every window of every document, a word, a gate and a state at a time."""
+    texts = ["you are an idiot and a fool " * 9, "nice day", "", "é 中文 idiot"]
+    net = toxgru.train(["you idiot", "nice day", "idiot again", "good work"] * 5, np.array([1, 0, 1, 0] * 5), 0.5, steps=6)
+    data, offsets = utf8(pa.array(texts))
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def vector(word):
+        d, o = utf8(pa.array([word]))
+        start, end, _ = words(d, o)
+        w, gram, _ = toxgru.word_inputs(d, start, end, toxgru.span_hash(d, start, end))
+        rows = p["C"][gram]
+        return np.concatenate((p["E"][w[0]], rows.mean(0), [rows[:, 0].max()])) if len(gram) else np.concatenate((p["E"][w[0]], np.zeros(toxgru.D + 1)))
+
+    def logit(window):
+        states = {}
+        for side, order in (("f", range(len(window))), ("b", range(len(window) - 1, -1, -1))):
+            h = np.zeros(toxgru.H)
+            for t in order:
+                x, u = window[t] @ p["W" + side] + p["b" + side], h @ p["U" + side]
+                z, r = sig(x[: toxgru.H] + u[: toxgru.H]), sig(x[toxgru.H : 2 * toxgru.H] + u[toxgru.H : 2 * toxgru.H])
+                h = h + (1 - z) * (np.tanh(x[2 * toxgru.H :] + r * u[2 * toxgru.H :]) - h)
+                states[side, t] = h
+        s = [np.concatenate((states["f", t], states["b", t])) for t in range(len(window))]
+        a = np.array([np.tanh(x @ p["A"] + p["a"]) @ p["v"] for x in s])
+        a = np.exp(a - a.max()) / np.exp(a - a.max()).sum() if len(a) else a
+        return (sum(w * x for w, x in zip(a, s, strict=True)) @ p["o"] if s else 0.0) + p["c"][0]
+
+    want = []
+    for t in texts:
+        w = [vector(x) for x in split(t)]
+        starts = [0, *range(toxgru.STRIDE, max(1, len(w) - (toxgru.WINDOW - toxgru.STRIDE)), toxgru.STRIDE)]
+        want.append(sig(net.scale * max(logit(w[i : i + toxgru.WINDOW]) for i in starts) + net.shift))
+    assert np.allclose(net.score(data, offsets), want, atol=1e-4)
+
+
+def test_toxicity_learns_from_long_texts(spark):
+    docs = frame(spark, [(i, ("calm words " * 3000 if i % 2 else "foul words ") + "x" * (i % 5)) for i in range(40)])
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(40)] + [(0, 1), (3, 0)], "doc_id long, toxic int")
+    seen = {}
+    real = toxgru.train
+    toxgru.train = lambda texts, toxic, prior: seen.update(texts=texts, toxic=toxic) or real(texts, toxic, prior, steps=2)
+    try:
+        toxgru.fit(docs, labels, stretch=1000)
+    finally:
+        toxgru.train = real
+    assert len(seen["texts"]) == 40 and max(map(len, seen["texts"])) == 1000 and sum(seen["toxic"]) == 20
+
+
 def test_toxicity_of_odd_rows(spark):
     net = toxgru.train(["you idiot", "nice day", "idiot again", "good work"] * 5, np.array([1, 0, 1, 0] * 5), 0.5, steps=6)
     got = toxgru.score(frame(spark, ODD), net, [F.col("doc_id")]).collect()

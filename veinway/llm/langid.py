@@ -6,7 +6,7 @@ word scores by the mean over those of its n-grams of the longest size of which a
 known. A text's score is the sum over its words.
 
 It is fitted on a bounded sample: about ``ROWS_PER_LANGUAGE`` rows of each language, chosen
-by a hash of id among the rows with a language. Words seen once in the sample count as unseen.
+by a hash of id and text among the rows with a language (rows that repeat both are one). Words seen once in the sample count as unseen.
 
 Cases: a text that is null or has no letter is ``und`` with score 0; without any training
 row all texts are ``und``; ties go to the language that sorts first; repeated ids are
@@ -115,8 +115,9 @@ def training_sample(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE, key: str = "
     known = docs.select(docs[key].cast("string").alias("id"), docs[language].cast("string").alias("lang"), text_of(docs, column).alias("text")).where("lang is not null")
     # a row for each language: narrow, and broadcast so that no text is dealt out by language
     sizes = small_side(known.groupBy("lang").agg(F.count("*").alias("n")), "languages")
-    part = F.pmod(F.xxhash64("id", "lang"), F.lit(1 << 30)) / F.lit(1 << 30)
-    return known.join(sizes, "lang").where(part < F.lit(rows) / F.col("n")).select("lang", F.lower("text").alias("text"))
+    part = F.pmod(F.xxhash64("id", "lang", "text"), F.lit(1 << 30)) / F.lit(1 << 30)
+    chosen = known.join(sizes, "lang").where(part < F.lit(rows) / F.col("n")).select("id", "lang", "text").distinct()
+    return chosen.select("lang", F.lower("text").alias("text"))
 
 
 def fit(sample: DataFrame) -> Model:

@@ -8,9 +8,10 @@ repeats the word before). A text's score is a sum over the whole text, so it is
 without building its vector.
 
 The model is fitted on a bounded sample of labelled rows: about ``SAMPLE_ROWS``, chosen by
-a hash of id.
+a hash of id and grade among those that differ; of documents that share an id one is learnt
+from, the text that sorts first.
 
-Cases: rows without a grade do not train; with fewer than two grades every document gets
+Cases: rows without a grade, or with one that is no number, do not train; with fewer than two grades every document gets
 the one grade (or 0) and is kept; a null or empty text has no features and scores by the
 thresholds alone; repeated ids are separate rows; other columns do not matter.
 """
@@ -97,7 +98,6 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], grade: np.ndarray, steps: i
     # w, first threshold, logs of the gaps
     p = np.concatenate((np.zeros(WIDTH), [start[0]], np.log(np.maximum(np.diff(start), 1e-3))))
     m, v = np.zeros_like(p), np.zeros_like(p)
-    every = np.arange(len(rows))
 
     def cuts() -> np.ndarray:
         return np.concatenate(([p[WIDTH]], p[WIDTH] + np.cumsum(np.exp(p[WIDTH + 1 :]))))
@@ -118,7 +118,6 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], grade: np.ndarray, steps: i
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         scale = np.concatenate((np.full(WIDTH, rate), np.full(k - 1, 0.05)))
         p -= scale * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    del every
     return Model(grades, p[:WIDTH].astype(np.float32), cuts())
 
 
@@ -126,9 +125,9 @@ def fit(docs: DataFrame, ratings: DataFrame, rows: int = SAMPLE_ROWS, key: str =
     """Fit on about ``rows`` rated documents. Their features, not their texts, come to the driver."""
     spark = docs.sparkSession
     ship(spark)
-    rated = ratings.select(ratings[key].cast("long").alias("key"), ratings[grade].cast("double").alias("grade")).where("key is not null and grade is not null")
+    rated = ratings.select(ratings[key].cast("long").alias("key"), ratings[grade].cast("double").alias("grade")).where("key is not null and grade is not null and not isnan(grade)").distinct()
     share = rows / max(1, rated.count())
-    chosen = rated.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30)))
+    chosen = rated.where(F.pmod(F.xxhash64("key", "grade"), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30)))
     texts = docs.select(docs[key].cast("long").alias("key"), text_of(docs, column).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +146,7 @@ def fit(docs: DataFrame, ratings: DataFrame, rows: int = SAMPLE_ROWS, key: str =
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.binary())], ["grade", "place", "value"])
 
     # the chosen ratings are bounded by ``rows``
-    found = texts.join(F.broadcast(chosen), "key").select("grade", "text").mapInArrow(run, "grade double, place binary, value binary").toArrow()
+    found = texts.join(F.broadcast(chosen), "key").groupBy("key", "grade").agg(F.min("text").alias("text")).select("grade", "text").mapInArrow(run, "grade double, place binary, value binary").toArrow()
     sparse = [(np.frombuffer(a, "<u2"), np.frombuffer(b, "<f4")) for a, b in zip(found["place"].to_pylist(), found["value"].to_pylist(), strict=True)]
     return train(sparse, np.array(found["grade"].to_pylist(), float))
 

@@ -301,9 +301,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, stretch: in
     """Train on about ``rows`` labelled documents of each class; ``labels`` must hold only rows that may be learnt from.
 
     Of a text of more than ``stretch`` characters, so many in a row are learnt from, at a place
-    that its key decides; a toxic one is learnt from its most toxic window within them.
+    that its key decides; a toxic one is learnt from its most toxic window within them. Of
+    rows that repeat an id one is learnt from, the text that sorts first.
     """
-    known = labels.select(labels[key].cast("long").alias("key"), labels[label].cast("int").alias("toxic")).where("key is not null and toxic in (0, 1)")
+    known = labels.select(labels[key].cast("long").alias("key"), labels[label].cast("int").alias("toxic")).where("key is not null and toxic in (0, 1)").distinct()
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     share = F.when(F.col("toxic") == 1, F.lit(rows / max(1, sizes.get(1, 0)))).otherwise(F.lit(rows / max(1, sizes.get(0, 0))))
     chosen = known.where(F.pmod(F.xxhash64("key", F.lit(4)), F.lit(1 << 30)) / F.lit(1 << 30) < share)
@@ -312,7 +313,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, stretch: in
     found = texts.join(F.broadcast(chosen), "key")
     over = F.char_length("text") - stretch
     found = found.withColumn("text", F.when(over > 0, F.substr("text", F.pmod(F.xxhash64("key", F.lit(5)), over + 1).cast("int") + 1, F.lit(stretch))).otherwise(F.col("text")))
-    found = found.select("key", "text", "toxic").toArrow().sort_by([("key", "ascending"), ("text", "ascending"), ("toxic", "ascending")])
+    found = found.groupBy("key", "toxic").agg(F.min("text").alias("text")).select("key", "text", "toxic").toArrow().sort_by([("key", "ascending"), ("text", "ascending"), ("toxic", "ascending")])
     total = sum(sizes.values())
     return train(found["text"].to_pylist(), np.array(found["toxic"].to_pylist(), int), sizes.get(1, 0) / total if total else 0.0)
 
