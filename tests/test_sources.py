@@ -1,4 +1,5 @@
 import json
+import zlib
 
 import numpy as np
 import pytest
@@ -112,3 +113,110 @@ def test_stream_of_masks(spark, tmp_path):
     w = ingest.road_pixels_by_window(ingest.mask_stream(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("w").outputMode("update").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c2")).start()
     w.awaitTermination()
     assert spark.table("w").agg({"road_pixels": "max"}).first()[0] == 5
+
+
+def tiff(image, order="<", compression=1, predictor=1, tile=None, planar=1, extra=()):
+    """A TIFF of an array (height, width, samples); ``extra``: (tag, type, values)."""
+    import struct
+
+    h, w, c = image.shape
+    kind = image.dtype.newbyteorder(order)
+    if predictor == 2:
+        image = np.concatenate((image[:, :1], image[:, 1:] - image[:, :-1]), axis=1)
+    pack = {1: bytes, 8: zlib.compress, 32773: lambda b: b"".join(bytes([0, x]) for x in b)}[compression]
+    planes = [image[:, :, k : k + 1] for k in range(c)] if planar == 2 else [image]
+    parts = []
+    for p in planes:
+        if tile:
+            full = np.pad(p, ((0, -h % tile), (0, -w % tile), (0, 0)))
+            parts += [full[y : y + tile, x : x + tile] for y in range(0, h, tile) for x in range(0, w, tile)]
+        else:
+            parts += [p[y : y + 3] for y in range(0, h, 3)]
+    body = [pack(np.ascontiguousarray(p).astype(kind).tobytes()) for p in parts]
+    at = np.cumsum([8, *map(len, body)])
+    code = {"u": 1, "i": 2, "f": 3}[image.dtype.kind]
+    tags = [(256, 4, [w]), (257, 4, [h]), (258, 3, [8 * image.dtype.itemsize] * c), (259, 3, [compression]), (262, 3, [1]), (277, 3, [c]), (284, 3, [planar]), (317, 3, [predictor]), (339, 3, [code] * c)]
+    tags += [(322, 4, [tile]), (323, 4, [tile]), (324, 4, at[:-1].tolist()), (325, 4, list(map(len, body)))] if tile else [(273, 4, at[:-1].tolist()), (278, 4, [3]), (279, 4, list(map(len, body)))]
+    tags = sorted(tags + list(extra))
+    form = {2: "s", 3: "H", 4: "I", 12: "d"}
+    values = [v if k == 2 else struct.pack(order + form[k] * len(v), *v) for _, k, v in tags]
+    start = int(at[-1])
+    rest = start + 2 + 12 * len(tags) + 4
+    entries, tail = b"", b""
+    for (tag, k, v), raw in zip(tags, values, strict=True):
+        where = raw.ljust(4, b"\0") if len(raw) <= 4 else struct.pack(order + "I", rest + len(tail))
+        tail += raw if len(raw) > 4 else b""
+        entries += struct.pack(order + "HHI", tag, k, len(v)) + where
+    return (b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, start) + b"".join(body) + struct.pack(order + "H", len(tags)) + entries + b"\0" * 4 + tail
+
+
+@pytest.mark.parametrize("options", [{}, {"order": ">"}, {"compression": 8, "predictor": 2}, {"compression": 32773}, {"tile": 16}, {"planar": 2}, {"planar": 2, "tile": 16, "compression": 8}])
+@pytest.mark.parametrize("kind", ["u1", "u2", "f4"])
+def test_tiff_is_read_as_it_was(options, kind):
+    from veinway.sources.tiff import decode_tiff
+
+    if options.get("predictor") == 2 and kind == "f4":
+        return
+    image = np.random.default_rng(1).integers(0, 200, (20, 37, 3)).astype(kind)
+    assert (decode_tiff(tiff(image, **options)) == image).all()
+
+
+def test_lzw_of_the_format_s_own_kind():
+    from veinway.sources.tiff import unpack_lzw
+
+    def pack(data):
+        out, held, bits, width, table, last = bytearray(), 0, 0, 9, {bytes([i]): i for i in range(256)}, b""
+        n = 258
+
+        def put(code):
+            nonlocal held, bits
+            held, bits = held << width | code, bits + width
+            while bits >= 8:
+                bits -= 8
+                out.append(held >> bits & 255)
+                held &= (1 << bits) - 1
+
+        put(256)
+        for x in data:
+            word = last + bytes([x])
+            if word in table:
+                last = word
+                continue
+            put(table[last])
+            table[word], n, last = n, n + 1, bytes([x])
+            if n == 4094:
+                put(256)
+                table, n, width = {bytes([i]): i for i in range(256)}, 258, 9
+            else:
+                width = 9 if n < 512 else 10 if n < 1024 else 11 if n < 2048 else 12
+        put(table[last])
+        width = 9 if n + 1 < 512 else 10 if n + 1 < 1024 else 11 if n + 1 < 2048 else 12
+        put(257)
+        out.append(held << 8 - bits & 255 if bits else 0)
+        return bytes(out)
+
+    r = np.random.default_rng(2)
+    for data in (b"aaaaaaaaaab", bytes(r.integers(0, 4, 30_000).astype(np.uint8)), bytes(r.integers(0, 256, 9000).astype(np.uint8))):
+        assert unpack_lzw(pack(data)) == data
+
+
+def test_where_an_image_lies(spark, tmp_path):
+    from veinway.functions import geometry
+    from veinway.sources import tiff as t
+    from pyspark.sql import functions as F
+
+    image = np.zeros((4, 5, 3), np.uint8)
+    image[1, 2] = (9, 8, 7)
+    keys = (34735, 3, [1, 1, 0, 2, 1024, 0, 1, 1, 3072, 0, 1, 32643])
+    (tmp_path / "a.tif").write_bytes(tiff(image, extra=[(33550, 12, [2.0, 3.0, 0.0]), (33922, 12, [1.0, 1.0, 0.0, 500.0, 900.0, 0.0]), keys]))
+    named = (34735, 3, [1, 1, 0, 1, 1026, 34737, 7, 2])
+    (tmp_path / "b.tif").write_bytes(tiff(image, extra=[(34264, 12, [1.0, 2, 0, 3, 4, 5, 0, 6, 0, 0, 0, 0, 0, 0, 0, 1]), named, (34737, 2, b"x|My grid|\0")]))
+    (tmp_path / "c.tif").write_bytes(tiff(image))
+    (tmp_path / "d.png").write_bytes(images.encode_png(image))
+    got = {r.scene_id.rsplit("/", 1)[1]: r for r in t.read_ground(spark, str(tmp_path)).collect()}
+    assert got["a.tif"].crs == "EPSG:32643" and got["a.tif"].transform == [2.0, 0.0, 498.0, 0.0, -3.0, 903.0]
+    assert got["b.tif"].crs == "My grid" and got["b.tif"].transform == [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]
+    assert got["c.tif"].crs is None and got["c.tif"].transform is None and got["d.png"].crs is None
+    px = images.read_pixels(spark, str(tmp_path / "a.tif")).where("r = 9").join(t.read_ground(spark, str(tmp_path)), "scene_id")
+    w = px.select(geometry.affine(F.col("x"), F.col("y"), F.col("transform")).alias("w")).first().w
+    assert (w.x, w.y) == (502.0, 900.0)

@@ -52,10 +52,6 @@ def sql_dilate(source: str, kernel: list[tuple[int, int]]) -> str:
     return f"(SELECT DISTINCT {source}.y + dy AS y, {source}.x + dx AS x FROM {source}, {values(kernel, 'kd')}, sc WHERE {source}.y + dy BETWEEN 0 AND height - 1 AND {source}.x + dx BETWEEN 0 AND width - 1)"
 
 
-def sql_erode(source: str, kernel: list[tuple[int, int]]) -> str:
-    return f"(SELECT px.y, px.x FROM px, sc WHERE NOT EXISTS (SELECT 1 FROM {values(kernel, 'ke')} WHERE px.y + ke.dy BETWEEN 0 AND sc.height - 1 AND px.x + ke.dx BETWEEN 0 AND sc.width - 1 AND (px.y + ke.dy, px.x + ke.dx) NOT IN (SELECT (y, x) FROM {source})))"
-
-
 # ---------------------------------------------------------------- raster
 
 

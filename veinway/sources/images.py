@@ -1,7 +1,7 @@
 """Image files as pixel relations: listing, decoding, and writing masks.
 
-PNG (8-bit, not interlaced) and binary PPM/PGM are decoded here with zlib and NumPy; other
-formats need a decoder passed in and are refused by name otherwise.
+PNG (8-bit, not interlaced), binary PPM/PGM and baseline TIFF are decoded here with zlib and
+NumPy; other formats need a decoder passed in and are refused by name otherwise.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
+from .tiff import decode_tiff
 
 SUFFIXES = (".png", ".jpg", ".jpeg", ".tif", ".tiff")
 Decoder = Callable[[bytes], np.ndarray]
@@ -102,14 +103,14 @@ def to_rgb(image: np.ndarray) -> np.ndarray:
 
 
 def decode(raw: bytes, path: str = "", extra: Decoder | None = None) -> np.ndarray:
-    for reader in (decode_png, decode_netpbm):
+    for reader in (decode_png, decode_netpbm, decode_tiff):
         try:
             return reader(raw)
         except (ValueError, TypeError):
             continue
     if extra:
         return extra(raw)
-    raise ValueError(f"{path}: only 8-bit PNG, PGM and PPM are read without a decoder of your own")
+    raise ValueError(f"{path}: only 8-bit PNG, PGM and PPM and baseline TIFF are read without a decoder of your own")
 
 
 def read_pixels(spark: SparkSession, paths: str | list[str], mask: bool = False, decoder: Decoder | None = None) -> DataFrame:
