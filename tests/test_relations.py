@@ -285,3 +285,18 @@ def test_colours_of_segments(spark):
     rgb = spark.createDataFrame([("s", 0, x, 10 * x, 255, 0) for x in range(7)], "scene_id string, y int, x int, r int, g int, b int")
     got = {r.segment_id: (r.r, r.g, r.b) for r in scoring.mean_color(seg, rgb).collect()}
     assert got == {1: (30.0, 255.0, 0.0), 2: (0.0, 0.0, 0.0), 3: (0.0, 0.0, 0.0)}
+
+
+def test_a_job_can_delete_what_it_left(spark):
+    import os
+
+    from veinway import session
+
+    kept = list(session._work)
+    session._work.clear()
+    table = session.materialise(spark.range(3), "left")
+    path = session._work[0].removeprefix("file:")
+    assert table.count() == 3 and os.path.isdir(path)
+    session.tidy(spark)
+    assert not os.path.exists(path) and session._work == []
+    session._work.extend(kept)

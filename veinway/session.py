@@ -48,9 +48,23 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_work: list[str] = []
+
+
 def work_dir(spark: SparkSession, what: str) -> str:
     """A new path below the shared folder; nothing is created yet."""
-    return f"{shared_root(spark)}/veinway/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/veinway/{what}-{uuid.uuid4().hex}"
+    _work.append(path)
+    return path
+
+
+def tidy(spark: SparkSession) -> None:
+    """Delete all tables and files that jobs of this application have left in the shared folder.
+
+    For the end of a job: what is read later must have been written elsewhere by then.
+    """
+    while _work:
+        discard(spark, _work.pop())
 
 
 def materialise(df: DataFrame, what: str, path: str | None = None) -> DataFrame:
