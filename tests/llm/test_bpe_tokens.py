@@ -50,6 +50,24 @@ def test_ids_equal_the_library(library, texts, lexicon):
         assert bpe.decode(v, np.array(g, np.int64)).decode() == library.decode(g, skip_special_tokens=False)
 
 
+def test_other_kinds_of_tokenizers_are_refused(tmp_path):
+    import json
+
+    spec = json.load(open(vocabulary_path()))
+    changes = [("normalizer", {"type": "NFC"}), ("pre_tokenizer", {"type": "Whitespace"}), ("pre_tokenizer", spec["pre_tokenizer"] | {"add_prefix_space": True}), ("model", spec["model"] | {"ignore_merges": True}), ("added_tokens", [spec["added_tokens"][0] | {"lstrip": True}])]
+    for key, value in changes:
+        (tmp_path / "t.json").write_text(json.dumps(spec | {key: value}))
+        with pytest.raises(ValueError, match="not supported"):
+            bpe.load_vocabulary(str(tmp_path / "t.json"))
+
+
+def test_texts_longer_than_a_chunk_are_whole(library):
+    r = random.Random(3)
+    text = "".join(r.choice(["the ", "of\n", "é", "zebra ", "  "]) for _ in range(400_000))
+    assert len(text.encode()) > 1 << 20
+    assert ids(bpe.Encoder(bpe.load_vocabulary(vocabulary_path())), ["a", text, "b"])[1] == library.encode(text, add_special_tokens=False).ids
+
+
 def test_long_words_merge_like_short_ones():
     v = bpe.load_vocabulary(vocabulary_path())
     r = random.Random(1)

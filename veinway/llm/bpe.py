@@ -68,10 +68,28 @@ class Vocabulary:
         return np.dtype("<u2") if len(self.token_start) - 1 <= 1 << 16 else np.dtype("<u4")
 
 
+def _refuse_unknown(spec: dict) -> None:
+    """Fail for a tokenizers file with a step that this module does not take, rather than give other ids."""
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    steps = [
+        (spec.get("normalizer") is None, "a normalizer"),
+        (model.get("type", "BPE") == "BPE", "a model other than BPE"),
+        (split.get("type") == "ByteLevel" and split.get("use_regex", True), "a pre-tokenizer other than ByteLevel with its pattern"),
+        (not split.get("add_prefix_space", False), "a space put before texts"),
+        ((spec.get("decoder") or {}).get("type") == "ByteLevel", "a decoder other than ByteLevel"),
+        (not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")), "an option of the model"),
+        (not any(t.get(k) for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized")), "an option of an added token"),
+    ]
+    wrong = [what for ok, what in steps if not ok]
+    if wrong:
+        raise ValueError("this tokenizer has what is not supported: " + ", ".join(wrong))
+
+
 def load_vocabulary(path: str) -> Vocabulary:
-    """Read a tokenizers file of a byte-level BPE model."""
+    """Read a tokenizers file of a byte-level BPE model; others are refused."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
+    _refuse_unknown(spec)
     model, alphabet = spec["model"], byte_alphabet()
     vocab = model["vocab"]
     special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}

@@ -127,8 +127,3 @@ def shingles(word: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarr
         total += np.where(inside, word[np.minimum(at + j, len(word) - 1)], np.uint64(0)) * _POS[j]
     total += np.where(short, count[doc].astype(np.uint64) * np.uint64(0xA0761D6478BD642F), np.uint64(0))
     return mix(total), out
-
-
-def runs(doc: np.ndarray, n: int) -> np.ndarray:
-    """Offsets (n + 1) of ascending document numbers."""
-    return np.searchsorted(doc, np.arange(n + 1))
