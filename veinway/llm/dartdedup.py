@@ -40,7 +40,7 @@ from ..operators.components import connected_components
 from ..operators.joins import skew_join, small_side
 from ..session import Scratch, materialise
 from .shared import ship, text_marks, text_of
-from .textvec import mix, pieces, shingles, span_hash, utf8, words
+from .textvec import give_back, mix, pieces, shingles, span_hash, utf8, words
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -160,6 +160,7 @@ def _agreement(pairs: DataFrame, floor: float) -> DataFrame:
             a, b = (np.frombuffer(utf8_binary(batch.column(c)), "<u2").reshape(-1, K) for c in (2, 3))
             keep = (a == b).mean(1) >= floor
             yield batch.select([0, 1]).filter(pa.array(keep))
+            give_back()
 
     return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
@@ -195,6 +196,7 @@ def _exact(pairs: DataFrame, threshold: float) -> DataFrame:
                 keep = weighted_jaccard(part.column(2), part.column(3)) >= threshold
                 if keep.any():
                     yield part.select([0, 1]).filter(pa.array(keep))
+            give_back()
 
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
@@ -270,6 +272,7 @@ def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, boo
         for g in range(stop):
             yield held.slice(cut[g], cut[g + 1] - cut[g]), bool(same[cut[g]])
         held = held.slice(cut[stop])
+        give_back()
 
 
 def _packed(parts: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:

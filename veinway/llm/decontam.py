@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from ..operators.joins import small_side
 from ..session import materialise, work_dir
 from .shared import filesystem, path_of, ship, text_marks, text_of
-from .textvec import pieces, span_hash, words
+from .textvec import give_back, pieces, span_hash, words
 
 WINDOW = 13
 #: Phrases in a block: 10 MB at 13 terms.
@@ -203,6 +203,16 @@ def _read_blocks(blocks: list[tuple[str, int]]) -> Iterator[Block]:
         yield _held[uri]
 
 
+def _groups(batches: Iterator[pa.RecordBatch], blocks: list[tuple[str, int]]) -> Iterator[pa.RecordBatch]:
+    """Segments that are held together: one where the blocks are held too, else those of a batch, for which they are read."""
+    for batch in batches:
+        step = batch.num_rows if sum(n for _, n in blocks) > HELD else 1
+        for k in range(0, batch.num_rows, step):
+            yield batch.slice(k, step)
+        del batch
+        give_back()
+
+
 def write_phrases(items: DataFrame, size: int | None = WINDOW, key: str = "item_id", column: str = "text") -> list[tuple[str, int]]:
     """Write the distinct phrases of the items in blocks; path and number of phrases of each.
 
@@ -278,8 +288,8 @@ def phrase_matches(index: DataFrame, items: DataFrame, size: int = WINDOW, item_
     blocks = write_phrases(items, size, item_key, column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = segments(batch)
+        for part in _groups(batches, blocks):
+            parts = segments(part)
             cover = [np.zeros(int(s.edges[-1]) + 1, np.int32) for s in parts]
             named: list[dict[str, list[np.ndarray]]] = [{} for _ in parts]
             for block in _read_blocks(blocks):
@@ -332,8 +342,8 @@ def proximity_matches(index: DataFrame, items: DataFrame, slop: int, item_key: s
     blocks = write_phrases(items, None, item_key, column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts, out = segments(batch), []
+        for part in _groups(batches, blocks):
+            parts, out = segments(part), []
             for block in _read_blocks(blocks):
                 for s in parts:
                     for number in block.candidates(s).tolist():
