@@ -57,7 +57,7 @@ def point_network_distance(points: DataFrame, segments: DataFrame, key: list[str
 
     A segment is put into every cell its box touches, widened by ``reach``, so only near pairs
     meet, and points without any have no row. Without ``reach`` the search starts with a reach
-    of about the segments' spacing and goes on with one four times as large for the points
+    of about the segments' spacing and goes on with one twice as large for the points
     that found nothing within it, until all have; points of scenes without segments have no row.
     """
     segments = segments.select(scene, "ax", "ay", "bx", "by")
@@ -81,7 +81,7 @@ def point_network_distance(points: DataFrame, segments: DataFrame, key: list[str
             left = scratch.table(left.join(hit.select("_row"), "_row", "left_anti"), "points")
             if left.isEmpty():
                 break
-            now *= 4
+            now *= 2
     scratch.drop()
     if found is None:
         return points.select(scene, *key, F.lit(0.0).alias("distance")).limit(0)
