@@ -220,3 +220,25 @@ def test_where_an_image_lies(spark, tmp_path):
     px = images.read_pixels(spark, str(tmp_path / "a.tif")).where("r = 9").join(t.read_ground(spark, str(tmp_path)), "scene_id")
     w = px.select(geometry.affine(F.col("x"), F.col("y"), F.col("transform")).alias("w")).first().w
     assert (w.x, w.y) == (502.0, 900.0)
+
+
+def test_choice_overlay_and_progress_file(spark, tmp_path):
+    import time
+
+    (tmp_path / "b").write_text("x")
+    paths = [str(tmp_path / p) for p in ("a", "b", "c")]
+    assert manifests.first_existing(spark, paths) == paths[1] and manifests.first_existing(spark, [paths[0], paths[2]]) == paths[2]
+    image = np.full((2, 2, 3), 100, np.uint8)
+    assert images.overlay(image, np.array([[1, 0], [0, 0]]))[0].tolist() == [[178, 50, 50], [100, 100, 100]]
+    listener = ingest.ProgressFile(str(tmp_path / "progress"))
+    spark.streams.addListener(listener)
+    try:
+        spark.createDataFrame([("s", 1, 2)], "scene_id string, y int, x int").selectExpr("*", "timestamp'2024-01-01' AS at").write.parquet(str(tmp_path / "in"))
+        ingest.apply_each_batch(ingest.mask_stream(spark, str(tmp_path / "in")), lambda d: d, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+        for _ in range(50):
+            if (tmp_path / "progress").exists():
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    assert (tmp_path / "progress").read_text().startswith("batch 0: 1 rows")

@@ -93,6 +93,15 @@ def a24_stage_table(spark, sf):
     return rounded(analytics.stage_table(raw, wide, kernels.skeletons(wide, sc), net.nodes, net.edges, net.components, net.intersections, sc))
 
 
+@query(with_(b.SQL_PX, b.SQL_PATH, LENGTHS, "dg AS (SELECT m.y, m.x, count(n.y) AS degree FROM weak m CROSS JOIN (VALUES (-1), (0), (1)) p(dy) CROSS JOIN (VALUES (-1), (0), (1)) q(dx) LEFT JOIN weak n ON n.y = m.y + dy AND n.x = m.x + dx AND (dy <> 0 OR dx <> 0) GROUP BY m.y, m.x)")
+    + "SELECT 's0' AS scene_id, (SELECT count(*) FROM weak) AS mask_pixels, (SELECT count(*) FROM strong) AS skeleton_pixels, (SELECT count(*) FROM ln2) AS segments, round((SELECT sum(length) FROM ln2), 2) AS total_length_px, round((SELECT avg(points) FROM ln2), 4) AS mean_width_px, round((SELECT avg(straight) FROM ln2), 4) AS mean_curvature, (SELECT count(*) FROM dg WHERE degree >= 3) AS junctions, (SELECT count(*) FROM dg WHERE degree = 1) AS endpoints")
+def a32_geometry_row(spark, sf):
+    p = F.col("path")
+    seg = b.paths(spark, sf).select("scene_id", g.path_length(p).alias("length_px"), F.size("path").cast("double").alias("width_px"), g.straight_distance(p).alias("curvature"))
+    out = analytics.geometry_row(seg, raster.classify_pixels(b.mask(spark, sf)), b.mask(spark, sf), b.mask(spark, sf, b.STRONG))
+    return out.withColumn("total_length_px", F.round("total_length_px", 2)).withColumn("mean_width_px", F.round("mean_width_px", 4)).withColumn("mean_curvature", F.round("mean_curvature", 4))
+
+
 BLOCKS = "pp AS (SELECT y // 4 AS segment_id, row_number() OVER (PARTITION BY y // 4 ORDER BY y, x) - 1 AS i, abs(p) * 255 AS r FROM px)"
 
 

@@ -92,6 +92,13 @@ def encode_png(image: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, {1: 0, 3: 2}[c], 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
 
 
+def overlay(image: np.ndarray, mask: np.ndarray, color: tuple[int, int, int] = (255, 0, 0), share: float = 0.5) -> np.ndarray:
+    """An RGB image with a color laid over the set pixels of a mask [K5]."""
+    out = to_rgb(image).astype(float)
+    out[mask > 0] = (1 - share) * out[mask > 0] + share * np.array(color)
+    return np.rint(out).astype(np.uint8)
+
+
 def to_rgb(image: np.ndarray) -> np.ndarray:
     """Three 8-bit channels: the first three, or the first repeated; other kinds are stretched to 0..255 [S2]."""
     image = image if image.ndim == 3 else image[:, :, None]

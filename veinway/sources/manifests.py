@@ -100,3 +100,12 @@ def without_run(catalog: DataFrame, run_id: str) -> DataFrame:
     if lookup(catalog, run_id).isEmpty():
         raise KeyError(run_id)
     return catalog.where(F.col("id") != run_id)
+
+
+def first_existing(spark: SparkSession, paths: list[str]) -> str:
+    """The first path that is there, else the last [S14]."""
+    for path in paths[:-1]:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+            return path
+    return paths[-1]

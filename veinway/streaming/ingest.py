@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 MASK = "scene_id string, y int, x int, at timestamp"
 
@@ -35,6 +35,23 @@ def apply_each_batch(stream: DataFrame, operator, path: str, checkpoint: str) ->
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+class ProgressFile(StreamingQueryListener):
+    """Writes a line to a file of the driver's for each micro-batch that ends [K11]."""
+
+    def __init__(self, path: str) -> None:
+        self.path = path
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        with open(self.path, "a", encoding="utf-8") as f:
+            f.write(f"batch {event.progress.batchId}: {event.progress.numInputRows} rows\n")
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
 def progress(query: StreamingQuery) -> str:
     """The last progress as text, or that there is none yet [S12]."""
     last = query.lastProgress
