@@ -103,13 +103,13 @@ BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 #: Bytes of an Arrow batch sent to a Python worker at once, where the session has Spark's default.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once for each application, and bound their batches.
 
-    Batches of long texts are copied on both sides, so an eighth of Spark's default size
+    Batches of long texts are copied on both sides, so a sixteenth of Spark's default size
     keeps a worker's memory small; a size that was set for the session is left alone.
     """
     context = spark.sparkContext
