@@ -1,6 +1,6 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-The index is cut by documents: a segment holds, for about a megabyte of text, its terms in
+The index is cut by documents: a segment holds, for about half a megabyte of text, its terms in
 ascending order and for each term its postings, the ascending word positions at which it
 stands. Segments are written once to the shared folder. A phrase starts from the postings
 of its rarest term in the segment, shifted by the term's place in the phrase, and these are
