@@ -16,9 +16,13 @@ def test_query_equals_its_sql(spark, duck, name):
     assert values(ours) == values(theirs)
 
 
+#: The smallest tables accept no link; what the query gives is checked in test_relations.
+ROWS_AT = {"t5_bridges": "/root/testdata/sf0.01"}
+
+
 @pytest.mark.parametrize("name", ROWS_ONLY)
 def test_query_without_sql_has_rows(spark, name):
-    assert QUERIES[name](spark, SF).limit(1).count() == 1
+    assert QUERIES[name](spark, ROWS_AT.get(name, SF)).limit(1).count() == 1
 
 
 def test_entry(spark, duck):
