@@ -1,20 +1,20 @@
-"""Range and nearest joins by grid cells.
+"""Range joins by grid cells, nearest joins by tiles.
 
 A point within r of another lies in its cell of side r or one of the eight around it, so a
 range join becomes an equi-join on cells: one side is put into nine cells, and no pair
-farther apart than the nine cells is ever made. Keys: the scene and the cell.
+farther apart than the nine cells is ever made. Keys: the scene and the cell. A search for
+the nearest makes no pairs; ``nearest`` has it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Scratch, materialise
-
-
-def cell(value: Column, size: float) -> Column:
-    return F.floor(value / F.lit(float(size))).cast("long")
+from . import nearest
+from .joins import skew_join
+from .nearest import cell, finite
 
 
 def _around(df: DataFrame, y: str, x: str, size: float) -> DataFrame:
@@ -31,58 +31,54 @@ def range_join(left: DataFrame, right: DataFrame, radius: float, scene: str = "s
     return out if least is None else out.where(F.col("gap") >= least)
 
 
-def nearest_within(left: DataFrame, right: DataFrame, radius: float, key: list[str], tie: str, scene: str = "scene_id") -> DataFrame:
-    """For each key of the left the nearest row of the right within ``radius``: least ``tie`` among equals; adds ``gap`` [J4, O5]."""
-    found = range_join(left, right, radius, scene)
-    value = [c for c in right.columns if c not in (scene, tie)]
-    best = found.groupBy(scene, *key).agg(F.min(F.struct("gap", tie, *value)).alias("b"))
-    return best.select(scene, *key, F.col(f"b.{tie}").alias(tie), *[F.col(f"b.{c}").alias(c) for c in value], F.col("b.gap").alias("gap"))
+def _back(rows: DataFrame, found: DataFrame, scene: str) -> DataFrame:
+    """Rows with what was found for their places."""
+    return skew_join(rows.withColumn("y", F.col("y").cast("double")).withColumn("x", F.col("x").cast("double")), found, [scene, "y", "x"])
 
 
-def _reached(points: DataFrame, segments: DataFrame, key: list[str], reach: float, scene: str) -> DataFrame:
-    """The least distance of each point to the segments that its cell holds, for points with any."""
-    from ..functions.geometry import segment_distance
+def _places(rows: DataFrame, scene: str) -> DataFrame:
+    """Each place of some rows once, as copies of a point have the same neighbour."""
+    return finite(rows, ["y", "x"]).select(scene, F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x")).distinct()
 
-    distance = segment_distance(*(F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by")))
-    low = lambda a, b: cell(F.least(a, b) - reach, reach)
-    high = lambda a, b: cell(F.greatest(a, b) + reach, reach)
-    s = segments.withColumn("_cy", F.explode(F.sequence(low(F.col("ay"), F.col("by")), high(F.col("ay"), F.col("by")))))
-    s = s.withColumn("_cx", F.explode(F.sequence(low(F.col("ax"), F.col("bx")), high(F.col("ax"), F.col("bx")))))
-    p = points.withColumn("_cy", cell(F.col("y"), reach)).withColumn("_cx", cell(F.col("x"), reach))
-    return p.join(s, [scene, "_cy", "_cx"]).groupBy(scene, *key).agg(F.min(distance).alias("distance"))
+
+def nearest_within(left: DataFrame, right: DataFrame, radius: float, key: list[str], tie: str, scene: str = "scene_id") -> DataFrame:
+    """For each key of the left the nearest row of the right within ``radius``: least ``tie`` among equals; adds ``gap`` [J4, O5]."""
+    value = [c for c in right.columns if c not in (scene, tie)]
+    order = [tie, *value]
+    # of the rows at one place only the first can win
+    first = finite(right, ["ry", "rx"]).groupBy(scene, F.col("ry").cast("double").alias("ay"), F.col("rx").cast("double").alias("ax")).agg(F.min(F.struct(*order)).alias("r"))
+    others = materialise(first.select(scene, "ax", "ay", F.col("ax").alias("bx"), F.col("ay").alias("by"), "r.*"), "places")
+    places = materialise(_places(left, scene), "points")
+    found = nearest.search(places, others, radius, nearest.extent(places, others, scene)[1], scene, order)
+    best = _back(left.select(scene, *key, "y", "x"), found, scene).groupBy(scene, *key).agg(F.min(F.struct("gap", *[f"_to_{c}" for c in order])).alias("b"))
+    return best.select(scene, *key, *[F.col(f"b._to_{c}").alias(c) for c in order], F.col("b.gap").alias("gap"))
 
 
 def point_network_distance(points: DataFrame, segments: DataFrame, key: list[str], reach: float | None = None, scene: str = "scene_id") -> DataFrame:
     """For each point (key, y, x) its least distance to the segments (ax, ay, bx, by) of its scene [G11, J9].
 
-    A segment is put into every cell its box touches, widened by ``reach``, so only near pairs
-    meet, and points without any have no row. Without ``reach`` the search starts with a reach
-    of about the segments' spacing and goes on with one twice as large for the points
-    that found nothing within it, until all have; points of scenes without segments have no row.
+    With ``reach`` only points that have a segment within it (at least 1) have a row. Without it the
+    search starts with a reach of about the segments' spacing and goes on with one four times as
+    large for the places that found nothing within it, until all have; points of scenes without
+    segments have no row. Points and segments with a coordinate that is missing or infinite are left out.
     """
-    segments = segments.select(scene, "ax", "ay", "bx", "by")
-    if reach is not None:
-        return _reached(points, segments, key, max(reach, 1.0), scene)
-    scratch = Scratch(points.sparkSession)
-    segments = scratch.table(segments.where("ax is not null and ay is not null and bx is not null and by is not null"), "segments")
-    left = points.select(scene, *key, "y", "x").where("y is not null and x is not null").join(segments.select(scene).distinct(), scene, "left_semi")
-    left = scratch.table(left.withColumn("_row", F.monotonically_increasing_id()), "points")
-    ends = [F.least("ax", "bx"), F.greatest("ax", "bx"), F.least("ay", "by"), F.greatest("ay", "by")]
-    m = segments.agg(F.count("*"), F.avg(F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))), F.min(ends[0]), F.max(ends[1]), F.min(ends[2]), F.max(ends[3])).first()
-    p = left.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    found = None
-    if m[0] and p[0] is not None:
-        size = max(max(m[3], p[1]) - min(m[2], p[0]), max(m[5], p[3]) - min(m[4], p[2]), 1.0)
-        now = max(size / m[0] ** 0.5, m[1], size * 1e-6)
-        while True:
-            near = _reached(left, segments, ["_row"], now, scene).where(F.col("distance") <= now)
-            hit = materialise(left.join(near.select("_row", "distance"), "_row").select(scene, *key, "_row", "distance"), "distances")
-            found = hit.drop("_row") if found is None else found.unionByName(hit.drop("_row"))
-            left = scratch.table(left.join(hit.select("_row"), "_row", "left_anti"), "points")
-            if left.isEmpty():
-                break
-            now *= 2
-    scratch.drop()
-    if found is None:
-        return points.select(scene, *key, F.lit(0.0).alias("distance")).limit(0)
-    return found.groupBy(scene, *key).agg(F.min("distance").alias("distance"))
+    scratch = Scratch(points.sparkSession) if reach is None else None
+    table = scratch.table if scratch else materialise
+    segments = table(finite(segments, nearest.ENDS).select(scene, *[F.col(c).cast("double").alias(c) for c in nearest.ENDS]).distinct(), "segments")
+    left = _places(points, scene)
+    left = table(left.join(segments.select(scene).distinct(), scene, "left_semi") if scratch else left, "points")
+    size, tile = nearest.extent(left, segments, scene)
+    if scratch:
+        n, length = segments.agg(F.count("*"), F.avg(F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")))).first()
+        found, now = None, max(size / max(n, 1) ** 0.5, length or 0.0, size * 1e-6, 1e-9)
+        while n and not left.isEmpty():
+            hit = materialise(nearest.search(left, segments, now, tile, scene), "distances")
+            found = hit if found is None else found.unionByName(hit)
+            left = scratch.table(left.join(hit.select(scene, "y", "x"), [scene, "y", "x"], "left_anti"), "points")
+            now *= 4
+        scratch.drop()
+        if found is None:
+            return points.select(scene, *key, F.lit(0.0).alias("distance")).limit(0)
+    else:
+        found = nearest.search(left, segments, max(reach, 1.0), tile, scene)
+    return _back(points.select(scene, *key, "y", "x"), found, scene).groupBy(scene, *key).agg(F.min("gap").alias("distance"))
