@@ -56,3 +56,8 @@ def test_joins_of_dense_tables_grow_with_the_rows(spark, repeated, name):
     for f in sorted(os.listdir(folder)):
         con.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{folder}/{f}'")
     assert values(ours) == values(con.execute(ORACLES[name]).df())
+
+
+def test_exploded_pixels_are_not_broadcast(spark):
+    plan = QUERIES["p17_distance_transform"](spark, SF)._jdf.queryExecution().sparkPlan().toString()
+    assert "Broadcast" not in plan
