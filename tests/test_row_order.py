@@ -5,7 +5,7 @@ from conftest import SF, values
 
 from veinway.plans.queries import ORACLES, QUERIES
 
-IN_ROW_ORDER = ["a31_issue_levels", "a6_confidence"]
+IN_ROW_ORDER = ["a31_issue_levels", "a6_confidence", "a8_flags"]
 
 
 @pytest.fixture(scope="session")
