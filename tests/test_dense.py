@@ -10,7 +10,7 @@ import veinway.plans.single  # noqa: F401
 from veinway.plans.queries import ORACLES, QUERIES
 
 KEYS = {"customer": ["c_custkey"], "supplier": ["s_suppkey"], "part": ["p_partkey"], "events": ["event_id", "user_id"]}
-DENSE = ["a16_unmapped_runs", "g11_network_distance", "r4_edge_weight", "a17_unmapped_summary", "g14_path_overlap", "o5_nearest", "j9_points_on_the_network", "r3_edge_overlap"]
+DENSE = ["a16_unmapped_runs", "g11_network_distance", "r4_edge_weight", "a17_unmapped_summary", "g14_path_overlap", "o5_nearest", "j9_points_on_the_network", "r3_edge_overlap", "a16_discovery"]
 
 
 @pytest.fixture(scope="session")
