@@ -31,6 +31,38 @@ def range_join(left: DataFrame, right: DataFrame, radius: float, scene: str = "s
     return out if least is None else out.where(F.col("gap") >= least)
 
 
+#: Ids of a place that stand in one row; a place with more has several.
+PACK = 256
+
+
+def pairs_within(points: DataFrame, radius: float, least: float | None = None, digits: int | None = None, scene: str = "scene_id") -> DataFrame:
+    """Pairs of different points (id, y, x) of a scene at most ``radius`` apart, each once: scene, a < b, ``gap`` [J5].
+
+    Points at one place have the same neighbours, so places are compared, not points, and a pair of
+    places becomes the pairs of their points only at the end; so ``digits`` of ``gap``, if given, are
+    rounded once for a pair of places. Of a cell's neighbours half are met.
+    """
+    place = [scene, "y", "x"]
+    many = points.groupBy(*place).agg(F.ceil(F.count("*") / PACK).alias("_n")).where("_n > 1")
+    rows = points.join(many, place, "left").withColumn("_pack", F.pmod(F.xxhash64("id"), F.coalesce("_n", F.lit(1).cast("long"))))
+    packs = rows.groupBy(*place, "_pack").agg(F.collect_list("id").alias("ids"))
+    own = lambda y, x: (cell(F.col(y), radius), cell(F.col(x), radius))
+    cy, cx = own("y", "x")
+    shifts = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
+    a = packs.select("*", F.explode(shifts).alias("_s")).withColumn("_cy", cy + F.col("_s.dy")).withColumn("_cx", cx + F.col("_s.dx"))
+    a = a.withColumn("_home", (F.col("_s.dy") == 0) & (F.col("_s.dx") == 0)).drop("_s")
+    ry, rx = own("ry", "rx")
+    b = packs.select(scene, F.col("y").alias("ry"), F.col("x").alias("rx"), F.col("_pack").alias("_rpack"), F.col("ids").alias("rids")).withColumn("_cy", ry).withColumn("_cx", rx)
+    at, to = F.struct("y", "x", "_pack"), F.struct("ry", "rx", "_rpack")
+    dy, dx = ((F.col(f"r{c}") - F.col(c)).cast("double") for c in "yx")
+    gap = F.hypot(dy, dx)
+    near = a.join(b, [scene, "_cy", "_cx"]).where(~F.col("_home") | (at <= to)).where(dy * dy + dx * dx <= radius * radius * (1 + 1e-9)).withColumn("gap", gap).where(F.col("gap") <= radius)
+    near = (near if least is None else near.where(F.col("gap") >= least)).withColumn("_same", F.col("_home") & (at == to))
+    near = near if digits is None else near.withColumn("gap", F.round("gap", digits))
+    out = near.select(scene, "gap", "_same", "rids", F.explode("ids").alias("p")).select(scene, "gap", "_same", "p", F.explode("rids").alias("q"))
+    return out.where((F.col("p") < F.col("q")) | (~F.col("_same") & (F.col("p") > F.col("q")))).select(scene, F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "gap")
+
+
 def _back(rows: DataFrame, found: DataFrame, scene: str) -> DataFrame:
     """Rows with what was found for their places."""
     return skew_join(rows.withColumn("y", F.col("y").cast("double")).withColumn("x", F.col("x").cast("double")), found, [scene, "y", "x"])

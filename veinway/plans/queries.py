@@ -387,9 +387,8 @@ def t4_evidence_gate(spark, sf):
 
 @query("WITH e AS (SELECT c_custkey AS id, c_acctbal / 10 AS y, (c_custkey * 7 % 1000)::DOUBLE AS x FROM customer) SELECT a.id AS a, b.id AS b, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 4) AS gap FROM e a JOIN e b ON a.id < b.id AND abs(a.x - b.x) <= 18 AND abs(a.y - b.y) <= 18 WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) BETWEEN 1.5 AND 18")
 def j5_endpoint_pairs(spark, sf):
-    e = b.table(spark, sf, "customer").select(F.lit("s0").alias("scene_id"), F.col("c_custkey").alias("a"), (F.col("c_acctbal") / 10).alias("y"), (F.col("c_custkey") * 7 % 1000).cast("double").alias("x"))
-    other = e.select("scene_id", F.col("a").alias("b"), F.col("y").alias("ry"), F.col("x").alias("rx"))
-    return rounded(spatial.range_join(e, other, 18.0, least=1.5).where("a < b").select("a", "b", "gap"))
+    e = b.table(spark, sf, "customer").select(F.lit("s0").alias("scene_id"), F.col("c_custkey").alias("id"), (F.col("c_acctbal") / 10).alias("y"), (F.col("c_custkey") * 7 % 1000).cast("double").alias("x"))
+    return spatial.pairs_within(e, 18.0, least=1.5, digits=4).select("a", "b", "gap")
 
 
 @query("WITH e AS (SELECT c_custkey AS id, c_acctbal / 10 AS y, (c_custkey * 7 % 1000)::DOUBLE AS x FROM customer), s AS (SELECT s_suppkey AS node, s_acctbal / 10 AS ry, (s_suppkey * 11 % 1000)::DOUBLE AS rx FROM supplier), p AS (SELECT id, node, sqrt((x - rx) * (x - rx) + (y - ry) * (y - ry)) AS gap FROM e JOIN s ON abs(x - rx) <= 40 AND abs(y - ry) <= 40) SELECT id, arg_min(node, (gap, node)) AS node, round(min(gap), 4) AS gap FROM p WHERE gap <= 40 GROUP BY id")
