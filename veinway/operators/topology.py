@@ -6,11 +6,15 @@ width_px). Edges: (scene_id, src, dst, segment_id, length_px, edge_kind, ...).
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import signals as s
+from ..session import materialise
+from .joins import small_side
 from .spatial import range_join
 
 #: Gate of an accepted link [T4].
@@ -88,13 +92,35 @@ def intersections(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out.withColumn("kind", F.when(F.col("degree") == 3, "T").when(F.col("degree") == 4, "X").otherwise("complex"))
 
 
+#: Segments at a node that all meet each other; at a node with more, only those in bins of directions near each other do.
+CROWD = 256
+
+
 def continuity_links(edges: DataFrame, directions: DataFrame, tolerance: float = 30.0) -> DataFrame:
-    """Pairs of segments that meet at a node and point the same way: (node, segment_a, segment_b, angle_diff) [T8, J8]."""
-    at = incident(edges).join(directions.select("scene_id", "segment_id", "direction_deg"), ["scene_id", "segment_id"])
-    a = at.select("scene_id", "node", F.col("segment_id").alias("segment_a"), F.col("direction_deg").alias("da"))
-    b = at.select("scene_id", "node", F.col("segment_id").alias("segment_b"), F.col("direction_deg").alias("db"))
-    pairs = a.join(b, ["scene_id", "node"]).where("segment_a < segment_b").withColumn("angle_diff", g.undirected_angle(F.col("da"), F.col("db")))
-    return pairs.where(F.col("angle_diff") <= tolerance).select("scene_id", "node", "segment_a", "segment_b", "angle_diff")
+    """Pairs of segments that meet at a node and point the same way: (node, segment_a, segment_b, angle_diff) [T8, J8].
+
+    At a node with many segments only those in bins of directions that can be within ``tolerance``
+    are compared, so that almost all of the pairs made are links.
+    """
+    key = ["scene_id", "node"]
+    d = F.col("direction_deg").cast("double")
+    own = directions.where(F.abs(d) < float("inf")).select("scene_id", "segment_id", d.alias("dir"))
+    at = edges.where("edge_kind in ('geometry_segment', 'skeleton') and segment_id >= 0").join(own, ["scene_id", "segment_id"])
+    at = materialise(at.select("scene_id", F.explode(F.array("src", "dst")).alias("node"), "segment_id", "dir"), "incident")
+    hot = small_side(at.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select(*key, F.lit(True).alias("hot")), "hot")
+    # bins a bit wider than a sixth of the tolerance, so what is within it is at most six bins away
+    bins, reach = math.floor(180 / (max(tolerance, 1.0) / 6 * (1 + 1e-6))), 6
+    if 2 * reach >= bins:
+        bins, reach = 1, 0
+    own_bin = F.least(F.floor(F.pmod("dir", F.lit(180.0)) * (bins / 180)), F.lit(bins - 1)).cast("int")
+    at = at.join(hot, key, "left").withColumn("_bin", F.when(F.col("hot"), own_bin).otherwise(-1))
+    steps = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(reach))).otherwise(F.array(F.lit(0)))
+    a = at.select(*key, "_bin", F.explode(steps).alias("_step"), F.col("segment_id").alias("p"), F.col("dir").alias("da"))
+    a = a.withColumn("_bin", F.when(F.col("_bin") >= 0, F.pmod(F.col("_bin") + F.col("_step"), F.lit(bins))).otherwise(F.col("_bin")))
+    b = at.select(*key, "_bin", F.col("segment_id").alias("q"), F.col("dir").alias("db"))
+    # two bins meet from one side, a bin with itself from both
+    pairs = a.join(b, [*key, "_bin"]).where("p < q or (_step > 0 and p > q)").withColumn("angle_diff", g.undirected_angle(F.col("da"), F.col("db")))
+    return pairs.where(F.col("angle_diff") <= tolerance).select(*key, F.least("p", "q").alias("segment_a"), F.greatest("p", "q").alias("segment_b"), "angle_diff")
 
 
 def disconnected_segments(edges: DataFrame, components: DataFrame, suspicious: DataFrame | None = None) -> DataFrame:

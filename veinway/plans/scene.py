@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,11 +24,15 @@ class Network:
     rejected: DataFrame
     components: DataFrame
     intersections: DataFrame
-    continuity: DataFrame
     disconnected: DataFrame
     confidence: DataFrame
     summary: DataFrame
 
+    @cached_property
+    def continuity(self) -> DataFrame:
+        """Made when asked for, as it writes tables of its own."""
+        return topology.continuity_links(self.edges, self.segments)
+
 
 def name(scene: str, node: str) -> Column:
     """A node's name across scenes."""
@@ -85,7 +90,7 @@ def analyse(mask: DataFrame, scenes: DataFrame, settings: kernels.Settings = ker
     summary = summary.join(n(nodes, "nodes"), "scene_id", "left").join(n(edges, "edges"), "scene_id", "left").join(n(crossings, "intersections"), "scene_id", "left").join(n(off, "disconnected"), "scene_id", "left")
     summary = summary.join(components.groupBy("scene_id").agg(F.countDistinct("component").alias("components")), "scene_id", "left").join(n(edges.where("edge_kind = 'geometry_bridge'"), "bridges"), "scene_id", "left")
     summary = summary.join(confidence.groupBy("scene_id").agg(F.round(F.avg("overall"), 6).alias("network_score")), "scene_id", "left").fillna(0)
-    return Network(segments, nodes, edges, scored.where("won is null").drop("wa", "wb", "won"), components, crossings, topology.continuity_links(edges, segments), off, confidence, summary)
+    return Network(segments, nodes, edges, scored.where("won is null").drop("wa", "wb", "won"), components, crossings, off, confidence, summary)
 
 
 def _alone(edges: DataFrame, components: DataFrame) -> DataFrame:
