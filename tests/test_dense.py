@@ -61,3 +61,13 @@ def test_joins_of_dense_tables_grow_with_the_rows(spark, repeated, name):
 def test_exploded_pixels_are_not_broadcast(spark):
     plan = QUERIES["p17_distance_transform"](spark, SF)._jdf.queryExecution().sparkPlan().toString()
     assert "Broadcast" not in plan
+
+
+ROWS_BACK = ["o5_nearest"]
+
+
+@pytest.mark.parametrize("name", ROWS_BACK)
+def test_rows_of_small_files_are_not_broadcast(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().sparkPlan().toString()
+    joins = [x for x in plan.splitlines() if "Join" in x and "_spread" in x]
+    assert joins and all("SortMergeJoin" in x for x in joins)

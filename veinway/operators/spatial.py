@@ -64,8 +64,12 @@ def pairs_within(points: DataFrame, radius: float, least: float | None = None, d
 
 
 def _back(rows: DataFrame, found: DataFrame, scene: str) -> DataFrame:
-    """Rows with what was found for their places."""
-    return skew_join(rows.withColumn("y", F.col("y").cast("double")).withColumn("x", F.col("x").cast("double")), found, [scene, "y", "x"])
+    """Rows with what was found for their places.
+
+    The planner knows rows by their files only, and would broadcast millions of them through the
+    driver where these are small; so the join is by an exchange, which splits a crowded place.
+    """
+    return skew_join(rows.withColumn("y", F.col("y").cast("double")).withColumn("x", F.col("x").cast("double")), found.hint("merge"), [scene, "y", "x"])
 
 
 def _places(rows: DataFrame, scene: str) -> DataFrame:
@@ -106,7 +110,7 @@ def point_network_distance(points: DataFrame, segments: DataFrame, key: list[str
         while n and not left.isEmpty():
             hit = materialise(nearest.search(left, segments, now, tile, scene), "distances")
             found = hit if found is None else found.unionByName(hit)
-            left = scratch.table(left.join(hit.select(scene, "y", "x"), [scene, "y", "x"], "left_anti"), "points")
+            left = scratch.table(left.join(hit.select(scene, "y", "x").hint("merge"), [scene, "y", "x"], "left_anti"), "points")
             now *= 4
         scratch.drop()
         if found is None:
