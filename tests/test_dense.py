@@ -63,7 +63,7 @@ def test_exploded_pixels_are_not_broadcast(spark):
     assert "Broadcast" not in plan
 
 
-ROWS_BACK = ["o5_nearest", "j9_points_on_the_network", "g11_network_distance"]
+ROWS_BACK = ["o5_nearest", "j9_points_on_the_network", "g11_network_distance", "r4_edge_weight"]
 
 
 @pytest.mark.parametrize("name", ROWS_BACK)
@@ -71,3 +71,9 @@ def test_rows_of_small_files_are_not_broadcast(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().sparkPlan().toString()
     joins = [x for x in plan.splitlines() if "Join" in x and "_spread" in x]
     assert joins and all("SortMergeJoin" in x for x in joins)
+
+
+def test_whole_paths_of_small_files_are_not_broadcast(spark):
+    plan = QUERIES["r4_edge_weight"](spark, SF)._jdf.queryExecution().sparkPlan().toString()
+    joins = [x for x in plan.splitlines() if "Join" in x and "path_id" in x]
+    assert joins and not any("Broadcast" in x for x in joins)

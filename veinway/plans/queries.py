@@ -445,7 +445,8 @@ def r3_edge_overlap(spark, sf):
 def r4_edge_weight(spark, sf):
     p = b.paths(spark, sf)
     o = routing.edge_overlap(p.withColumnRenamed("path", "pixels"), b.reference(spark, sf), ["path_id"], 15.0)
-    j = p.join(o, ["scene_id", "path_id"]).withColumn("length", g.path_length(F.col("path")))
+    # whole paths are not broadcast
+    j = p.join(o.hint("merge"), ["scene_id", "path_id"]).withColumn("length", g.path_length(F.col("path")))
     return rounded(j.select("path_id", routing.edge_weight(F.col("length"), F.col("overlap_ratio"), allow_existing=False).alias("closed"), routing.edge_weight(F.col("length"), F.col("overlap_ratio")).alias("open")))
 
 
