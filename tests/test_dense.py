@@ -63,7 +63,7 @@ def test_exploded_pixels_are_not_broadcast(spark):
     assert "Broadcast" not in plan
 
 
-ROWS_BACK = ["o5_nearest", "j9_points_on_the_network", "g11_network_distance", "r4_edge_weight", "a17_unmapped_summary", "g14_path_overlap"]
+ROWS_BACK = ["o5_nearest", "j9_points_on_the_network", "g11_network_distance", "r4_edge_weight", "a17_unmapped_summary", "g14_path_overlap", "r3_edge_overlap"]
 
 
 @pytest.mark.parametrize("name", ROWS_BACK)
