@@ -133,6 +133,36 @@ class Boxes:
             self._better(best, first, w[start], least, k)
         return best, first
 
+    def within(self, points: np.ndarray, reach: float) -> np.ndarray:
+        """Whether each point (n, 2) has a segment at most ``reach`` away."""
+        parts = [self._within(points[i : i + SLICE], reach) for i in range(0, len(points), SLICE)]
+        return np.concatenate(parts) if parts else np.zeros(0, bool)
+
+    def _within(self, p: np.ndarray, reach: float) -> np.ndarray:
+        out = np.zeros(len(p), bool)
+        slack = reach * 1e-9 + self.slack + 1e-12 * np.abs(p).max(1)
+        who, box = np.arange(len(p)), np.zeros(len(p), int)
+        for level in range(1, len(self.levels)):
+            who, box = who.repeat(2), (2 * box).repeat(2)
+            box[1::2] += 1
+            keep = self._gap(p[who], level, box) <= reach + slack[who]
+            who, box = who[keep], box[keep]
+            middle, radius = self.middles[level]
+            near, radius = distance(p[who], middle[box]), radius[box]
+            # every segment of such a box is near enough
+            out[who[near + radius <= reach - slack[who]]] = True
+            keep = (near - radius <= reach + slack[who]) & ~out[who]
+            who, box = who[keep], box[keep]
+            if len(who) > PAIRS and len(p) > 1:
+                half = len(p) // 2
+                return np.concatenate((self._within(p[:half], reach), self._within(p[half:], reach)))
+        step = PAIRS // LEAF
+        for i in range(0, len(who), step):
+            w = who[i : i + step]
+            d, _ = self._leaf(p[w], box[i : i + step])
+            out[w[d <= reach]] = True
+        return out
+
     @staticmethod
     def _better(best: np.ndarray, first: np.ndarray, at, least: np.ndarray, k: np.ndarray) -> None:
         take = (least < best[at]) | ((least == best[at]) & (k < first[at]))
