@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 from ..session import ship
 from .nearest import ENDS, Boxes, _numbers, cell
 
-#: Segments of a tile on average, if they were spread evenly.
-TILE_SEGMENTS = 20_000
+#: Segments of a tile on average, if they were spread evenly, and tiles that even few segments make.
+TILE_SEGMENTS, TILES = 20_000, 32
 #: Points of a piece and pieces of a pack at most.
 PIECE_POINTS, PACK_PIECES = 1 << 16, 4096
 #: Points that go to one task, where a piece counts as some; a tile with more is dealt out in parts.
@@ -58,7 +58,7 @@ def grid(segments: DataFrame, reach: float) -> tuple[Grid, float]:
     if not n:
         return Grid(4 * reach, 0, 0, 0, 0), reach
     by = halo(reach, max(map(abs, (y0, y1, x0, x1))))
-    side = max(4 * by, ((y1 - y0) * (x1 - x0) * TILE_SEGMENTS / n) ** 0.5)
+    side = max(4 * by, ((y1 - y0) * (x1 - x0) * min(TILE_SEGMENTS / n, 1 / TILES)) ** 0.5)
     return Grid(side, *(int((v + s * by) // side) for v, s in ((y0, -1), (y1, 1), (x0, -1), (x1, 1)))), by
 
 
