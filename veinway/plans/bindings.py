@@ -6,6 +6,8 @@ and exist so that operators and their SQL twins see the same input. Each has its
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,9 +87,18 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Confidence dimensions of segments, one for each order, from its lines; grouped by (order) only.
 
-    Discounts are added up in the order of the rows, as a mean of 0.05 is low or not by its last bit.
+    Discounts are added up in the order of the rows, file after file by path, as a mean of 0.05 is low or not by its last bit.
     """
-    li = table(spark, sf_dir, "lineitem").withColumn("_at", F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), "l_discount"))
+    li = table(spark, sf_dir, "lineitem")
+    # without an authority the metadata have file:/x where inputFiles has file:///x
+    files = sorted(re.sub("^([^:/]+:)///", r"\1/", f) for f in li.inputFiles())
+    li = li.withColumn("_path", F.xxhash64("_metadata.file_path")).withColumn("_row", F.col("_metadata.row_index"))
+    if len(files) > 1:
+        rank = spark.createDataFrame(list(enumerate(files)), "_file long, _name string").select("_file", F.xxhash64("_name").alias("_path"))
+        li = li.join(F.broadcast(rank), "_path", "left")
+    else:
+        li = li.withColumn("_file", F.lit(0).cast("long"))
+    li = li.withColumn("_at", F.struct(F.col("_file").alias("file"), F.col("_row").alias("row"), "l_discount"))
     in_order = F.transform(F.array_sort(F.collect_list(F.when(F.col("l_discount").isNotNull(), F.col("_at")))), lambda r: r["l_discount"])
     mean = F.try_divide(F.reduce(in_order, F.lit(0.0), lambda a, v: a + v), F.size(in_order))
     g = li.groupBy(F.col("l_orderkey").alias("segment_id")).agg(mean.alias("d"), F.max("l_tax").alias("t"), F.count("*").alias("n"), F.sum("l_quantity").alias("q"))
