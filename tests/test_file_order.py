@@ -8,7 +8,7 @@ from conftest import values
 from veinway.plans.queries import ORACLES, QUERIES
 
 SOURCE = "/root/testdata/sf0.01"
-BY_FILES = ["a31_issue_levels", "a6_confidence"]
+BY_FILES = ["a31_issue_levels", "a6_confidence", "a8_flags"]
 
 
 @pytest.fixture(scope="session")
